@@ -9,7 +9,8 @@ fragments, overlaps are counted in each and summed per pair:
    cell counted once is an n-gram that no two records share. The counts only set the order, so no result depends on
    their precision.
 2. Each record's n-grams in that order. Records with fewer than ``threshold`` of their n-grams in cells counted twice
-   cannot match and end here. Equal sets become one class with one representative, so hot copies cost one record.
+   cannot match and end here. Equal sets have one fingerprint; postings are kept once a fingerprint, so hot copies cost
+   one record.
 3. The rare fragments: with sizes m <= n, matching needs an overlap of a = ceil(t / (1 + t) * (m + n)), so at least
    ``votes`` common n-grams lie in the first m - a + votes and n - a + votes places. Postings of those places are joined
    by n-gram and the partial overlaps summed per pair; pairs with fewer votes cannot match.
@@ -40,7 +41,7 @@ from .components import components
 
 BITS = 26
 BLOCK = 16
-VOTES = 4
+VOTES = 8
 WORD = re.compile(r"[^\W_]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -99,7 +100,9 @@ def _cells(size: int, least: int, bits: int):
             edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             low = (cell & ((1 << BLOCK) - 1)).astype(np.uint16)
             ends = np.r_[edges[1:], len(cell)]
-            blobs = [low[i:j].tobytes() for i, j in zip(edges.tolist(), ends.tolist())]
+            step = np.diff(low, prepend=low[:1])  # offsets as steps from the last: most are one byte long
+            step[edges] = low[edges]
+            blobs = [zlib.compress(step[i:j].tobytes(), 1) for i, j in zip(edges.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(blobs), pa.int32()), pa.array(block[edges].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "block", "offsets"])
 
     return run
@@ -108,7 +111,7 @@ def _cells(size: int, least: int, bits: int):
 def _add_offsets(group: pa.Table) -> pa.Table:
     total = np.zeros(1 << BLOCK, np.uint32)
     for blob in group.column("offsets"):
-        total += np.bincount(np.frombuffer(blob.as_py(), np.uint16), minlength=1 << BLOCK).astype(np.uint32)
+        total += np.bincount(np.cumsum(np.frombuffer(zlib.decompress(blob.as_py()), np.uint16), dtype=np.uint32), minlength=1 << BLOCK).astype(np.uint32)
     return pa.table({"block": group.column("block").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
@@ -142,12 +145,12 @@ def _ordered(text: str | None, codes: np.ndarray, size: int, least: int, hashes:
 
 
 def _prefixes(codes_of, size: int, least: int, threshold: float, votes: int):
-    """(id, print, n, keys, places): a record's rare n-grams with their places in the global order."""
+    """(id, print, n, first, keys): a record's rare n-grams; first is the place of the first in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, hashes = codes_of(), _Hashes()
         for batch in batches:
-            at, prints, sizes, keys, places = [], [], [], [], []
+            at, prints, sizes, firsts, keys = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 found = _ordered(text, codes, size, least, hashes)
                 if found is None:
@@ -158,21 +161,21 @@ def _prefixes(codes_of, size: int, least: int, threshold: float, votes: int):
                     continue
                 end = min(n, n - ceil(threshold * n - 1e-9) + votes)
                 at.append(i)
-                prints.append(xxhash.xxh3_128_digest(g.tobytes()))
+                prints.append(xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63))
                 sizes.append(n)
+                firsts.append(once)
                 keys.append(g[once:end].view(np.int64))
-                places.append(np.arange(once, end, dtype=np.int32))
             if at:
                 ends = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(at)),
-                        pa.array(prints, pa.binary()),
+                        pa.array(prints, pa.int64()),
                         pa.array(sizes, pa.int32()),
+                        pa.array(firsts, pa.int32()),
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))),
-                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places))),
                     ],
-                    names=["id", "print", "n", "keys", "places"],
+                    names=["id", "print", "n", "first", "keys"],
                 )
 
     return run
@@ -223,14 +226,14 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: in
     codes = _Shared(spark, cell_counts(base, "text", size, least, bits))
     kind = df.schema[key].dataType.simpleString()
     place = f"{ensure_checkpoint_dir(spark)}/neardup-{uuid.uuid4().hex}"
-    base.mapInArrow(_prefixes(codes, size, least, threshold, votes), f"id {kind}, print binary, n int, keys array<bigint>, places array<int>").write.parquet(place)
+    base.mapInArrow(_prefixes(codes, size, least, threshold, votes), f"id {kind}, print bigint, n int, first int, keys array<bigint>").write.parquet(place)
     records = spark.read.parquet(place)
     classes = records.groupBy("print").agg(F.min("id").alias("class"))
-    members = records.select("id", "print").join(classes.select("print", "class"), "print").select("id", "class")
-    leaders = records.join(classes.select("print", "class"), "print").where("id = class")
-    postings = leaders.select("id", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(F.col("e.keys").alias("gram"), "id", "n", F.col("e.places").alias("place"))
-    a = postings.select("gram", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
-    b = postings.select("gram", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
+    members = records.select("id", "print").join(classes, "print").select("id", "class")
+    spread = records.select("print", "n", "first", F.posexplode("keys").alias("k", "gram")).select("gram", "print", F.struct("n", (F.col("first") + F.col("k")).alias("place")).alias("s"))
+    postings = spread.groupBy("gram", "print").agg(F.first("s").alias("s")).select("gram", "print", "s.n", "s.place")
+    a = postings.select("gram", F.col("print").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
+    b = postings.select("gram", F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)).cast("int")
     met = (
         a.join(b, "gram")
@@ -240,9 +243,10 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: in
         .count()
         .where(F.col("count") >= F.least(F.lit(votes), need))
     )
-    pairs = cut(met.select("a", "b", "n_a", "n_b"))
+    named = lambda c: classes.select(F.col("print").alias(c), F.col("class").alias(f"class_{c}"))
+    pairs = cut(met.join(named("a"), "a").join(named("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    segments = base.join(ends, "id", "left_semi").mapInArrow(_segments(codes, size, least), f"id {kind}, fragment int, keys array<bigint>")
+    segments = cut(base.join(ends, "id", "left_semi").mapInArrow(_segments(codes, size, least), f"id {kind}, fragment int, keys array<bigint>"))
     one = segments.select(F.col("id").alias("a"), "fragment", F.col("keys").alias("keys_a"))
     two = segments.select(F.col("id").alias("b"), "fragment", F.col("keys").alias("keys_b"))
     partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("keys_a", "keys_b")).alias("part"))
