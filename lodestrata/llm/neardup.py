@@ -4,7 +4,7 @@ A record is its set of runs of three words (``size``); two records match if they
 union. The order of all n-grams, rarest first, is global: by a count over the whole corpus, then by hash. It is cut into
 fragments, overlaps are counted in each and summed per pair:
 
-1. Count every n-gram of every record into 2**BITS cells (n-grams are hashed to 64 bits; a cell is their high bits). The
+1. Count every n-gram of every record into 2**BITS cells (n-grams are hashed to 64 bits, of which 56 are kept; a cell is their high bits). The
    cell counts, one byte each on a log scale, are all that is shared with the tasks: a fixed size, whatever the corpus. A
    cell counted once is an n-gram that no two records share. The counts only set the order, so no result depends on
    their precision.
@@ -56,27 +56,46 @@ class _Hashes(dict):
         return h
 
 
+#: ASCII letters and digits in lower case, all else a space: splitting then finds the same words, sooner.
+_ASCII = {i: chr(i).lower() if chr(i).isalnum() else " " for i in range(128)}
+
+
 def words(text: str) -> list[str]:
     """Unbroken runs of letters and numbers, lower-cased one by one (a capital's lower form may hold a mark)."""
+    if text.isascii():
+        return text.translate(_ASCII).split()
     if "İ" in text or "Σ" in text:
         return [w.lower() for w in WORD.findall(text)]
     return WORD.findall(text.lower())
 
 
-def grams(text: str, size: int, least: int, hashes: _Hashes) -> np.ndarray | None:
-    """Hashes of the runs of ``size`` words, with repeats; None for records that match nothing."""
-    found = words(text)
-    n = len(found)
-    if n < least or n < size:
-        return None
-    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, n)
+def grams(texts: list[str | None], size: int, least: int, hashes: _Hashes) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``size`` words of a batch, with repeats: the places of the texts that have any, where the
+    runs of each begin (and the last ends), and the runs. Texts of fewer than ``least`` words have none."""
+    at, lengths, flat = [], [], []
+    for i, text in enumerate(texts):
+        if text:
+            found = words(text)
+            n = len(found)
+            if n >= least and n >= size:
+                at.append(i)
+                lengths.append(n)
+                flat += found
+    n = len(flat)
+    if not n:
+        return at, np.zeros(1, np.int64), np.zeros(0, np.uint64)
+    h = np.fromiter(map(hashes.__getitem__, flat), np.uint64, n)
     out = h[: n - size + 1].copy()
     for k in range(1, size):
         out *= _M1 if k % 2 else _M2
         out += h[k : n - size + 1 + k]
     out ^= out >> np.uint64(29)
     out *= _M2
-    return out
+    ends = np.cumsum(lengths)
+    inside = np.ones(n, bool)
+    for k in range(1, size):
+        inside[ends - k] = False  # a run must not reach into the next text
+    return at, np.r_[0, np.cumsum(np.asarray(lengths) - size + 1)], out[inside[: len(out)]]
 
 
 def _code(counts: np.ndarray) -> np.ndarray:
@@ -92,10 +111,10 @@ def _cells(size: int, least: int, bits: int):
         hashes = _Hashes()
         for batch in batches:
             part = batch.column(1)[0].as_py() if len(batch) else 0
-            found = [g for g in (grams(t, size, least, hashes) for t in batch.column(0).to_pylist() if t) if g is not None]
-            if not found:
+            g = grams(batch.column(0).to_pylist(), size, least, hashes)[2]
+            if not len(g):
                 continue
-            cell = np.sort((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.uint32))
+            cell = np.sort((g >> np.uint64(64 - bits)).astype(np.uint32))
             block = cell >> BLOCK
             edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             low = (cell & ((1 << BLOCK) - 1)).astype(np.uint16)
@@ -129,59 +148,69 @@ def cell_counts(texts: DataFrame, text: str, size: int, least: int, bits: int) -
     raw = rows.mapInArrow(_cells(size, least, bits), "part int, block int, offsets binary")
     some = raw.withColumn("salt", (F.col("part") / 64).cast("int")).groupBy("block", "salt").applyInArrow(_add_offsets, "block int, counts binary")
     out = np.zeros(1 << bits, np.uint8)
-    for r in some.groupBy("block").applyInArrow(_add_counts, "block int, codes binary").toLocalIterator():  # 2**(bits - BLOCK) rows
+    for r in some.groupBy("block").applyInArrow(_add_counts, "block int, codes binary").collect():  # 2**(bits - BLOCK) rows
         out[r.block << BLOCK : (r.block + 1) << BLOCK] = np.frombuffer(zlib.decompress(r.codes), np.uint8)
     return out
 
 
-def _ordered(text: str | None, codes: np.ndarray, size: int, least: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray] | None:
-    g = grams(text, size, least, hashes) if text else None
-    if g is None:
-        return None
-    g = np.unique(g)
-    code = codes[(g >> np.uint64(64 - int(codes.size).bit_length() + 1)).astype(np.int64)]
-    order = np.argsort(code, kind="stable")  # g is sorted: ties by hash
-    return g[order], code[order]
+_TOP = np.uint64(56)
+
+
+def _ordered(texts: list[str | None], codes: np.ndarray, size: int, least: int, hashes: _Hashes) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, n-grams) of the texts that have any: the set in the global order, each as a count's code in the top byte
+    and 56 bits of hash, so that the numbers themselves are in order."""
+    at, starts, g = grams(texts, size, least, hashes)
+    if not at:
+        return
+    code = codes[(g >> np.uint64(65 - int(codes.size).bit_length())).astype(np.int64)]
+    key = (code.astype(np.uint64) << _TOP) | (g >> np.uint64(8))
+    starts = starts.tolist()
+    for a, z in zip(starts, starts[1:]):
+        key[a:z].sort()
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    fresh[starts[:-1]] = True
+    ends = np.r_[0, np.cumsum(fresh)][starts].tolist()
+    key = key[fresh]
+    for i, a, z in zip(at, ends, ends[1:]):
+        yield i, key[a:z]
+
+
+def _batch(names: tuple[str, ...], batch: pa.RecordBatch, at: list[int], columns: list[pa.Array], keys: list[np.ndarray]) -> pa.RecordBatch:
+    ends = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32))
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns, lists], names=list(names))
 
 
 def _prefixes(codes_of, size: int, least: int, threshold: float, votes: int):
-    """(id, print, n, first, keys): a record's rare n-grams; first is the place of the first in the global order."""
+    """(id, print, n, first, keys): a record's rare n-grams; first is the place of the first in the global order. Keys
+    stand once a task for each fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, hashes = codes_of(), _Hashes()
+        codes, hashes, seen = codes_of(), _Hashes(), set()
+        twice, none = np.uint64(2) << _TOP, np.zeros(0, np.uint64)
         for batch in batches:
             at, prints, sizes, firsts, keys = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = _ordered(text, codes, size, least, hashes)
-                if found is None:
-                    continue
-                g, code = found
-                n, once = len(g), int(np.searchsorted(code, 1, side="right"))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            for i, g in _ordered(batch.column(1).to_pylist(), codes, size, least, hashes):
+                n, once = len(g), int(np.searchsorted(g, twice))
                 if n - once < threshold * n - 1e-9:
                     continue
-                end = min(n, n - ceil(threshold * n - 1e-9) + votes)
+                mark = xxhash.xxh3_64_intdigest(g.data) - (1 << 63)
                 at.append(i)
-                prints.append(xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63))
+                prints.append(mark)
                 sizes.append(n)
                 firsts.append(once)
-                keys.append(g[once:end].view(np.int64))
+                keys.append(none if mark in seen else g[once : min(n, n - ceil(threshold * n - 1e-9) + votes)])
+                seen.add(mark)
             if at:
-                ends = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(at)),
-                        pa.array(prints, pa.int64()),
-                        pa.array(sizes, pa.int32()),
-                        pa.array(firsts, pa.int32()),
-                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))),
-                    ],
-                    names=["id", "print", "n", "first", "keys"],
-                )
+                yield _batch(("id", "print", "n", "first", "keys"), batch, at, [pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.int32())], keys)
 
     return run
 
 
-FRAGMENTS = (2, 8, 64, 255)
+FRAGMENTS = np.asarray([3, 9, 65], np.uint64) << _TOP
 
 
 def _segments(codes_of, size: int, least: int):
@@ -191,19 +220,15 @@ def _segments(codes_of, size: int, least: int):
         codes, hashes = codes_of(), _Hashes()
         for batch in batches:
             at, fragments, keys = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = _ordered(text, codes, size, least, hashes)
-                if found is None:
-                    continue
-                cuts = np.searchsorted(found[1], FRAGMENTS, side="right").tolist()
-                for f, (a, b) in enumerate(zip([0, *cuts[:-1]], cuts)):
+            for i, g in _ordered(batch.column(1).to_pylist(), codes, size, least, hashes):
+                cuts = [0, *np.searchsorted(g, FRAGMENTS).tolist(), len(g)]
+                for f, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     if b > a:
                         at.append(i)
                         fragments.append(f)
-                        keys.append(found[0][a:b].view(np.int64))
+                        keys.append(g[a:b])
             if at:
-                ends = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))], names=["id", "fragment", "keys"])
+                yield _batch(("id", "fragment", "keys"), batch, at, [pa.array(fragments, pa.int32())], keys)
 
     return run
 
@@ -230,8 +255,11 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: in
     records = spark.read.parquet(place)
     classes = records.groupBy("print").agg(F.min("id").alias("class"))
     members = records.select("id", "print").join(classes, "print").select("id", "class")
-    spread = records.select("print", "n", "first", F.posexplode("keys").alias("k", "gram")).select("gram", "print", F.struct("n", (F.col("first") + F.col("k")).alias("place")).alias("s"))
-    postings = spread.groupBy("gram", "print").agg(F.first("s").alias("s")).select("gram", "print", "s.n", "s.place")
+    spread = records.select("print", "n", "first", F.posexplode("keys").alias("k", "gram"))
+    packed = spread.select("gram", "print", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("first") + F.col("k")).alias("np"))
+    # partitioned before the copies are dropped: rows of a record that lie together compress, and tasks sent few copies
+    once = packed.repartition("gram").groupBy("gram", "print").agg(F.min("np").alias("np"))
+    postings = once.select("gram", "print", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
     a = postings.select("gram", F.col("print").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
     b = postings.select("gram", F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)).cast("int")
