@@ -33,7 +33,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, ensure_checkpoint_dir
@@ -213,12 +213,31 @@ def _prefixes(codes_of, size: int, least: int, threshold: float, votes: int):
 FRAGMENTS = np.asarray([3, 9, 65], np.uint64) << _TOP
 
 
-def _segments(codes_of, size: int, least: int):
-    """(id, fragment, keys): the n-grams of a record in each fragment of the global order."""
+FILTER_BITS = 24
+
+
+def _bit(c: Column) -> Column:
+    """A record's place in the filter."""
+    return F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size that all ids pass and most others do not."""
+    out = np.zeros(1 << FILTER_BITS, bool)
+    bits = ids.select(_bit(F.col("id")).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("map"))
+    for r in bits.collect():  # 2**FILTER_BITS / 32768 rows at most, one more for the last
+        on = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.map), np.uint8), bitorder="little"))
+        out[((r.bucket - 1) * 32768 + on + 1) & ((1 << FILTER_BITS) - 1)] = True
+    return out
+
+
+def _segments(codes_of, wanted, size: int, least: int):
+    """(id, fragment, keys): the n-grams of a record that passes the filter in each fragment of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, hashes = codes_of(), _Hashes()
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.value[batch.column(2).to_numpy()]))
             at, fragments, keys = [], [], []
             for i, g in _ordered(batch.column(1).to_pylist(), codes, size, least, hashes):
                 cuts = [0, *np.searchsorted(g, FRAGMENTS).tolist(), len(g)]
@@ -234,13 +253,13 @@ def _segments(codes_of, size: int, least: int):
 
 
 class _Shared:
-    """The cell codes in tasks, from a broadcast."""
+    """The cell codes in tasks, from a broadcast of fixed size, packed."""
 
     def __init__(self, spark: SparkSession, codes: np.ndarray) -> None:
-        self.broadcast = spark.sparkContext.broadcast(codes)
+        self.broadcast = spark.sparkContext.broadcast(zlib.compress(codes.tobytes(), 1))
 
     def __call__(self) -> np.ndarray:
-        return self.broadcast.value
+        return np.frombuffer(zlib.decompress(self.broadcast.value), np.uint8)
 
 
 def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: int = 3, least: int = 20, votes: int = VOTES, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -273,8 +292,9 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: in
     )
     named = lambda c: classes.select(F.col("print").alias(c), F.col("class").alias(f"class_{c}"))
     pairs = cut(met.join(named("a"), "a").join(named("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    segments = cut(base.join(ends, "id", "left_semi").mapInArrow(_segments(codes, size, least), f"id {kind}, fragment int, keys array<bigint>"))
+    # no text is shuffled: a filter of fixed size picks the records to read again, and the join below is exact
+    wanted = spark.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+    segments = cut(base.withColumn("bit", _bit(F.col("id"))).mapInArrow(_segments(codes, wanted, size, least), f"id {kind}, fragment int, keys array<bigint>"))
     one = segments.select(F.col("id").alias("a"), "fragment", F.col("keys").alias("keys_a"))
     two = segments.select(F.col("id").alias("b"), "fragment", F.col("keys").alias("keys_b"))
     partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("keys_a", "keys_b")).alias("part"))
