@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -42,3 +43,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more: it learns of them when the
+    driver collects its garbage, which a driver with room to spare does too late for the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
