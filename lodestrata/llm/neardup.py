@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir, release
 from .components import components
 
 BITS = 26
@@ -268,6 +268,7 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: in
     spark = df.sparkSession
     base = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and length(text) > 0")
     codes = _Shared(spark, cell_counts(base, "text", size, least, bits))
+    release(spark)
     kind = df.schema[key].dataType.simpleString()
     place = f"{ensure_checkpoint_dir(spark)}/neardup-{uuid.uuid4().hex}"
     base.mapInArrow(_prefixes(codes, size, least, threshold, votes), f"id {kind}, print bigint, n int, first int, keys array<bigint>").write.parquet(place)
@@ -292,6 +293,7 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: in
     )
     named = lambda c: classes.select(F.col("print").alias(c), F.col("class").alias(f"class_{c}"))
     pairs = cut(met.join(named("a"), "a").join(named("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b"))
+    release(spark)
     # no text is shuffled: a filter of fixed size picks the records to read again, and the join below is exact
     wanted = spark.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
     segments = cut(base.withColumn("bit", _bit(F.col("id"))).mapInArrow(_segments(codes, wanted, size, least), f"id {kind}, fragment int, keys array<bigint>"))
