@@ -5,7 +5,8 @@ union. The order of all n-grams, rarest first, is global: by a count over the wh
 fragments, overlaps are counted in each and summed per pair:
 
 1. Count every n-gram of every record into 2**BITS cells (n-grams are hashed to 64 bits, of which 56 are kept; a cell is their high bits). The
-   cell counts, one byte each on a log scale, are all that is shared with the tasks: a fixed size, whatever the corpus. A
+   cell counts, one byte each on a log scale, are all that is shared with the tasks: a fixed size, whatever the corpus
+   (a file in the shared folder that they map). A
    cell counted once is an n-gram that no two records share. The counts only set the order, so no result depends on
    their precision.
 2. Each record's n-grams in that order. Records with fewer than ``threshold`` of their n-grams in cells counted twice
@@ -253,13 +254,19 @@ def _segments(codes_of, wanted, size: int, least: int):
 
 
 class _Shared:
-    """The cell codes in tasks, from a broadcast of fixed size, packed."""
+    """The cell codes in tasks: a file in the shared folder that they map, or a broadcast where it is no file system
+    path; of a fixed size either way."""
 
-    def __init__(self, spark: SparkSession, codes: np.ndarray) -> None:
-        self.broadcast = spark.sparkContext.broadcast(zlib.compress(codes.tobytes(), 1))
+    def __init__(self, spark: SparkSession, codes: np.ndarray, place: str) -> None:
+        self.path = self.broadcast = None
+        if place.startswith(("file:", "/")):
+            self.path = "/" + place.removeprefix("file:").lstrip("/") + ".npy"
+            np.save(self.path, codes)
+        else:
+            self.broadcast = spark.sparkContext.broadcast(zlib.compress(codes.tobytes(), 1))
 
     def __call__(self) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(self.broadcast.value), np.uint8)
+        return np.load(self.path, mmap_mode="r") if self.path else np.frombuffer(zlib.decompress(self.broadcast.value), np.uint8)
 
 
 def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: int = 3, least: int = 20, votes: int = VOTES, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -267,10 +274,10 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: in
     (a, b, shared, n_a, n_b) between the classes whose sets match."""
     spark = df.sparkSession
     base = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and length(text) > 0")
-    codes = _Shared(spark, cell_counts(base, "text", size, least, bits))
+    place = f"{ensure_checkpoint_dir(spark)}/neardup-{uuid.uuid4().hex}"
+    codes = _Shared(spark, cell_counts(base, "text", size, least, bits), place)
     release(spark)
     kind = df.schema[key].dataType.simpleString()
-    place = f"{ensure_checkpoint_dir(spark)}/neardup-{uuid.uuid4().hex}"
     base.mapInArrow(_prefixes(codes, size, least, threshold, votes), f"id {kind}, print bigint, n int, first int, keys array<bigint>").write.parquet(place)
     records = spark.read.parquet(place)
     classes = records.groupBy("print").agg(F.min("id").alias("class"))
