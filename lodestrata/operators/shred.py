@@ -8,7 +8,8 @@ an entry in each of its repeated ancestors from the level sequences alone, so ev
 Optional objects between two repeated ancestors share the definition step of the nearer one, as tables need no more.
 Entries for absent ancestors are written only when something follows them, as trailing gaps carry no rows.
 
-Defined results: a null, empty, unreadable or broken-off text has no steps, so no rows; a null step keeps its place and
+Defined results: a null, empty, unreadable or broken-off text, and one nested deeper than DEEP levels, has no steps, so
+no rows; a null step keeps its place and
 has no fields; a lone object is step 0; an empty list has no elements; text that spells an object or a list counts as
 it; a list directly inside a list has the outer list's path and the outer place as parent; repeated rows come out as
 often as they come in; columns besides the two named are ignored, so their names cannot clash.
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROKEN = object()
+#: Records nested deeper than this count as unreadable.
+DEEP = 200
 
 
 def decode(text: str | None) -> object:
@@ -56,11 +59,23 @@ def steps_of(text: str | None) -> list:
     if text is None:
         return []
     value = decode(text)
+    if text.count("[") + text.count("{") > DEEP and _deeper(value, DEEP):
+        return []
     if isinstance(value, (list, tuple)):
         return list(value)
     return [value] if isinstance(value, dict) else []
 
 
+def _deeper(value: object, levels: int) -> bool:
+    """Whether a value is nested in more levels than that."""
+    layer = [value]
+    for _ in range(levels):
+        layer = [x for v in layer if isinstance(v, (dict, list, tuple)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not layer:
+            return False
+    return True
+
+
 def _nested(value: object) -> object:
     """A text that spells an object or a list counts as that."""
     if isinstance(value, str) and value[:1] in "[{ \n" and value.strip()[:1] in ("[", "{"):

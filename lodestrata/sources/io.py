@@ -17,7 +17,7 @@ ORDER = ("PAT_ID", "CONTACT_DATE", "CONTACT_NUM", "DATE_OF_SERVIC_DTTM", "SPEC_N
 def text_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Every column as text, blanks kept."""
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("nullValue", "\x00").option("emptyValue", "")
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", False).csv(path)
+    return (reader.schema(schema).csv(path) if schema else reader.option("inferSchema", False).csv(path)).na.fill("")
 
 
 def load_notes(df: DataFrame, text: str = "Clean_note_text", order: tuple[str, ...] = ORDER, keep_null: bool = False) -> DataFrame:
