@@ -183,30 +183,54 @@ def _batch(names: tuple[str, ...], batch: pa.RecordBatch, at: list[int], columns
     return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns, lists], names=list(names))
 
 
-def _prefixes(codes_of, size: int, least: int, threshold: float, votes: int):
-    """(id, print, n, first, keys): a record's rare n-grams; first is the place of the first in the global order. Keys
-    stand once a task for each fingerprint."""
+def _marked(codes: np.ndarray, hashes: _Hashes, batch: pa.RecordBatch, size: int, least: int, threshold: float) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(place, fingerprint, number of n-grams no other record has, n-grams) of the records of a batch that can match."""
+    twice = np.uint64(2) << _TOP
+    for i, g in _ordered(batch.column(1).to_pylist(), codes, size, least, hashes):
+        once = int(np.searchsorted(g, twice))
+        if len(g) - once >= threshold * len(g) - 1e-9:
+            yield i, xxhash.xxh3_64_intdigest(g.data) - (1 << 63), once, g
+
+
+def _prints(codes_of, size: int, least: int, threshold: float):
+    """(id, print): the fingerprints of the records that can match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, hashes = codes_of(), _Hashes()
+        for batch in batches:
+            found = [(i, mark) for i, mark, _, _ in _marked(codes, hashes, batch, size, least, threshold)]
+            if found:
+                at, marks = zip(*found)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(marks, pa.int64())], names=["id", "print"])
+
+    return run
+
+
+def _postings(codes_of, size: int, least: int, threshold: float, votes: int):
+    """(gram, print, np): a record's rare n-grams, each with the record's size in the upper half of np and its place in
+    the global order in the lower; a task sends those of a fingerprint once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, hashes, seen = codes_of(), _Hashes(), set()
-        twice, none = np.uint64(2) << _TOP, np.zeros(0, np.uint64)
         for batch in batches:
-            at, prints, sizes, firsts, keys = [], [], [], [], []
             if len(seen) > 1_000_000:
                 seen.clear()
-            for i, g in _ordered(batch.column(1).to_pylist(), codes, size, least, hashes):
-                n, once = len(g), int(np.searchsorted(g, twice))
-                if n - once < threshold * n - 1e-9:
+            grams_, marks, packed, lengths = [], [], [], []
+            for _, mark, once, g in _marked(codes, hashes, batch, size, least, threshold):
+                if mark in seen:
                     continue
-                mark = xxhash.xxh3_64_intdigest(g.data) - (1 << 63)
-                at.append(i)
-                prints.append(mark)
-                sizes.append(n)
-                firsts.append(once)
-                keys.append(none if mark in seen else g[once : min(n, n - ceil(threshold * n - 1e-9) + votes)])
                 seen.add(mark)
-            if at:
-                yield _batch(("id", "print", "n", "first", "keys"), batch, at, [pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.int32())], keys)
+                n = len(g)
+                end = min(n, n - ceil(threshold * n - 1e-9) + votes)
+                grams_.append(g[once:end])
+                marks.append(mark)
+                packed.append((n << 32) + once)
+                lengths.append(end - once)
+            if marks:
+                ends = np.cumsum(lengths)
+                step = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+                columns = [np.concatenate(grams_).view(np.int64), np.repeat(np.asarray(marks, np.int64), lengths), np.repeat(np.asarray(packed, np.int64), lengths) + step]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "print", "np"])
 
     return run
 
@@ -229,7 +253,7 @@ def _filter(ids: DataFrame) -> np.ndarray:
     for r in bits.collect():  # 2**FILTER_BITS / 32768 rows at most, one more for the last
         on = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.map), np.uint8), bitorder="little"))
         out[((r.bucket - 1) * 32768 + on + 1) & ((1 << FILTER_BITS) - 1)] = True
-    return out
+    return np.packbits(out, bitorder="little")
 
 
 def _segments(codes_of, wanted, size: int, least: int):
@@ -238,7 +262,8 @@ def _segments(codes_of, wanted, size: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, hashes = codes_of(), _Hashes()
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.value[batch.column(2).to_numpy()]))
+            bit = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
             at, fragments, keys = [], [], []
             for i, g in _ordered(batch.column(1).to_pylist(), codes, size, least, hashes):
                 cuts = [0, *np.searchsorted(g, FRAGMENTS).tolist(), len(g)]
@@ -278,13 +303,12 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: in
     codes = _Shared(spark, cell_counts(base, "text", size, least, bits), place)
     release(spark)
     kind = df.schema[key].dataType.simpleString()
-    base.mapInArrow(_prefixes(codes, size, least, threshold, votes), f"id {kind}, print bigint, n int, first int, keys array<bigint>").write.parquet(place)
+    base.mapInArrow(_prints(codes, size, least, threshold), f"id {kind}, print bigint").write.parquet(place)
     records = spark.read.parquet(place)
     classes = records.groupBy("print").agg(F.min("id").alias("class"))
-    members = records.select("id", "print").join(classes, "print").select("id", "class")
-    spread = records.select("print", "n", "first", F.posexplode("keys").alias("k", "gram"))
-    packed = spread.select("gram", "print", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("first") + F.col("k")).alias("np"))
+    members = records.join(classes, "print").select("id", "class")
     # partitioned before the copies are dropped: rows of a record that lie together compress, and tasks sent few copies
+    packed = base.select("id", "text").mapInArrow(_postings(codes, size, least, threshold, votes), "gram bigint, print bigint, np bigint")
     once = packed.repartition("gram").groupBy("gram", "print").agg(F.min("np").alias("np"))
     postings = once.select("gram", "print", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
     a = postings.select("gram", F.col("print").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
