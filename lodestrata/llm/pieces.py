@@ -7,7 +7,7 @@ has none, between characters. Each piece but the first starts with about ``overl
 from a word's beginning; the overlap is shortened where the next unbreakable part would not fit otherwise.
 
 Defined results: texts up to the limit, null and empty texts give one piece or none and no overlap; spans are 0-based
-code points that cover the text without a gap; cut_kind of a piece is how it ends (end, block, line, sentence, space,
+code points that cover all but white space between two pieces; cut_kind of a piece is how it ends (end, block, line, sentence, space,
 forced); a text is ``forced`` if it has a run of more than ``limit`` characters without white space or a closing mark,
 else ``natural``; repeated rows come out each; extra columns are ignored.
 
@@ -60,7 +60,7 @@ def _sentence_ends(t: str, a: int, z: int) -> list[int]:
 
 
 def _word_ends(t: str, a: int, z: int) -> list[int]:
-    return [m.end() for m in _SPACE.finditer(t, a, z) if m.end() < z] + [z]
+    return sorted({e for m in _SPACE.finditer(t, a, z) for e in m.span() if a < e < z}) + [z]
 
 
 def _mark_ends(t: str, a: int, z: int) -> list[int]:
@@ -103,11 +103,13 @@ def pieces(t: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     parts = leaves(t, 0, len(t), limit - overlap)
     packed: list[tuple[int, int, str]] = []
     for a, z, kind in parts:  # an unbreakable part may fill a piece alone, so it is taken whole rather than cut
-        if packed and kind != "forced" and packed[-1][2] == "forced" and z - packed[-1][0] <= limit:
-            packed[-1] = (packed[-1][0], z, kind)
+        # what is left of a part cut for the sake of the overlap, without the white space behind it
+        if packed and kind != "forced" and packed[-1][2] == "forced" and len(t[packed[-1][0] : z].rstrip()) <= limit:
+            packed[-1] = (packed[-1][0], packed[-1][0] + len(t[packed[-1][0] : z].rstrip()), kind)
         else:
             packed.append((a, z, kind))
     out: list[tuple[int, int, str]] = []
+    packed = [p for p in packed if not t[p[0] : p[1]].isspace()]
     for i, (a, z, kind) in enumerate(packed):
         start = a
         if i:
@@ -115,7 +117,7 @@ def pieces(t: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
             if low < a:
                 m = _SPACE.search(t, low, a)
                 start = low if low == 0 or t[low - 1].isspace() else (m.end() if m and m.end() < a else low)
-        out.append((start, z, "end" if z == len(t) else "space" if kind == "mark" else kind))
+        out.append((start, z, "end" if i == len(packed) - 1 else "space" if kind == "mark" else kind))
     return out
 
 

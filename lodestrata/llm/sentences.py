@@ -62,6 +62,7 @@ VERBS = frozenset("was were is are has had have and reports recalls denies remai
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 THAI = re.compile("[฀-๿]")
 _CJK = re.compile(f"[{CJK}]")
+_UNCASED = re.compile(f"[{CJK}\u0e00-\u0e7f\u0600-\u06ff]")
 _LIST = re.compile(r"[ \t\xa0]*(?:[-*•‣◦–]|\d{1,3}[.)]|\[[ +xX-]\])[ \t\xa0]+\S")
 _HEAD = re.compile(r"[^\W\d_][\w/&,'’()-]*(?: [\w/&,'’()-]+){0,4} ?[:：]$")
 _CAPS = re.compile(r"[A-Z][A-Z/&-]{2,}(?: [A-Z/&-]+){0,3}$")
@@ -146,7 +147,7 @@ def _stop(t: str, start: int, p: int, e: int, z: int) -> bool:
         if "@" in token or not token:
             return False
         prev = t[p - 1]
-        if n1.isalpha() and not n1.isascii() and not n1.islower() and not n1.isupper():  # a script without capitals follows at once
+        if _UNCASED.match(n1):  # a script without capitals follows at once
             return not prev.isdigit() and low not in NEVER and len(token) > 1
         if n1.isupper() and (prev.islower() or prev.isdigit() or prev in ")%") and e + 1 < z and (t[e + 1].islower() or t[e + 1] == " "):
             if low in NEVER or (len(token) == 1 and not token.isdigit()):

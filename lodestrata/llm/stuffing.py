@@ -83,7 +83,7 @@ def _series(texts: list[str | None]):
         if not text:
             continue
         found = list(TERM.finditer(text))
-        if len(found) < LEAST:
+        if len(found) < LEAST and not any(len(m.group()) > 12 and _looped(m.group()) for m in found):
             continue
         at.append(i)
         starts.append(n)
