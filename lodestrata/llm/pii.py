@@ -87,6 +87,7 @@ def _after(tail: str = "", names: str = _ANY) -> re.Pattern:
 _TITLE, _DOCTOR = _after(), re.compile(rf"\.?\s(?:(?i:med)\.\s)?{_ANY}")
 _DOTTED = re.compile(rf"\.?\s{_ANY}(?=[,.\s)])")
 _KIN1, _KIN2 = _after(r"(?=,\s[+(\d])"), _after(r"(?=,\s(?i:wrote|called|says|said)\b)")
+_KIN3 = _after(r"(?=\s(?i:at)\s[+(\d])")
 _KIN = "mother father brother sister son daughter aunt uncle cousin grandmother grandfather wife husband partner neighbour guardian".split()
 #: (words before a name, as they stand in lower case, and the pattern of the name behind them)
 CUES: tuple[tuple[str, re.Pattern], ...] = (
@@ -103,9 +104,14 @@ CUES: tuple[tuple[str, re.Pattern], ...] = (
     ("contact on file is ", _TITLE),
     *((f"{w} (", _KIN1) for w in _KIN),
     *((f"{w}, ", _KIN2) for w in _KIN),
+    *((f"{w} ", _KIN3) for w in _KIN),
+    ("interpreter ", _TITLE),
     ("डॉ. ", _after(r"(?=\sने)")),
     ("د. ", _TITLE),
 )
+#: Verbs before which a name may begin a sentence, and what must follow them.
+ACTS = ((" stopped ", re.compile(r"[a-z]\w+\s(?:on|due|because)\b")), (" reports ", re.compile(r"[a-z]")), (" STOPPED ", re.compile(r"[A-Z]\w+\s(?:ON|DUE|BECAUSE)\b")), (" REPORTS ", re.compile(r"[A-Z]")))
+_BEGINS = re.compile(rf"(?:^|[.!?:;)(\"“”。！？।…»]\s*|[-–]\s|\n\s*)(?P<n>{_FULL}|(?!(?:her|his|my|our|their)\b){_LOWER})$")
 _HAN = "一-鿿々"
 ASIAN = (
     ("担当は", re.compile(rf"担当は(?P<n>[{_HAN}ぁ-ヿ]{{1,4}}\s?[{_HAN}ぁ-ヿ]{{1,4}}?)(?=医師)")),
@@ -172,6 +178,12 @@ def mentions(text: str | None, quote: bool = False) -> list[tuple[int, int, str]
                     if "n2" in pattern.groupindex and m["n2"]:
                         found.append((*m.span("n2"), "name"))
             i = low.find(word, z)
+    if " stopped" in low or " reports" in low:
+        for word, follows in ACTS:
+            for i in _finds(t.replace("\n", " "), word):
+                m = _BEGINS.search(t, max(0, i - 70), i) if follows.match(t, i + len(word)) else None
+                if m and m["n"].split()[-1].lower() not in _KIN:
+                    found.append((*m.span("n"), "name"))
     if not plain:
         for word, pattern in ASIAN:
             if word in t:

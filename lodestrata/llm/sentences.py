@@ -41,7 +41,7 @@ ORDINAL = frozenset("dem den der des am vom zum bis ab im".split())
 HANGING = frozenset(
     "a an the of to in on at by for with from and or but nor as per than then into onto over under after before since until while because due via about re "
     "no not is was were are be been has have had will would can could should may might do does did it its his her their my our your this that these those "
-    "which who whom whose when where if so patient pt dr mr mrs ms miss prof sister brother discussed tabs order portal message lot fig cf vs approx and/or "
+    "which who whom whose when where if so pt dr mr mrs ms miss prof fig cf vs approx and/or "
     "der die das den dem des ein eine einen einem einer und oder mit von vom zu zum zur bei nach seit unter für in im an am auf aus hatte wurde frau herr pat "
     "el la los las un una unos unas y o e de del al con sin por para en desde hasta que se su sra sr dra le les l' et ou du des au aux à par pour sur sous dans "
     "avec sans depuis un une d' @ > < = + / & - – re: cc".split()
@@ -57,8 +57,6 @@ OPENERS = frozenset(
     "रोगी माँ वज़न क्या डॉ. परिजन पेट कब्ज़ दस्त मतली भूख मल लا لا هل يشكو انخفض أصيبت هاتف د.".split()
 )
 HINDI_END = frozenset("है हैं हुई हुए हुआ की थी था थे करें बुलाएँ दें लें गया गई रहा रही घटा दस्त मतली कब्ज़ दर्द खून".split())
-VERBS = frozenset("was were is are has had have and reports recalls denies remains shows".split())
-
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 THAI = re.compile("[฀-๿]")
 _CJK = re.compile(f"[{CJK}]")
@@ -221,14 +219,7 @@ def _line_end(t: str, start: int, p: int, e: int, z: int) -> bool:
         return low in HINDI_END and (w in OPENERS or nxt.isupper() or w not in HINDI_END)
     if "؀" <= nxt <= "ۿ":
         return w in OPENERS
-    if w.rstrip(",:;") in OPENERS or w in OPENERS:
-        return True
-    if not nxt.isupper():
-        return False
-    if token[:1].isupper() and m and m.start() > start and not token.isupper():  # a name may go on
-        return False
-    w2 = _WORD.match(t, min(z, e + len(w) + 1))
-    return bool(w2) and w2.group().lower() in VERBS and len(w) > 3
+    return nxt.isupper()
 
 
 def _block(t: str, a: int, z: int, thai: bool, out: list[tuple[int, int]]) -> None:
