@@ -32,7 +32,7 @@ NEVER = frozenset(
     "inkl fig figs tab vol vers nr nos tel tél i.e e.g z.b d.h u.a p.ej c.f viz al resp incl ggf vgl abs art str avda no.s डॉ श्री मि.ग्रा मि.ली कि.ग्रा د".split()
 )
 FINAL = frozenset(
-    "b.i.d t.i.d q.i.d q.d q.h.s p.r.n q.o.d p.o a.m p.m o.d i.v lb lbs oz wk wks hr hrs yr yrs mo mos min sec env assoc inc ltd co corp dept univ "
+    "b.i.d t.i.d q.i.d q.d q.h.s p.r.n q.o.d p.o a.m p.m o.d i.v lb lbs oz wk wks hr hrs yr yrs mo mos env assoc inc ltd co corp dept univ "
     "etc usw tgl tägl ext apt ave rd blvd jr ph.d m.d r.n u.s n.b no".split()
 )
 MONTHS = frozenset("jan feb mar apr jun jul aug sep sept oct nov dec".split())
@@ -133,6 +133,22 @@ def _starts_new(t: str, q: int, z: int) -> bool:
     return False
 
 
+#: Words that may go on after an abbreviation though they can begin a sentence.
+_GOES_ON = frozenset("a an the no not is are was were has that this it we i you do since per after der die das ein eine el la los las le les un une se su es er sie ist hat on".split())
+
+
+def _small_start(t: str, q: int, z: int) -> bool:
+    """Whether words in lower case at q begin a sentence all the same: one of the openers, or a subject and was or were."""
+    w = _WORD.match(t, q).group()
+    if w.capitalize() in OPENERS and w not in _GOES_ON:
+        return True
+    k = q + len(w)
+    while k < z and t[k].isspace():
+        k += 1
+    w2 = _WORD.match(t, k)
+    return bool(w2) and w2.group() in ("was", "were") and w.isalpha() and w not in HANGING
+
+
 def _stop(t: str, start: int, p: int, e: int, z: int) -> bool:
     """Whether the full stop at p (marks to e) ends the sentence begun at start."""
     if e >= z:
@@ -176,7 +192,7 @@ def _stop(t: str, start: int, p: int, e: int, z: int) -> bool:
         if n2.isdigit():
             return False
         if not _starts_new(t, q, z):
-            return False
+            return n2.islower() and _small_start(t, q, z)
         if token.isupper() and len(token) > 3:  # in capitals throughout, only a beginning tells
             w = _WORD.match(t, q)
             return bool(w) and w.group().capitalize() in OPENERS
