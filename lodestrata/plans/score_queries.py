@@ -513,3 +513,34 @@ def event_audit(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("dated", F.col("ts").isNotNull())
     aggs = [F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("value")]
     return e.groupBy("event_type", "dated").agg(*aggs).unionByName(e.groupBy("dated").agg(*aggs).withColumn("event_type", F.lit(None).cast("string")))
+
+
+@query()
+def recovery_audit(spark, sf_dir):
+    """Mentions tried as missed evidence, by outcome."""
+    from ..operators.recovery import recovery_scan
+
+    _, audit = recovery_scan(table(spark, sf_dir, NOTES), "_run_row_index", "Clean_note_text", V.ALIASES)
+    return audit.select("feature", "accepted", F.explode_outer("failures").alias("failure")).groupBy("feature", "accepted", "failure").agg(F.count("*").alias("mentions"))
+
+
+@query()
+def metadata_issues(spark, sf_dir):
+    """P15."""
+    from ..functions.structure import metadata_issues as issues
+
+    c = table(spark, sf_dir, CLAIMS)
+    codes = issues(N.label(F.col("prediction")), F.col("confidence"), F.col("note_section"), F.col("experiencer"), F.col("assertion_status"), F.col("feature"))
+    return c.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("claims"))
+
+
+@query("""
+SELECT _run_row_index, regexp_matches(t, '\\b(?:mother|father|sister|brother|parent|grandmother|grandfather|aunt|uncle|son|daughter|sibling|relative)\\b[^.;\\n]{0,100}\\b(?:colon|colorectal|rectal|bowel)\\s+(?:cancer|carcinoma|ca)\\b')
+  OR regexp_matches(t, '\\b(?:colon|colorectal|rectal|bowel)\\s+(?:cancer|carcinoma|ca)\\b[^.;\\n]{0,100}\\b(?:mother|father|sister|brother|parent|grandmother|grandfather|aunt|uncle|son|daughter|sibling|relative)\\b') AS family
+FROM (SELECT _run_row_index, lower(Clean_note_text) AS t FROM rebuilt_notes_by_noteid WHERE regexp_matches(Clean_note_text, '^[\\x00-\\x7F]*$'))""")
+def family_history(spark, sf_dir):
+    """M17."""
+    from ..functions.structure import family_history as rule
+
+    n = table(spark, sf_dir, NOTES).where(F.col("Clean_note_text").rlike(r"^[\x00-\x7F]*$"))
+    return n.select("_run_row_index", rule(F.col("Clean_note_text")).alias("family"))

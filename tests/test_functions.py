@@ -219,3 +219,50 @@ def test_stream_is_the_batch(spark, data, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("event_type").agg(F.sum("count").alias("n"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in batch.groupBy("event_type").count().collect()}
     assert windowed_counts(batch).agg(F.sum("n")).first()[0] == batch.count()
+
+
+STRUCTURE = [
+        ("Rectal bleeding", "melena", "melena", "Patient has melena today.", []),
+        ("Rectal bleeding", "melena", "vomiting, melena", "Denies fever, nausea, vomiting,  melena", ["LONG_NEGATED_LIST_SCOPE", "NEGATED_LIST_SCOPE"]),
+        ("Rectal bleeding", "melena", "melena", "Denies fever. Has melena", []), ("Rectal bleeding", "melena", "melena", "Denies fever but has melena", []),
+        ("Rectal bleeding", "melena", "melena", "no current melena", ["NEGATED_LIST_SCOPE"]), ("Rectal bleeding", "melena", "absent text", "nothing here", ["CANDIDATE_LOCATION_UNRESOLVED"]),
+        ("Rectal bleeding", "melena", "melena", "Review of systems: positives in bold. fever melena", ["UNMARKED_ITEM_IN_POLARITY_MARKED_ROS"]),
+        ("Rectal bleeding", "melena", "melena", "Review of systems: positives in bold. fever + melena", []), ("Rectal bleeding", "melena", "melena", "Problem list: melena", ["PROBLEM_LIST_ONLY_CONTEXT"]),
+        ("Constipation", "hard stools", "hard stools", "has hard stools", ["BROAD_ALIAS_WITHOUT_CORROBORATION", "BROAD_ALIAS_WITHOUT_STRICT_CORROBORATION"]),
+        ("Constipation", "hard stools", "hard stools", "has hard stools and takes senna", []),
+        ("Family history of colorectal cancer", "crc in family", "crc in family", "mother is worried about colon cancer, crc in family", ["FAMILY_MEMBER_CONCERN_NOT_FAMILY_HISTORY"]),
+    ]
+
+
+def test_structural_failures(spark):
+    from lodestrata.functions import structure as S
+
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(STRUCTURE)], "i int, f string, a string, q string, n string")
+    got = {r.i: r.failures for r in S.structural_failures(df, "f", "a", "q", "n").collect()}
+    assert [got[i] for i in range(len(STRUCTURE))] == [c[4] for c in STRUCTURE]
+
+
+def test_recovery_and_helpers(spark):
+    from lodestrata.functions import structure as S
+    from lodestrata.operators import recovery as R
+
+    notes = spark.createDataFrame([(1, "Denies nausea, melena. Later had melena at home."), (2, None), (3, "no melena")], "k int, t string")
+    ok, audit = R.recovery_scan(notes, "k", "t", {"Rectal bleeding": V.ALIASES["Rectal bleeding"]})
+    assert [(r.k, r.quote) for r in ok.collect()] == [(1, "later had melena at home.")] and audit.count() == 1
+    near = spark.range(1).select(S.nearest_alias(F.lit("melena and then melena again"), F.lit("melena"), F.lit(17), F.lit(23)).alias("r")).first().r
+    assert tuple(near) == (17, 23)
+    assert spark.range(1).select(S.longest_alias(F.lit("has rectal pain"), ("pain", "rectal pain")).alias("r")).first().r == "rectal pain"
+    v = spark.range(1).select(R.query_variants(F.lit("Melena"), F.array(F.lit("melena")), F.array(F.lit("bleeding")), F.array(F.lit("GI"))).alias("v")).first().v
+    assert [(x.name, x["query"]) for x in v] == [("base", "melena"), ("ontology_expanded", "melena bleeding gi")]
+    g = lambda *a: spark.range(1).select(R.guarded_proposal(*a).alias("r")).first().r
+    none = F.array().cast("array<string>")
+    assert g(F.lit("No"), F.lit("Yes"), F.lit(True), none, F.lit(False)) == "Yes" and g(F.lit("No"), F.lit("Yes"), F.lit(False), none, F.lit(False)) == "No"
+    assert g(F.lit("No"), F.lit("odd"), F.lit(True), none, F.lit(False)) == "No" and g(F.lit("No"), F.lit("Yes"), F.lit(False), none, F.lit(True)) == "Yes"
+    row = {"body_id": "b", "finding": "Diarrhea", "start": "4", "upgrade": "0", "final": "moderate", "protocol": "p", "origin": "o", **{d: "not serious" for d in R.DOMAINS}, **{f"{d}_rationale": "" for d in R.DOMAINS}}
+    bad = {**row, "body_id": "c", "imprecision": "serious", "final": "HIGH"}
+    p = spark.createDataFrame([row, {**row, "imprecision": "serious", "imprecision_rationale": "few", "body_id": "d"}, bad])
+    got = {r.body_id: r.violations for r in R.profile_violations(p, V.FINDINGS).collect()}
+    assert got == {"b": ["CERTAINTY_DOES_NOT_FOLLOW"], "d": [], "c": ["IMPRECISION_WITHOUT_RATIONALE", "CERTAINTY_DOES_NOT_FOLLOW"]}
+    assert one(spark, R.prompt("Note {c}!", c=F.col("c")), c="x") == "Note x!"
+    w = spark.createDataFrame([(1, "4")], "k int, `Diarrhea confidence` string")
+    assert [tuple(r) for r in R.confidence_of(w, "k", ("Diarrhea", "Constipation")).collect()] == [(1, "Diarrhea", 4.0), (1, "Constipation", None)]
