@@ -147,9 +147,13 @@ def cell_counts(texts: DataFrame, text: str, size: int, least: int, bits: int) -
     than the batches of 64 parts, or one row of each 64 parts."""
     rows = texts.select(F.col(text).alias("t"), F.spark_partition_id().alias("part")).where("t is not null")
     raw = rows.mapInArrow(_cells(size, least, bits), "part int, block int, offsets binary")
-    some = raw.withColumn("salt", (F.col("part") / 64).cast("int")).groupBy("block", "salt").applyInArrow(_add_offsets, "block int, counts binary")
+    if rows._jdf.rdd().getNumPartitions() <= 64:  # one group a block: the second level would add nothing up
+        done = raw.groupBy("block").applyInArrow(lambda g: _add_counts(_add_offsets(g)), "block int, codes binary")
+    else:
+        some = raw.withColumn("salt", (F.col("part") / 64).cast("int")).groupBy("block", "salt").applyInArrow(_add_offsets, "block int, counts binary")
+        done = some.groupBy("block").applyInArrow(_add_counts, "block int, codes binary")
     out = np.zeros(1 << bits, np.uint8)
-    for r in some.groupBy("block").applyInArrow(_add_counts, "block int, codes binary").collect():  # 2**(bits - BLOCK) rows
+    for r in done.collect():  # 2**(bits - BLOCK) rows
         out[r.block << BLOCK : (r.block + 1) << BLOCK] = np.frombuffer(zlib.decompress(r.codes), np.uint8)
     return out
 
@@ -193,15 +197,15 @@ def _marked(codes: np.ndarray, hashes: _Hashes, batch: pa.RecordBatch, size: int
 
 
 def _prints(codes_of, size: int, least: int, threshold: float):
-    """(id, print): the fingerprints of the records that can match."""
+    """(id, print, n): the fingerprints and sizes of the records that can match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, hashes = codes_of(), _Hashes()
         for batch in batches:
-            found = [(i, mark) for i, mark, _, _ in _marked(codes, hashes, batch, size, least, threshold)]
+            found = [(i, mark, len(g)) for i, mark, _, g in _marked(codes, hashes, batch, size, least, threshold)]
             if found:
-                at, marks = zip(*found)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(marks, pa.int64())], names=["id", "print"])
+                at, marks, sizes = zip(*found)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32())], names=["id", "print", "n"])
 
     return run
 
@@ -303,10 +307,10 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: in
     codes = _Shared(spark, cell_counts(base, "text", size, least, bits), place)
     release(spark)
     kind = df.schema[key].dataType.simpleString()
-    base.mapInArrow(_prints(codes, size, least, threshold), f"id {kind}, print bigint").write.parquet(place)
+    base.mapInArrow(_prints(codes, size, least, threshold), f"id {kind}, print bigint, n int").write.parquet(place)
     records = spark.read.parquet(place)
-    classes = records.groupBy("print").agg(F.min("id").alias("class"))
-    members = records.join(classes, "print").select("id", "class")
+    classes = records.groupBy("print").agg(F.min("id").alias("class"), F.min("n").alias("n"))
+    members = records.join(classes.select("print", "class"), "print").select("id", "class")
     # partitioned before the copies are dropped: rows of a record that lie together compress, and tasks sent few copies
     packed = base.select("id", "text").mapInArrow(_postings(codes, size, least, threshold, votes), "gram bigint, print bigint, np bigint")
     once = packed.repartition("gram").groupBy("gram", "print").agg(F.min("np").alias("np"))
@@ -318,11 +322,11 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: in
         a.join(b, "gram")
         .where((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
         .where((F.col("n_a") >= need) & (F.col("p_a") < F.col("n_a") - need + votes) & (F.col("p_b") < F.col("n_b") - need + votes))
-        .groupBy("a", "b", "n_a", "n_b")
-        .count()
-        .where(F.col("count") >= F.least(F.lit(votes), need))
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("met"), F.max(F.least(F.lit(votes), need)).alias("due"))
+        .where("met >= due")
     )
-    named = lambda c: classes.select(F.col("print").alias(c), F.col("class").alias(f"class_{c}"))
+    named = lambda c: classes.select(F.col("print").alias(c), F.col("class").alias(f"class_{c}"), F.col("n").alias(f"n_{c}"))
     pairs = cut(met.join(named("a"), "a").join(named("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b"))
     release(spark)
     # no text is shuffled: a filter of fixed size picks the records to read again, and the join below is exact

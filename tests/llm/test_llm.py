@@ -110,6 +110,12 @@ def test_near_duplicates(spark):
     assert neardup.similar_pairs(df.limit(0), "id", "text", bits=18).count() == 0
 
 
+def test_cell_counts_in_two_levels(spark):
+    df = frame(spark, near_corpus())
+    one, two = (neardup.cell_counts(df.repartition(n), "text", 3, 20, 18) for n in (2, 70))
+    assert (one == two).all() and one.max() > 2
+
+
 def test_near_duplicates_at_five_words(spark):
     texts = near_corpus()
     got = {tuple(r) for r in neardup.similar_pairs(frame(spark, texts), "id", "text", threshold=0.8, size=5, bits=18).collect()}
