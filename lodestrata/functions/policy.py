@@ -151,7 +151,7 @@ def split_section(text: Column, headers: tuple[str, ...]) -> tuple[Column, Colum
 
 def template_score(text: Column) -> Column:
     """How many signs of a filled-in form a text shows, 0 to 6."""
-    signs = (r"(?i)[+\-]\s*\w+.*[+\-]\s*\w+", r"(?i)(?:positive|negative) for:?\s", r"(?i)denies:?\s+\w+(?:,\s*\w+){2,}", r"[☑☐☒]", r"(?i)\[x\]|\[ \]")
+    signs = (r"(?id)[+\-]\s*\w+.*[+\-]\s*\w+", r"(?i)(?:positive|negative) for:?\s", r"(?i)denies:?\s+\w+(?:,\s*\w+){2,}", r"[☑☐☒]", r"(?i)\[x\]|\[ \]")
     words = r"(?i)\b(?:pain|bleeding|nausea|vomiting|diarrhea|constipation|fever|chills|fatigue|headache|cough|sob|dyspnea)\b"
     out = F.when((F.length(text) < 200) & (F.regexp_count(text, F.lit(words)) >= 5), 1).otherwise(0)
     for s in signs:

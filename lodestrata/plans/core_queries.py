@@ -174,11 +174,11 @@ def change_quality(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT len(regexp_extract_all(lower(evidence_quote), '[\\p{L}\\p{N}_]+|[^\\s\\p{L}\\p{N}_]')) AS n FROM agent2_claims_pair_level WHERE length(evidence_quote) > 5 AND regexp_matches(evidence_quote, '^[ -~]*$'))
+WITH q AS (SELECT len(regexp_extract_all(lower(evidence_quote), '[\\p{L}\\p{N}_]+|[^\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\p{L}\\p{N}_]')) AS n FROM agent2_claims_pair_level WHERE length(evidence_quote) > 5)
 SELECT quantile_cont(CAST(n AS DOUBLE), 0.5) AS median, round(quantile_cont(CAST(n AS DOUBLE), 0.95), 6) AS p95, CAST(max(n) AS BIGINT) AS most, count(*) FILTER (n >= 32) AS at_cap FROM q""")
 def quote_token_percentiles(spark, sf_dir):
     """Exact percentiles with linear interpolation."""
-    q = table(spark, sf_dir, CLAIMS).where((F.length("evidence_quote") > 5) & F.col("evidence_quote").rlike("^[ -~]*$")).select(F.size(N.tokens(F.col("evidence_quote"))).alias("n"))
+    q = table(spark, sf_dir, CLAIMS).where(F.length("evidence_quote") > 5).select(F.size(N.tokens(F.col("evidence_quote"))).alias("n"))
     return q.agg(F.percentile("n", 0.5).alias("median"), F.round(F.percentile("n", 0.95), 6).alias("p95"), F.max("n").cast("bigint").alias("most"), F.count_if(F.col("n") >= 32).alias("at_cap"))
 
 
@@ -344,10 +344,6 @@ def _alt(terms) -> str:
     return "|".join(t.replace("/", "\\/").replace("'", "''") for t in sorted(terms, key=lambda t: (-len(t), t)))
 
 
-def _ascii_notes(spark, sf_dir):
-    return table(spark, sf_dir, NOTES).where(F.col("Clean_note_text").rlike(r"^[\x00-\x7F]*$"))
-
-
 @query()
 def phrase_spans(spark, sf_dir):
     """Every mention with its place."""
@@ -368,13 +364,13 @@ def affirmed_by_finding(spark, sf_dir):
 
 @query(
     " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, count(*) FILTER (regexp_matches(t, '(?:^|[^a-z0-9_])(?:{_alt(a)})(?:$|[^a-z0-9_])')) AS notes FROM (SELECT lower(Clean_note_text) AS t FROM rebuilt_notes_by_noteid WHERE regexp_matches(Clean_note_text, '^[\\x00-\\x7F]*$'))"
+        f"SELECT '{f}' AS feature, count(*) FILTER (regexp_matches(t, '(?:^|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}])(?:{_alt(a)})(?:$|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}])')) AS notes FROM (SELECT lower(Clean_note_text) AS t FROM rebuilt_notes_by_noteid)"
         for f, a in DEMO.items()
     )
 )
 def notes_by_finding(spark, sf_dir):
-    """M1, J10 as one filter per finding: notes in plain ASCII that mention it."""
-    n = _ascii_notes(spark, sf_dir).select(F.lower("Clean_note_text").alias("t"))
+    """M1, J10 as one filter per finding: notes that mention it."""
+    n = table(spark, sf_dir, NOTES).select(F.lower("Clean_note_text").alias("t"))
     counts = n.agg(*(F.count_if(F.col("t").rlike(T.alternation(a))).alias(f) for f, a in DEMO.items()))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("notes")) for f in DEMO))).alias("s")).select("s.*")
 
@@ -441,10 +437,10 @@ def exclusion_filter(spark, sf_dir):
 SELECT doc_id, CAST(regexp_matches(text, '(?i)[+\\-]\\s*\\w+.*[+\\-]\\s*\\w+') AS INTEGER) + CAST(regexp_matches(text, '(?i)(?:positive|negative) for:?\\s') AS INTEGER)
   + CAST(regexp_matches(text, '(?i)denies:?\\s+\\w+(?:,\\s*\\w+){2,}') AS INTEGER) + CAST(regexp_matches(text, '[☑☐☒]') AS INTEGER) + CAST(regexp_matches(text, '(?i)\\[x\\]|\\[ \\]') AS INTEGER)
   + CASE WHEN length(text) < 200 AND len(regexp_extract_all(text, '(?i)\\b(?:pain|bleeding|nausea|vomiting|diarrhea|constipation|fever|chills|fatigue|headache|cough|sob|dyspnea)\\b')) >= 5 THEN 1 ELSE 0 END AS score
-FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')""")
+FROM documents WHERE text IS NOT NULL""")
 def template_scores(spark, sf_dir):
-    """M21, on texts in plain ASCII, where both engines' classes agree."""
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", P.template_score(F.col("text")).alias("score"))
+    """M21."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", P.template_score(F.col("text")).alias("score"))
 
 
 def _fails(code: str, cond: str) -> str:
@@ -458,23 +454,23 @@ def _fails(code: str, cond: str) -> str:
         _fails("TEST_OR_ORDER_ONLY", f"feature = 'Rectal bleeding' AND a = 'occult blood' AND regexp_matches(evidence_quote, '(?i)\\b(?:{V.TEST_ORDER})\\b') AND NOT regexp_matches(evidence_quote, '(?i)\\b(?:{V.POSITIVE_RESULT})\\b')"),
         _fails("WEIGHT_LOSS_GOAL_OR_PURPOSE", f"feature = 'Weight loss' AND regexp_matches(evidence_quote, '(?i)\\b(?:{V.LOSS_PURPOSE})\\b')"),
     ]) + "], lambda x: x IS NOT NULL)), ';') AS codes FROM (SELECT claim_id, feature, evidence_quote, CASE WHEN contains(lower(evidence_quote), 'straining') THEN 'straining' ELSE 'occult blood' END AS a "
-    "FROM agent2_claims_pair_level WHERE length(evidence_quote) > 5 AND regexp_matches(evidence_quote, '^[ -~]*$'))"
+    "FROM agent2_claims_pair_level WHERE length(evidence_quote) > 5)"
 )
 def context_failures(spark, sf_dir):
     """P10, the codes that need no scope."""
     a = F.when(F.contains(F.lower("evidence_quote"), F.lit("straining")), "straining").otherwise("occult blood")
-    c = table(spark, sf_dir, CLAIMS).where((F.length("evidence_quote") > 5) & F.col("evidence_quote").rlike("^[ -~]*$"))
+    c = table(spark, sf_dir, CLAIMS).where(F.length("evidence_quote") > 5)
     codes = F.filter(P.context_failures(F.col("feature"), a, F.col("evidence_quote")), lambda x: ~x.isin("ADVICE_OR_PREVENTION_CONTEXT", "EXPLICIT_NONE_CONTEXT"))
     return c.select("claim_id", F.array_join(codes, ";").alias("codes"))
 
 
 @query(
     f"SELECT claim_id, regexp_matches(q, '(?i)\\b(?:{'|'.join(V.RELATIONS)})\\b') AS relation, regexp_matches(q, '(?i)\\b(?:{'|'.join(V.CANCERS)})\\b') AS cancer "
-    f"FROM (SELECT claim_id, evidence_quote AS q FROM agent2_claims_pair_level WHERE feature = '{V.FAMILY}' AND regexp_matches(evidence_quote, '^[ -~]*$'))"
+    f"FROM (SELECT claim_id, evidence_quote AS q FROM agent2_claims_pair_level WHERE feature = '{V.FAMILY}')"
 )
 def family_rules(spark, sf_dir):
     """P8."""
-    c = table(spark, sf_dir, CLAIMS).where((F.col("feature") == V.FAMILY) & F.col("evidence_quote").rlike("^[ -~]*$"))
+    c = table(spark, sf_dir, CLAIMS).where(F.col("feature") == V.FAMILY)
     return c.select("claim_id", P.has_relation(F.col("evidence_quote")).alias("relation"), P.has_cancer(F.col("evidence_quote")).alias("cancer"))
 
 

@@ -32,13 +32,13 @@ def query(sql: str | None = None):
 
 # --- grounding (G1-G11) ------------------------------------------------------------------------------------------
 
-_TOK = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]')"
+_TOK = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+|[^\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\p{{L}}\\p{{N}}_]')"
 
 
-@query(f"SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, CAST(len(list_distinct(t)) AS INTEGER) AS kinds FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))")
+@query(f"SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, CAST(len(list_distinct(t)) AS INTEGER) AS kinds FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents WHERE text IS NOT NULL)")
 def token_counts(spark, sf_dir):
     """G1."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", N.tokens(F.col("text")).alias("t"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", N.tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("kinds"))
 
 
@@ -53,31 +53,31 @@ _QUOTED = "FROM agent2_claims_pair_level c JOIN rebuilt_notes_by_noteid n USING
 
 @query(f"""
 SELECT claim_id, coalesce(length(regexp_replace(q, '\\s', '', 'g')) > 5 AND (contains(t, trim(q, ' ')) OR contains(f(t), f(q))), false) AS grounded
-FROM (SELECT claim_id, evidence_quote AS q, Clean_note_text AS t {_QUOTED} AND regexp_matches(Clean_note_text, '^[\\x00-\\x7F]*$') AND regexp_matches(evidence_quote, '^[ -~]*$'))""".replace("f(t)", "trim(regexp_replace(lower(t), '\\s+', ' ', 'g'), ' ')").replace("f(q)", "trim(regexp_replace(lower(q), '\\s+', ' ', 'g'), ' ')"))
+FROM (SELECT claim_id, evidence_quote AS q, Clean_note_text AS t {_QUOTED})""".replace("f(t)", "trim(regexp_replace(replace(replace(replace(replace(lower(t), '“', chr(34)), '”', chr(34)), '‘', chr(39)), '’', chr(39)), '[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'), ' ')").replace("f(q)", "trim(regexp_replace(replace(replace(replace(replace(lower(q), '“', chr(34)), '”', chr(34)), '‘', chr(39)), '’', chr(39)), '[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'), ' ')"))
 def grounded_quotes(spark, sf_dir):
-    """Exact or folded containment, on plain ASCII."""
-    q = quotes(spark, sf_dir).where(F.col("Clean_note_text").rlike(r"^[\x00-\x7F]*$") & F.col("evidence_quote").rlike("^[ -~]*$"))
+    """Exact or folded containment."""
+    q = quotes(spark, sf_dir)
     return q.select("claim_id", T.contains_folded(F.col("Clean_note_text"), F.col("evidence_quote")).alias("grounded"))
 
 
 @query(f"""
 SELECT claim_id, coalesce(len(h) >= 4 AND contains(chr(1) || array_to_string(r, chr(1)) || chr(1), chr(1) || array_to_string(h, chr(1)) || chr(1)), false) AS run
-FROM (SELECT claim_id, {_TOK.format('evidence_quote')} AS h, {_TOK.format('Clean_note_text')} AS r {_QUOTED} AND regexp_matches(Clean_note_text, '^[\\x00-\\x7F]*$') AND regexp_matches(evidence_quote, '^[ -~]*$'))""")
+FROM (SELECT claim_id, {_TOK.format('evidence_quote')} AS h, {_TOK.format('Clean_note_text')} AS r {_QUOTED})""")
 def subsequence_match(spark, sf_dir):
     """G3."""
-    q = quotes(spark, sf_dir).where(F.col("Clean_note_text").rlike(r"^[\x00-\x7F]*$") & F.col("evidence_quote").rlike("^[ -~]*$"))
+    q = quotes(spark, sf_dir)
     return q.select("claim_id", T.contains_tokens(F.col("Clean_note_text"), F.col("evidence_quote")).alias("run"))
 
 
 @query(f"""
-WITH q AS (SELECT claim_id, {_TOK.format('evidence_quote')} AS h, {_TOK.format('Clean_note_text')} AS r {_QUOTED} AND regexp_matches(Clean_note_text, '^[\\x00-\\x7F]*$') AND regexp_matches(evidence_quote, '^[ -~]*$')),
+WITH q AS (SELECT claim_id, {_TOK.format('evidence_quote')} AS h, {_TOK.format('Clean_note_text')} AS r {_QUOTED}),
 hc AS (SELECT claim_id, g, count(*) AS n FROM (SELECT claim_id, unnest(h) AS g FROM q) GROUP BY 1, 2), rc AS (SELECT claim_id, g, count(*) AS n FROM (SELECT claim_id, unnest(r) AS g FROM q) GROUP BY 1, 2)
 SELECT claim_id, round(sum(least(hc.n, coalesce(rc.n, 0))) / sum(hc.n), 6) AS precision FROM hc LEFT JOIN rc USING (claim_id, g) GROUP BY claim_id""")
 def unigram_precision(spark, sf_dir):
     """G5 as explode and join: a note's tokens are counted once, whatever the number of its quotations."""
-    q = quotes(spark, sf_dir).where(F.col("Clean_note_text").rlike(r"^[\x00-\x7F]*$") & F.col("evidence_quote").rlike("^[ -~]*$"))
+    q = quotes(spark, sf_dir)
     h = q.select("claim_id", "_run_row_index", F.explode(N.tokens(F.col("evidence_quote"))).alias("g")).groupBy("claim_id", "_run_row_index", "g").agg(F.count("*").alias("n"))
-    notes = table(spark, sf_dir, NOTES).where(F.col("Clean_note_text").rlike(r"^[\x00-\x7F]*$"))
+    notes = table(spark, sf_dir, NOTES)
     r = notes.select("_run_row_index", F.explode(N.tokens(F.col("Clean_note_text"))).alias("g")).groupBy("_run_row_index", "g").agg(F.count("*").alias("m"))
     j = h.join(r, ["_run_row_index", "g"], "left")
     return j.groupBy("claim_id").agg(F.round(F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n"), 6).alias("precision"))
@@ -537,10 +537,10 @@ def metadata_issues(spark, sf_dir):
 @query("""
 SELECT _run_row_index, regexp_matches(t, '\\b(?:mother|father|sister|brother|parent|grandmother|grandfather|aunt|uncle|son|daughter|sibling|relative)\\b[^.;\\n]{0,100}\\b(?:colon|colorectal|rectal|bowel)\\s+(?:cancer|carcinoma|ca)\\b')
   OR regexp_matches(t, '\\b(?:colon|colorectal|rectal|bowel)\\s+(?:cancer|carcinoma|ca)\\b[^.;\\n]{0,100}\\b(?:mother|father|sister|brother|parent|grandmother|grandfather|aunt|uncle|son|daughter|sibling|relative)\\b') AS family
-FROM (SELECT _run_row_index, lower(Clean_note_text) AS t FROM rebuilt_notes_by_noteid WHERE regexp_matches(Clean_note_text, '^[\\x00-\\x7F]*$'))""")
+FROM (SELECT _run_row_index, lower(Clean_note_text) AS t  FROM rebuilt_notes_by_noteid WHERE Clean_note_text IS NOT NULL)""")
 def family_history(spark, sf_dir):
     """M17."""
     from ..functions.structure import family_history as rule
 
-    n = table(spark, sf_dir, NOTES).where(F.col("Clean_note_text").rlike(r"^[\x00-\x7F]*$"))
+    n = table(spark, sf_dir, NOTES).where("Clean_note_text is not null")
     return n.select("_run_row_index", rule(F.col("Clean_note_text")).alias("family"))
