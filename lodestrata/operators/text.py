@@ -37,25 +37,38 @@ def unambiguous(terms: DataFrame, term: str = "alias", owner: str = "feature") -
     return terms.join(n.where("owners = 1").select(term), term, "left_semi")
 
 
+def _trie(terms: list[str]) -> str:
+    """Terms as a pattern that tries each first letter once; longer terms before their own beginnings."""
+    heads: dict[str, list[str]] = {}
+    for t in terms:
+        heads.setdefault(t[:1], []).append(t[1:])
+    out = []
+    for head, rest in sorted(heads.items(), key=lambda kv: kv[0] == ""):
+        out.append(re.escape(head).replace(r"\ ", " ") + (_trie(rest) if rest != [""] else "") if head else "")
+    return out[0] if len(out) == 1 else "(?:" + "|".join(out) + ")"
+
+
 def alternation(terms: tuple[str, ...] | list[str]) -> str:
-    """A lexicon as one pattern, longest terms first, so that one pass over a text serves all terms."""
-    return r"(?U)(?<!\w)(?:" + "|".join(re.escape(t).replace(r"\ ", " ") for t in sorted(terms, key=lambda t: (-len(t), t))) + r")(?!\w)"
+    """A lexicon as one pattern, the longest of the terms that fit first, so that one pass over a text serves all; the
+    set of first letters stands in front, as it rules out most places at once."""
+    firsts = "".join(sorted({t[0] for t in terms}))
+    return "(?U)(?=[" + re.escape(firsts) + r"])(?<!\w)" + _trie(sorted(set(terms))) + r"(?!\w)"
 
 
 def mentions(df: DataFrame, key: str, text: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
     """(key, feature, alias, start, end): every non-overlapping mention of each finding, longest alias first;
-    0-based places in the lower-cased text. One literal pattern a finding, so no join and no pattern per row."""
-    low = df.select(F.col(key).alias("k"), F.lower(text).alias("t")).where("t is not null")
-    pairs = [F.struct(F.lit(f).alias("feature"), F.split("t", alternation(a), -1).alias("gaps"), F.regexp_extract_all("t", F.lit(alternation(a)), F.lit(0)).alias("hits")) for f, a in aliases.items()]
-    each = low.select("k", F.explode(F.array(*pairs)).alias("e")).where("size(e.hits) > 0").select("k", "e.*")
-    ends = F.aggregate(
-        F.arrays_zip("gaps", "hits"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gaps"]) + F.coalesce(F.length(x["hits"]), F.lit(0))).alias("at"), F.concat(s["starts"], F.array(s["at"] + F.length(x["gaps"]))).alias("starts")
-        ),
+    0-based places in the lower-cased text. One literal pattern a finding and one pass of it, so no join and no pattern
+    per row: hits are marked, and the places follow from the lengths between the marks."""
+    low = df.select(F.col(key).alias("k"), F.translate(F.lower(text), "\x01\x02", "  ").alias("t")).where("t is not null")
+    pairs = [F.struct(F.lit(f).alias("feature"), F.split(F.regexp_replace("t", alternation(a), "\x01$0\x02"), "\x01").alias("parts")) for f, a in aliases.items()]
+    each = low.select("k", F.explode(F.array(*pairs)).alias("e")).where("size(e.parts) > 1").select("k", "e.*")
+    cut = each.select("k", "feature", F.length(F.element_at("parts", 1)).alias("first"), F.transform(F.slice("parts", 2, F.size("parts")), lambda p: F.split(p, "\x02")).alias("p"))
+    starts = F.aggregate(
+        "p",
+        F.struct(F.col("first").alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda s, x: F.struct((s["at"] + F.length(x[0]) + F.length(x[1])).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")),
     )["starts"]
-    spans = each.select("k", "feature", F.explode(F.arrays_zip("hits", F.slice(ends, 1, F.size("hits")).alias("starts"))).alias("m"))
+    spans = cut.select("k", "feature", F.explode(F.arrays_zip(F.transform("p", lambda x: x[0]).alias("hits"), starts.alias("starts"))).alias("m"))
     return spans.select(F.col("k").alias(key), "feature", F.col("m.hits").alias("alias"), F.col("m.starts").alias("start"), (F.col("m.starts") + F.length("m.hits")).alias("end"))
 
 

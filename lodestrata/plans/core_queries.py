@@ -11,8 +11,9 @@ from pyspark.sql import Window
 from ..functions import normalize as N
 from ..functions import policy as P
 from ..functions import vocabulary as V
-from ..operators import contracts, loop, parsing, stats
+from ..operators import contracts, loop, stats
 from ..operators import text as T
+from ..session import spread
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,13 +348,13 @@ def _alt(terms) -> str:
 @query()
 def phrase_spans(spark, sf_dir):
     """Every mention with its place."""
-    return T.mentions(table(spark, sf_dir, NOTES), "_run_row_index", "Clean_note_text", DEMO)
+    return T.mentions(spread(table(spark, sf_dir, NOTES)), "_run_row_index", "Clean_note_text", DEMO)
 
 
 @query()
 def affirmed_by_finding(spark, sf_dir):
     """Notes that affirm each finding; a note counts for the best class of its mentions."""
-    m = T.mentions(table(spark, sf_dir, NOTES), "_run_row_index", "Clean_note_text", DEMO)
+    m = T.mentions(spread(table(spark, sf_dir, NOTES)), "_run_row_index", "Clean_note_text", DEMO)
     n = table(spark, sf_dir, NOTES).select("_run_row_index", F.lower("Clean_note_text").alias("t"))
     c = m.join(n, "_run_row_index").withColumn("class", P.assertion_class(F.col("t"), F.col("start") + 1, F.col("end") + 1))
     return c.groupBy("feature").agg(
@@ -370,7 +371,7 @@ def affirmed_by_finding(spark, sf_dir):
 )
 def notes_by_finding(spark, sf_dir):
     """M1, J10 as one filter per finding: notes that mention it."""
-    n = table(spark, sf_dir, NOTES).select(F.lower("Clean_note_text").alias("t"))
+    n = spread(table(spark, sf_dir, NOTES)).select(F.lower("Clean_note_text").alias("t"))
     counts = n.agg(*(F.count_if(F.col("t").rlike(T.alternation(a))).alias(f) for f, a in DEMO.items()))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("notes")) for f in DEMO))).alias("s")).select("s.*")
 
@@ -378,7 +379,7 @@ def notes_by_finding(spark, sf_dir):
 @query()
 def concept_top5(spark, sf_dir):
     """M4: at most the first five aliases, in lexicon order, of each finding in a note."""
-    m = T.mentions(table(spark, sf_dir, NOTES), "_run_row_index", "Clean_note_text", DEMO).select("_run_row_index", "feature", "alias").distinct()
+    m = T.mentions(spread(table(spark, sf_dir, NOTES)), "_run_row_index", "Clean_note_text", DEMO).select("_run_row_index", "feature", "alias").distinct()
     j = m.join(F.broadcast(T.lexicon(spark, DEMO)), ["feature", "alias"])
     w = Window.partitionBy("_run_row_index", "feature").orderBy("ord")
     return j.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("_run_row_index", "feature", "rank", "alias")
@@ -387,7 +388,7 @@ def concept_top5(spark, sf_dir):
 @query()
 def mention_cover(spark, sf_dir):
     """M6, M7: mentions of all findings together, overlaps removed in two ways."""
-    m = T.mentions(table(spark, sf_dir, NOTES), "_run_row_index", "Clean_note_text", DEMO)
+    m = T.mentions(spread(table(spark, sf_dir, NOTES)), "_run_row_index", "Clean_note_text", DEMO)
     g = m.groupBy("_run_row_index").agg(F.collect_list(F.struct("start", "end", "feature")).alias("s"))
     return g.select("_run_row_index", F.size("s").alias("mentions"), F.size(T.leftmost_longest(F.col("s"))).alias("leftmost"), F.size(T.greedy_cover(F.col("s"))).alias("greedy"))
 

@@ -13,6 +13,7 @@ from ..functions import normalize as N
 from ..functions import vocabulary as V
 from ..operators import contracts, loop, parsing, retrieval, stats
 from ..operators import text as T
+from ..session import spread
 from ..sources.tables import table
 from .core_queries import _GOLD, _LABEL, CLAIMS, GOLD, NOTES, PAIRS, scored_pairs
 
@@ -44,7 +45,7 @@ def token_counts(spark, sf_dir):
 
 def quotes(spark, sf_dir) -> DataFrame:
     """Claims with a quotation and their note."""
-    c = table(spark, sf_dir, CLAIMS).where(F.length(F.trim("evidence_quote")) > 5).select("claim_id", "_run_row_index", "feature", "prediction", "evidence_quote")
+    c = spread(table(spark, sf_dir, CLAIMS)).where(F.length(F.trim("evidence_quote")) > 5).select("claim_id", "_run_row_index", "feature", "prediction", "evidence_quote")
     return c.join(table(spark, sf_dir, NOTES).select("_run_row_index", "Clean_note_text"), "_run_row_index")
 
 
@@ -520,7 +521,7 @@ def recovery_audit(spark, sf_dir):
     """Mentions tried as missed evidence, by outcome."""
     from ..operators.recovery import recovery_scan
 
-    _, audit = recovery_scan(table(spark, sf_dir, NOTES), "_run_row_index", "Clean_note_text", V.ALIASES)
+    _, audit = recovery_scan(spread(table(spark, sf_dir, NOTES)), "_run_row_index", "Clean_note_text", V.ALIASES)
     return audit.select("feature", "accepted", F.explode_outer("failures").alias("failure")).groupBy("feature", "accepted", "failure").agg(F.count("*").alias("mentions"))
 
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.shred import list_elements, loop_tables
+from ..session import spread
 from ..sources.tables import table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_elements(table(spark, sf_dir, "verge_final_pair_level"), "pair_id", "history")
+    return list_elements(spread(table(spark, sf_dir, "verge_final_pair_level")), "pair_id", "history")
 
 
 def _loop(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return loop_tables(table(spark, sf_dir, "verge_final_pair_level"), "pair_id", "history")[name]
+        return loop_tables(spread(table(spark, sf_dir, "verge_final_pair_level")), "pair_id", "history")[name]
 
     return query
 

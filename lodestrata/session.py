@@ -45,6 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan, dealt anew where it has far fewer parts than the cluster has cores (a small table in one file), as what
+    follows is work for the CPU; a scan of many files is left as it is. For scans only: their parts are known unrun."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() * 4 <= cores else scan
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more: it learns of them when the
     driver collects its garbage, which a driver with room to spare does too late for the executors' disks."""
