@@ -110,46 +110,51 @@ def _lcs(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, a row at a time."""
     row = np.zeros(len(b) + 1, np.int32)
     for x in a:
-        step = np.where(b == x, row[:-1] + 1, 0)
-        row[1:] = np.maximum.accumulate(np.maximum(step, row[1:]))
+        at = np.flatnonzero(b == x)
+        if len(at):
+            step = row[1:].copy()
+            step[at] = np.maximum(step[at], row[at] + 1)
+            row[1:] = np.maximum.accumulate(step)
     return int(row[-1])
 
 
 _TOKEN = re.compile(r"\w+|\S")
 
 
+def _grams(toks: list[str], n: int) -> Counter:
+    return Counter(zip(*(toks[i:] for i in range(n))))
+
+
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("exact", "folded", "subsequence", "rouge_l", "bleu")
     for batch in batches:
-        cache: dict[str, tuple] = {}
-        out = {"exact": [], "folded": [], "subsequence": [], "rouge_l": [], "bleu": []}
-        for note, quote in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if not note or not quote or len(quote.strip()) <= 5:
-                for v in out.values():
-                    v.append(None)
-                continue
-            if note not in cache:
-                if len(cache) > 64:
-                    cache.clear()
-                cache[note] = (" ".join(note.lower().translate(_FOLD).split()), [t for t in _TOKEN.findall(note.lower())])
-            folded, ref = cache[note]
-            hyp = _TOKEN.findall(quote.lower())
-            out["exact"].append(quote.strip() in note)
-            out["folded"].append(" ".join(quote.lower().translate(_FOLD).split()) in folded)
-            out["subsequence"].append(len(hyp) >= 4 and ("\x01" + "\x01".join(hyp) + "\x01") in ("\x01" + "\x01".join(ref) + "\x01"))
+        notes, quotes = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        out = {k: [None] * len(notes) for k in names}
+        by_note: dict[str, list[int]] = {}
+        for i, (note, quote) in enumerate(zip(notes, quotes)):
+            if note and quote and len(quote.strip()) > 5:
+                by_note.setdefault(note, []).append(i)
+        for note, at in by_note.items():  # what a note has is made once a batch, whatever the number of its quotations
+            folded, ref = " ".join(note.lower().translate(_FOLD).split()), _TOKEN.findall(note.lower())
+            run = "\x01" + "\x01".join(ref) + "\x01"
             ids: dict[str, int] = {}
-            a = np.array([ids.setdefault(t, len(ids)) for t in hyp])
             b = np.array([ids.setdefault(t, len(ids)) for t in ref])
-            n = _lcs(a, b)
-            out["rouge_l"].append(0.0 if not n else 2 * n / (len(a) + len(b)))
-            logs = []
-            for k in range(1, min(4, len(hyp)) + 1):
-                h, r = Counter(zip(*(hyp[i:] for i in range(k)))), Counter(zip(*(ref[i:] for i in range(k))))
-                logs.append(sum((h & r).values()) / max(1, sum(h.values())))
-            out["bleu"].append(float(np.exp(np.mean(np.log(logs)))) if logs and min(logs) > 0 else 0.0)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(out[k], pa.bool_()) for k in ("exact", "folded", "subsequence")), *(pa.array(out[k], pa.float64()) for k in ("rouge_l", "bleu"))],
-            names=["k", *out],
-        )
+            counts = [_grams(ref, n) for n in range(1, 5)]
+            for i in at:
+                quote = quotes[i]
+                hyp = _TOKEN.findall(quote.lower())
+                out["exact"][i] = quote.strip() in note
+                out["folded"][i] = " ".join(quote.lower().translate(_FOLD).split()) in folded
+                out["subsequence"][i] = len(hyp) >= 4 and ("\x01" + "\x01".join(hyp) + "\x01") in run
+                n = _lcs(np.array([ids.get(t, -1) for t in hyp]), b)
+                out["rouge_l"][i] = 2 * n / (len(hyp) + len(ref)) if n else 0.0
+                parts = []
+                for k in range(1, min(4, len(hyp)) + 1):
+                    h = _grams(hyp, k)
+                    parts.append(sum(min(c, counts[k - 1][g]) for g, c in h.items()) / sum(h.values()))
+                out["bleu"][i] = float(np.exp(np.mean(np.log(parts)))) if parts and min(parts) > 0 else 0.0
+        columns = [pa.array(out[k], pa.bool_()) for k in names[:3]] + [pa.array(out[k], pa.float64()) for k in names[3:]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["k", *names])
 
 
 _FOLD = str.maketrans("“”‘’", "\"\"''")
