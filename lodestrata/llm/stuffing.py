@@ -8,8 +8,9 @@ vary. Hashtags and links count by their kind as well: a run of them is a list wh
 distinct words without any function word are told by what they lack. A window of terms is stuffed if the terms that
 recur hold most of its characters; a page is a case if its stuffed stretches hold more than half of its characters.
 
-Defined results: null, empty and blank texts and texts of fewer than LEAST terms are no cases; the share is over the
-whole text, however long; repeated rows come out each; extra columns are ignored.
+Defined results: null, empty and blank texts and texts without a term are no cases, and a lone link or hashtag repeats
+nothing; no other length is asked for: the share is over the whole text, however short or long; repeated rows come out
+each; extra columns are ignored.
 
 Scale: one narrow pass; a batch is one array of terms, so the lags are vector operations.
 """
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 LAGS = 30
 OTHERS = 2
+RUN = 3
 HALF = 12
 DENSE = 0.45
-LEAST = 10
 SHARE = 0.5
 
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
@@ -83,7 +84,7 @@ def _series(texts: list[str | None]):
         if not text:
             continue
         found = list(TERM.finditer(text))
-        if len(found) < LEAST and not any(len(m.group()) > 12 and _looped(m.group()) for m in found):
+        if not found:
             continue
         at.append(i)
         starts.append(n)
@@ -104,7 +105,7 @@ def _series(texts: list[str | None]):
 
 
 def stuffed_shares(texts: list[str | None]) -> tuple[list[int], np.ndarray]:
-    """Places of the texts long enough to tell, and the share of each one's characters in stuffed stretches."""
+    """Places of the texts with terms, and the share of each one's characters in stuffed stretches."""
     at, starts, keys, begin, end, kinds, sizes = _series(texts)
     if not at:
         return at, np.zeros(0)
@@ -123,7 +124,8 @@ def stuffed_shares(texts: list[str | None]) -> tuple[list[int], np.ndarray]:
             both = marked[lag:] & marked[:-lag] & (doc[lag:] == doc[:-lag])
             runs[lag:] += both
             runs[:-lag] += both
-    recurs = ((near >= OTHERS) & (kind != 3)) | (marked & (runs >= 3)) | (kind == 4)
+    others = np.clip(np.bincount(doc, weights=marked, minlength=len(at)) - 1, 1, RUN)[doc]  # a text of few links has no more beside each
+    recurs = ((near >= OTHERS) & (kind != 3)) | (marked & (runs >= others)) | (kind == 4)
     # what a term holds: its characters and what parts it from the next term
     width = np.r_[a[1:], 0] - a
     last = np.r_[first[1:], n] - 1

@@ -294,6 +294,14 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed(frame(spark, texts).limit(0), "id", "text").count() == 0
 
 
+def test_short_stuffed_pages():
+    links = ["http://a.example/zol", "www.b.test/pax?id=3", "c.example/5/lax", "http://d.example/mox.html", "www.e.test/fen", "f.example/dul", "http://g.example/rin", "www.h.test/kat"]
+    spam = ["\n".join(links[:n]) for n in (2, 3, 4, 8)] + ["#zol #pax #lax", "buy " + " ".join(links[:3])]
+    honest = [links[0], "#zol", "zol", "Takes zol 5 mg and pax.", f"Seen on Monday, see {links[0]} for the leaflet.", f"The leaflet is at {links[0]} and the form to sign is at {links[1]} for you."]
+    at, share = stuffing.stuffed_shares([*spam, *honest, *TEXTS])
+    assert {i for i, x in zip(at, share) if x > stuffing.SHARE} == set(range(len(spam)))
+
+
 # --- queries -----------------------------------------------------------------------------------------------------
 
 
