@@ -4,8 +4,12 @@ A text is a series of terms: words (digits at their ends cut off), links by the
 Equal terms at a lag of 1 to LAGS are the autocorrelation of the series; summed over the lags it counts, for each place,
 how often its term recurs nearby. Keywords recur unnaturally often and at regular gaps; the words of prose, of lists
 that inform (references, medications, results) and of glossaries do not, as most of their characters are in terms that
-vary. Hashtags and links count by their kind as well: a run of them is a list whose items need not repeat, and lists of
-distinct words without any function word are told by what they lack. A window of terms is stuffed if the terms that
+vary. Gaps of any length count where they are regular: CYCLE terms in a row that all come again after the same gap, in a
+stretch without function words and numbers, are a cycle of keywords. Hashtags and links count by their kind as well: a
+run of them is a list whose items need not repeat. Lists of distinct words are told by what they lack: ITEMS items of few
+words parted by list marks in one line, or WORDS words parted by spaces, without a function word, number, label or
+sentence mark among them. These two rules need words of Latin script, of which BINDING knows the function words; a list
+of one item a line is not told by what it lacks, as that is the form of lists that inform. A window of terms is stuffed if the terms that
 recur hold most of its characters; a page is a case if its stuffed stretches hold more than half of its characters.
 
 Defined results: null, empty and blank texts and texts without a term are no cases, and a lone link or hashtag repeats
@@ -29,6 +33,10 @@ from pyspark.sql import functions as F
 LAGS = 30
 OTHERS = 2
 RUN = 3
+ITEMS = 8
+WORDS = 24
+CYCLE = 5
+FEW = 0.1
 HALF = 12
 DENSE = 0.45
 SHARE = 0.5
@@ -74,11 +82,21 @@ def _spelled(t: str) -> bool:
 
 
 _DIGITS = re.compile(r"\d+")
+_WORD = re.compile(r"[A-Za-z\u00c0-\u024f]+")
+_BETWEEN = re.compile(r"[ \t\xa0]*([,;|/·•★*~+&–—-]?)[ \t\xa0]*")
+
+
+def _link(between: str) -> int:
+    """What parts two terms: 1 spaces, 2 a list mark, 0 anything else."""
+    m = _BETWEEN.fullmatch(between)
+    return 0 if not m else 2 if m[1] else 1
 
 
 def _series(texts: list[str | None]):
-    at, starts, keys, begin, end, kinds, sizes = [], [], [], [], [], [], []
+    at, starts, keys, begin, end, kinds, sizes, words, links = [], [], [], [], [], [], [], [], []
     ids: dict[str, int] = {}
+    parted: dict[str, int] = {}
+    plain: dict[str, bool] = {}
     n = 0
     for i, text in enumerate(texts):
         if not text:
@@ -89,8 +107,17 @@ def _series(texts: list[str | None]):
         at.append(i)
         starts.append(n)
         sizes.append(len(text.strip()))
+        z = 0
         for m in found:
             t = m.group()
+            b = text[z : m.start()] if m.start() - z < 8 else "\n"
+            if b not in parted:
+                parted[b] = _link(b)
+            links.append(parted[b])
+            if t not in plain:
+                plain[t] = _WORD.fullmatch(t) is not None
+            words.append(plain[t])
+            z = m.end()
             keys.append(ids.setdefault(_term(t), len(ids)))
             begin.append(m.start())
             end.append(m.end())
@@ -101,12 +128,40 @@ def _series(texts: list[str | None]):
                 kinds[k] = 3
                 k += 1
         n = len(keys)
-    return at, starts, keys, begin, end, kinds, sizes
+    return at, starts, keys, begin, end, kinds, sizes, words, links
+
+
+def _listed(word: np.ndarray, links: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each term is of a list without function words: runs of words with nothing but spaces and list marks between."""
+    on = word & (links > 0)
+    on[1:] &= word[:-1]
+    on[first] = False
+    run = np.cumsum(~on) - 1
+    size = np.bincount(run)
+    items = 1 + np.bincount(run, weights=on & (links == 2))
+    return word & ((size >= WORDS) | ((items >= ITEMS) & (size <= 4 * items)))[run]
+
+
+def _cyclic(key: np.ndarray) -> np.ndarray:
+    """Whether each term comes three times or more and stands in a row of CYCLE terms that all come again after one gap."""
+    n = len(key)
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    gap = np.zeros(n, np.int64)
+    gap[order[1:]] = np.where(same, order[1:] - order[:-1], 0)
+    _, place, times = np.unique(key, return_inverse=True, return_counts=True)
+    often = (times >= OTHERS + 1)[place]
+    run = np.cumsum(np.r_[True, (gap[1:] != gap[:-1]) | (gap[1:] == 0)]) - 1
+    long = (gap > 0) & (np.bincount(run) >= CYCLE)[run]
+    back = np.flatnonzero(long)
+    out = long.copy()
+    out[back - gap[back]] = True  # the first round as well
+    return out & often
 
 
 def stuffed_shares(texts: list[str | None]) -> tuple[list[int], np.ndarray]:
     """Places of the texts with terms, and the share of each one's characters in stuffed stretches."""
-    at, starts, keys, begin, end, kinds, sizes = _series(texts)
+    at, starts, keys, begin, end, kinds, sizes, words, links = _series(texts)
     if not at:
         return at, np.zeros(0)
     n = len(keys)
@@ -125,16 +180,20 @@ def stuffed_shares(texts: list[str | None]) -> tuple[list[int], np.ndarray]:
             runs[lag:] += both
             runs[:-lag] += both
     others = np.clip(np.bincount(doc, weights=marked, minlength=len(at)) - 1, 1, RUN)[doc]  # a text of few links has no more beside each
-    recurs = ((near >= OTHERS) & (kind != 3)) | (marked & (runs >= others)) | (kind == 4)
+    last = np.r_[first[1:], n] - 1
+    low = np.maximum(np.arange(n) - HALF, first[doc])
+    high = np.minimum(np.arange(n) + HALF + 1, last[doc] + 1)
+    word = np.asarray(words) & (kind == 0)
+    other = np.r_[0, np.cumsum(~word)]
+    bare = (other[high] - other[low]) <= FEW * (high - low)
+    listed = _listed(word, np.asarray(links, np.int8), first) | (_cyclic(key) & word & bare)
+    recurs = ((near >= OTHERS) & (kind != 3)) | (marked & (runs >= others)) | (kind == 4) | listed
     # what a term holds: its characters and what parts it from the next term
     width = np.r_[a[1:], 0] - a
-    last = np.r_[first[1:], n] - 1
     width[last] = (z - a)[last]
     width = np.minimum(width, (z - a) + 8)
     total = np.r_[0, np.cumsum(width)]
     good = np.r_[0, np.cumsum(width * recurs)]
-    low = np.maximum(np.arange(n) - HALF, first[doc])
-    high = np.minimum(np.arange(n) + HALF + 1, last[doc] + 1)
     dense = (good[high] - good[low]) >= DENSE * (total[high] - total[low])
     chars = np.bincount(doc, weights=width * dense, minlength=len(at))
     return at, chars / np.maximum(1, np.asarray(sizes))

@@ -302,6 +302,19 @@ def test_short_stuffed_pages():
     assert {i for i, x in zip(at, share) if x > stuffing.SHARE} == set(range(len(spam)))
 
 
+def test_lists_without_function_words_and_long_cycles():
+    rng = random.Random(3)
+    names = list(dict.fromkeys("".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(90)))
+    spam = [", ".join(names[:20]), " | ".join(f"{a} {b}" for a, b in zip(names[::2], names[1::2])), " ".join(names[:40]), "\n".join(names[:40] * 4)]
+    honest = [
+        "Medications: " + ", ".join(f"{a} {i} mg" for i, a in enumerate(names[:20])), "\n".join(f"{a}: {b}" for a, b in zip(names[:20], names[20:40])), "\n".join(names[:30]),
+        "\n".join(f"{a}\t{i}.4\t{i}-{i + 9}" for i, a in enumerate(names[:30])) * 3, (" ".join(f"{a} of the {b}" for a, b in zip(names[:40], names[40:80])) + ".\n") * 4,
+        "She denies " + ", ".join(names[:5]) + ". " + PROSE, PROSE * 5,
+    ]
+    at, share = stuffing.stuffed_shares([*spam, *honest])
+    assert {i for i, x in zip(at, share) if x > stuffing.SHARE} == set(range(len(spam)))
+
+
 # --- queries -----------------------------------------------------------------------------------------------------
 
 
