@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -127,6 +128,13 @@ def dense_topk(spark, sf_dir):
     return d.select(F.col("q").cast("int").alias("q"), "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+@query()
+def dense_search(spark, sf_dir):
+    """Every vector whose id is divisible by 100 against all."""
+    d = retrieval.dense_search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 32)
+    return d.select("q", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 @query(f"""
 WITH {_SIM}, k AS (SELECT q // 3 AS g, q, vec_id, score, rank FROM r WHERE rank <= 32),
 f AS (SELECT g, vec_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, max(score) AS best FROM k GROUP BY g, vec_id),
@@ -148,8 +156,12 @@ q AS (SELECT q, unnest(string_split(terms, ' ')) AS term FROM (VALUES ('pain', '
 b AS (SELECT q, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avg_dl))) AS score FROM q JOIN tf USING (term) JOIN i USING (term), st GROUP BY q, doc_id)"""
 
 
+def _bm25_docs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("t"))
+
+
 def bm25_scores(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("t"))
+    d = _bm25_docs(spark, sf_dir)
     q = spark.createDataFrame([("pain", "rectal pain worse after"), ("bleeding", "rectal bleeding bright red blood"), ("loss", "weight loss fell month")], "q string, terms string")
     return retrieval.bm25(d, "doc_id", "t", q.select("q", F.split("terms", " ").alias("terms")), "q", "terms")
 
@@ -161,6 +173,17 @@ def bm25_topk(spark, sf_dir):
     return retrieval.topk(s, "q", "score", "doc_id", 20).select("q", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+_BM_ALL = re.sub(r"(?m)^q AS .*$", "q AS (SELECT doc_id AS q, unnest(t) AS term FROM d WHERE doc_id % 100 = 0),", _BM)
+
+
+@query(f"WITH {_BM_ALL} SELECT q, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) WHERE rank <= 20")
+def bm25_search(spark, sf_dir):
+    """Every text whose id is divisible by 100 against all; a term counts as often as the query has it."""
+    d = _bm25_docs(spark, sf_dir)
+    s = retrieval.bm25(d, "doc_id", "t", d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("q"), F.col("t").alias("terms")), "q", "terms")
+    return retrieval.topk(s.withColumn("score", F.round("score", 9)), "q", "score", "doc_id", 20).select("q", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 @query(f"""
 WITH {_BM}, r1 AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b),
 r2 AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS rank FROM b), u AS (SELECT q, doc_id, score, 0.5 / (60 + rank) AS w FROM r1 WHERE rank <= 32 UNION ALL SELECT q, doc_id, score, 0.5 / (60 + rank) AS w FROM r2 WHERE rank <= 32),

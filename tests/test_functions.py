@@ -266,3 +266,20 @@ def test_recovery_and_helpers(spark):
     assert one(spark, R.prompt("Note {c}!", c=F.col("c")), c="x") == "Note x!"
     w = spark.createDataFrame([(1, "4")], "k int, `Diarrhea confidence` string")
     assert [tuple(r) for r in R.confidence_of(w, "k", ("Diarrhea", "Constipation")).collect()] == [(1, "Diarrhea", 4.0), (1, "Constipation", None)]
+
+
+def test_dense_search_of_every_hundredth_row(spark, data):
+    e = spark.read.parquet(f"{data}/embeddings.parquet")
+    from lodestrata.plans.score_queries import dense_search
+
+    rows = sorted((r.vec_id, r.embedding) for r in e.select("vec_id", "embedding").collect())
+    v = np.array([x for _, x in rows], np.float64)
+    want = set()
+    for i, (q, _) in enumerate(rows):
+        if q % 100 == 0:
+            s = np.round(v @ v[i], 9)
+            want |= {(q, rows[j][0], r + 1) for r, j in enumerate(sorted(range(len(rows)), key=lambda j: (-s[j], rows[j][0]))[:32])}
+    assert {(r.q, r.vec_id, r["rank"]) for r in dense_search(spark, data).collect()} == want
+    small = retrieval.dense_search(e, "vec_id", "embedding", F.col("vec_id") % 100 == 0, 32, query_block=3, vector_block=100)
+    assert {(r.q, r.vec_id, r["rank"]) for r in small.collect()} == want
+    assert retrieval.dense_search(e.limit(0), "vec_id", "embedding", F.lit(True), 3).count() == 0
