@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -128,6 +129,40 @@ def bootstrap_counts(counts: DataFrame, unit: str, part: list[str], reps: int) -
     return drawn.where("w > 0").groupBy("rep", *part).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn")))
 
 
+#: Chances that a Poisson variable of mean 1 is at most 0, 1, ... 12.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)])
+
+
+def hashed_weights(units: np.ndarray, reps: np.ndarray, seed: int = 42) -> np.ndarray:
+    """(reps, units): how often a unit, given by a 64-bit hash, is drawn in a replicate; Poisson of mean 1, without a period."""
+    with np.errstate(over="ignore"):
+        z = units.astype(np.uint64)[None, :] + (reps.astype(np.uint64)[:, None] + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(times)
+    return np.searchsorted(_POISSON, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right")
+
+
+def bootstrap_hashed(counts: DataFrame, unit: str, part: str, cols: list[str], reps: int, block: int = 128) -> DataFrame:
+    """Q6, Q7 at the reference's number of replicates: (rep, part, cols), the counts of units of any id weighted and summed.
+
+    A batch of rows is one matrix product a block of replicates, so reps rows a part and batch are shuffled."""
+    kind = counts.schema[part].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            f = b.to_pandas()
+            for name, g in f.groupby("part", dropna=False):
+                h, v = g["unit"].to_numpy(np.int64).view(np.uint64), g[cols].to_numpy(np.float64)
+                for at in range(0, reps, block):
+                    r = np.arange(at, min(at + block, reps))
+                    s = hashed_weights(h, r) @ v
+                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array([name] * len(r), b.schema.field("part").type), *(pa.array(s[:, i].round().astype(np.int64)) for i in range(len(cols)))], names=["rep", part, *cols])
+
+    rows = counts.select(F.xxhash64(unit).alias("unit"), F.col(part).alias("part"), *cols)
+    sums = rows.mapInArrow(run, f"rep int, {part} {kind}, " + ", ".join(f"{c} bigint" for c in cols))
+    return sums.groupBy("rep", part).agg(*(F.sum(c).alias(c) for c in cols))
+
+
 def percentile_ci(c: Column, low: float = 0.025, high: float = 0.975) -> Column:
     """Q8: linear interpolation; nulls are left out."""
     return F.percentile(c, F.array(F.lit(low), F.lit(high)))

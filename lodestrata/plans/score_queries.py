@@ -423,6 +423,31 @@ def bootstrap_ci(spark, sf_dir):
     return g.select("feature", F.round(F.col("ci")[0], 6).alias("low"), F.round(F.col("ci")[1], 6).alias("high"), "reps")
 
 
+#: The reference's replicates: by note (Q6), by patient (Q7).
+NOTE_REPS, PATIENT_REPS = 5000, 2000
+
+
+@query()
+def bootstrap_full(spark, sf_dir):
+    """Q6-Q9 at the reference's B, of all notes: F1 of the final labels, its gain on the first ones, and the gain's p.
+
+    A unit is a note or a patient by its hash, so placeholders count as well; a note without a patient is its own. Units
+    are drawn as Poisson variables (the reference draws a fixed number), the same for both systems."""
+    n = table(spark, sf_dir, GOLD).groupBy(N.normalize_id(F.col("NOTE_ID")).alias("nid")).agg(F.min(F.nullif(N.normalize_id(F.col("PAT_ID")), F.lit(""))).alias("pat"))
+    s = scored_pairs(spark, sf_dir).where("before is not null and after is not null").join(n, "nid", "left")
+    cols = [f"{w}_{c}" for w in ("after", "before") for c in ("tp", "fp", "fn")]
+    out = []
+    for name, unit, reps in (("note", F.col("nid"), NOTE_REPS), ("patient", F.coalesce("pat", F.concat(F.lit("note "), "nid")), PATIENT_REPS)):
+        counts = s.withColumn("unit", unit).groupBy("unit", "feature").agg(*(c.alias(a) for w in ("after", "before") for c, a in zip(stats.confusion(F.col("gold"), F.col(w))[:3], [x for x in cols if x.startswith(w)])))
+        b = stats.bootstrap_hashed(counts, "unit", "feature", cols, reps)
+        f1 = lambda w: F.try_divide(2.0 * F.col(f"{w}_tp"), 2.0 * F.col(f"{w}_tp") + F.col(f"{w}_fp") + F.col(f"{w}_fn"))
+        f = b.select("feature", f1("after").alias("f1"), (f1("after") - f1("before")).alias("d"))
+        g = f.groupBy("feature").agg(stats.percentile_ci(F.col("f1")).alias("ci"), stats.percentile_ci(F.col("d")).alias("cd"), stats.bootstrap_p(F.col("d")).alias("p"), F.count("*").alias("reps"))
+        ends = [F.round(F.col(c)[i], 6).alias(a) for c, i, a in (("ci", 0, "low"), ("ci", 1, "high"), ("cd", 0, "gain_low"), ("cd", 1, "gain_high"))]
+        out.append(g.select(F.lit(name).alias("unit"), "feature", *ends, F.round("p", 6).alias("p"), "reps"))
+    return out[0].unionByName(out[1])
+
+
 _LF = "coalesce(list_sum(list_transform(range(1, {0} + 1), lambda i: ln(i))), 0.0)"
 
 

@@ -283,3 +283,20 @@ def test_dense_search_of_every_hundredth_row(spark, data):
     small = retrieval.dense_search(e, "vec_id", "embedding", F.col("vec_id") % 100 == 0, 32, query_block=3, vector_block=100)
     assert {(r.q, r.vec_id, r["rank"]) for r in small.collect()} == want
     assert retrieval.dense_search(e.limit(0), "vec_id", "embedding", F.lit(True), 3).count() == 0
+
+
+def test_hashed_bootstrap(spark, data):
+    from lodestrata.plans.score_queries import bootstrap_full
+
+    rng = np.random.default_rng(5)
+    w = stats.hashed_weights(rng.integers(0, 2**63, 400).astype(np.uint64), np.arange(5000))
+    assert len(np.unique(w, axis=0)) == 5000 and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.01
+    units = ["-", "UNKNOWN", "7", "8", "9"]
+    rows = [(u, f, i, 2 * i, 1) for i, u in enumerate(units) for f in ("a", "b")]
+    df = spark.createDataFrame(rows, "u string, f string, tp int, fp int, fn int")
+    h = np.array([r.h for r in spark.createDataFrame([(u,) for u in units], "u string").select(F.xxhash64("u").alias("h")).collect()]).view(np.uint64)
+    want = stats.hashed_weights(h, np.arange(300)) @ np.array([(i, 2 * i, 1) for i in range(5)])
+    got = {(r.rep, r.f): (r.tp, r.fp, r.fn) for r in stats.bootstrap_hashed(df.repartition(3), "u", "f", ["tp", "fp", "fn"], 300).collect()}
+    assert got == {(i, f): tuple(x) for i, x in enumerate(want.tolist()) for f in ("a", "b")}
+    full = bootstrap_full(spark, data).collect()
+    assert {(r.unit, r.reps) for r in full} == {("note", 5000), ("patient", 2000)} and all(r.low is None or r.low <= r.high and 0 < r.p <= 1 for r in full)
