@@ -334,7 +334,7 @@ def loop_fold(spark, sf_dir):
 
 @query()
 def loop_ablations(spark, sf_dir):
-    """The same rounds under other switches, in one plan."""
+    """V8, and V12 without the refiner or the re-verification: the same rounds under other switches, in one plan."""
     runs = {"full": {}, "no_reverification": {"reverify": False}, "no_refiner": {"refine": False}, "bound_2": {"bound": 2}, "bound_7": {"bound": 7}}
     parts = [_rounds(spark, sf_dir, **kw).select(F.lit(k).alias("run"), F.col("s.exit_reason").alias("exit_reason"), F.col("s.label").alias("label")) for k, kw in runs.items()]
     return reduce(DataFrame.unionByName, parts).groupBy("run", "exit_reason", "label").agg(F.count("*").alias("pairs"))
@@ -371,7 +371,7 @@ def verdict_improvement(spark, sf_dir):
     return c.groupBy("feature").agg(*(F.count_if(F.col("c") == k).alias(k.lower()) for k in ("IMPROVED", "DEGRADED", "UNCHANGED")))
 
 
-# --- statistics (Q1-Q21) -----------------------------------------------------------------------------------------
+# --- statistics (Q1-Q16, Q18-Q21) -----------------------------------------------------------------------------------------
 
 _COUNTS = "count(*) FILTER (gold='Yes' AND after='Yes') AS tp, count(*) FILTER (gold='No' AND after='Yes') AS fp, count(*) FILTER (gold='Yes' AND after='No') AS fn, count(*) FILTER (gold='No' AND after='No') AS tn"
 
@@ -575,7 +575,7 @@ def recovery_audit(spark, sf_dir):
 
 @query()
 def metadata_issues(spark, sf_dir):
-    """P15."""
+    """P15 but for the grounding, family and duration checks."""
     from ..functions.structure import metadata_issues as issues
 
     c = table(spark, sf_dir, CLAIMS)
