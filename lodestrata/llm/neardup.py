@@ -253,10 +253,10 @@ def _bit(c: Column) -> Column:
 def _filter(ids: DataFrame) -> np.ndarray:
     """A filter of fixed size that all ids pass and most others do not."""
     out = np.zeros(1 << FILTER_BITS, bool)
-    bits = ids.select(_bit(F.col("id")).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("map"))
-    for r in bits.collect():  # 2**FILTER_BITS / 32768 rows at most, one more for the last
+    bits = ids.select(_bit(F.col("id")).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("map"))
+    for r in bits.collect():  # 2**FILTER_BITS / 32768 rows at most; buckets hold 1 to 32768, and so on, so 0 has no place in them
         on = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.map), np.uint8), bitorder="little"))
-        out[((r.bucket - 1) * 32768 + on + 1) & ((1 << FILTER_BITS) - 1)] = True
+        out[(r.bucket - 1) * 32768 + on] = True
     return np.packbits(out, bitorder="little")
 
 

@@ -122,6 +122,13 @@ def test_near_duplicates_at_five_words(spark):
     assert got == brute_near(texts, 0.8, 5)
 
 
+def test_filter_holds_every_place(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_bit", lambda c: c)
+    bits = [0, 1, 7, 32767, 32768, 32769, 65536, (1 << neardup.FILTER_BITS) - 1]
+    got = neardup._filter(spark.createDataFrame([(b,) for b in bits], "id bigint"))
+    assert np.flatnonzero(np.unpackbits(got, bitorder="little")).tolist() == bits
+
+
 # --- problem 4 ---------------------------------------------------------------------------------------------------
 
 
