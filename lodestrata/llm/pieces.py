@@ -133,7 +133,7 @@ def _pieces_batches(limit: int, overlap: int):
             at, ns, starts, ends, kinds, texts, whole = [], [], [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 found = pieces(t, limit, overlap)
-                name = cut_kind(t, limit) if len(found) > 1 else None
+                name = cut_kind(t, limit)
                 for n, (a, z, kind) in enumerate(found):
                     at.append(i)
                     ns.append(n)
@@ -160,5 +160,13 @@ def split_pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap
 
 
 def oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(key, cut_kind) of the texts that were cut."""
-    return split_pieces(df, key, text, limit, overlap).where("piece_no = 0").select(key, "cut_kind")
+    """(key, cut_kind) of the texts above the limit, whatever number of pieces they give."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = pa.array([cut_kind(t, limit) for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), kinds], names=["id", "cut_kind"])
+
+    large = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.length("text") > limit)
+    return large.mapInArrow(run, f"id {kind}, cut_kind string").withColumnRenamed("id", key)

@@ -151,6 +151,13 @@ def test_pieces_kinds(spark):
     assert "forced" not in cuts
 
 
+def test_long_white_space_is_oversized(spark):
+    texts = [" " * 5000, "a" + " " * 5000, "a " * 10 + "\n" * 4000, "x" * 4001, "x" * 4000, " " * 4000]
+    got = {r.id: r.cut_kind for r in pieces.oversized(frame(spark, texts, **CLASH), "id", "text").collect()}
+    assert got == {0: "natural", 1: "natural", 2: "natural", 3: "forced"}
+    assert all(r.cut_kind for r in pieces.split_pieces(frame(spark, texts), "id", "text").collect())
+
+
 # --- problem 5 ---------------------------------------------------------------------------------------------------
 
 SENTENCES = [
