@@ -4,10 +4,13 @@ Records tied by a patient or a note get one split, directly or through others. I
 white space and without one trailing ".0"; an id without a digit ties nothing. Notes shared by several patients are the
 only links between patients, so the graph holds one star of edges for each such note and nothing else.
 
-A component goes to the split with the largest -share / ln(u), u a hash of (component, split) in (0, 1): shares change
-without moving more components than they must. Components of at least BIG of all rows (at most 1 / BIG of them, so few
-enough for the driver) are dealt first, largest first, to the split that lacks most; the others are hashed with what is
-then left of each share, so that one patient with a tenth of the rows doesn't spoil the proportions.
+Every component, of whatever size, goes to the split with the least -ln(u) / weight, u a hash of (component, split) in
+(0, 1): weighted rendezvous hashing. The shares are of rows, and components differ in size, so the weights are fitted:
+they start at the shares and are moved until the rows that each split gets, counted over all components, miss the shares
+by at most TOLERANCE of all rows (ROUNDS passes over (component, rows) at most, and only a sum a split comes to the
+driver). One component that is larger than a split's share can make that impossible under one hash; then the next of
+SEEDS hashes is taken, and if none will do, the nearest. As all weights are common to all components, rows that are
+added move only the components that lie next to a border.
 
 Defined results: null and placeholder ids tie nothing (a row with neither id is its own component); repeated rows stay;
 an empty table gives an empty result; null or non-positive shares get nothing; extra columns are ignored.
@@ -20,7 +23,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 
-BIG = 0.002
+TOLERANCE = 0.002
+ROUNDS = 8
+SEEDS = 8
+_STEPS = (0.3, 0.6, 1.0, 1.5, 2.2)
 
 
 def clean_id(c: Column) -> Column:
@@ -60,39 +66,73 @@ def row_components(df: DataFrame, key: str, pat: str = "PAT_ID", note: str = "NO
     return named.unionByName(rest).withColumnRenamed("k", key)
 
 
+def _draws(component: Column, names: list[str], seed: int) -> list[Column]:
+    """-ln(u) of a component for each split."""
+    u = lambda name: (F.xxhash64(component, F.lit(name), F.lit(seed)).cast("double") + F.lit(2.0**63) + F.lit(1024.0)) / F.lit(2.0**64 + 4096.0)
+    return [-F.log(u(name)) for name in names]
+
+
+def _nearest(draws: list[Column], weights: list[float]) -> Column:
+    """The number of the split that a component goes to."""
+    scored = [F.struct((d / F.lit(float(w))).alias("s"), F.lit(i).alias("i")) for i, (d, w) in enumerate(zip(draws, weights))]
+    return (F.least(*scored) if len(scored) > 1 else scored[0])["i"]
+
+
 def rendezvous(component: Column, shares: list[tuple[str, float]], seed: int) -> Column:
     """The split of a component by weighted rendezvous hashing."""
-    scored = []
-    for name, share in shares:
-        if share and share > 0:
-            u = (F.xxhash64(component, F.lit(name), F.lit(seed)).cast("double") + F.lit(2.0**63) + F.lit(1024.0)) / F.lit(2.0**64 + 4096.0)
-            scored.append(F.struct((F.lit(-float(share)) / F.log(u)).alias("s"), F.lit(name).alias("n")))
-    if not scored:
+    have = [(name, w) for name, w in shares if w and w > 0]
+    if not have:
         return F.lit(None).cast("string")
-    return (F.greatest(*scored) if len(scored) > 1 else scored[0])["n"]
-
-
-def split(df: DataFrame, targets: DataFrame, key: str = "_run_row_index", pat: str = "PAT_ID", note: str = "NOTE_ID", seed: int = 17, big: float = BIG) -> DataFrame:
+    at = _nearest(_draws(component, [name for name, _ in have], seed), [w for _, w in have])
+    return F.element_at(F.array(*(F.lit(name) for name, _ in have)), at + 1)
+
+
+def _rows_of(sizes: DataFrame, names: list[str], seed: int, tries: list[list[float]]) -> list[list[float]]:
+    """The share of all rows that each split gets under each of some weights, in one pass."""
+    drawn = sizes.select("n", *(d.alias(f"d{i}") for i, d in enumerate(_draws(F.col("component"), names, seed))))
+    draws = [F.col(f"d{i}") for i in range(len(names))]
+    dealt = drawn.select("n", *(_nearest(draws, w).alias(f"t{k}") for k, w in enumerate(tries)))
+    sums = [F.sum(F.when(F.col(f"t{k}") == i, F.col("n")).otherwise(0)).alias(f"s{k}_{i}") for k in range(len(tries)) for i in range(len(names))]
+    r = dealt.agg(F.sum("n").alias("n"), *sums).first()
+    return [[r[f"s{k}_{i}"] / r["n"] for i in range(len(names))] for k in range(len(tries))]
+
+
+def fit_weights(sizes: DataFrame, shares: dict[str, float], seed: int) -> tuple[list[tuple[str, float]], int, float]:
+    """(weights, seed, largest miss): the weights under which the rows of (component, n) fall by the shares."""
+    names, target = list(shares), list(shares.values())
+    found: tuple[list[tuple[str, float]], int, float] | None = None
+    for s in range(seed, seed + SEEDS):
+        best, miss, got = target, 2.0, None
+        tries = [target]
+        for _ in range(ROUNDS):
+            shared = _rows_of(sizes, names, s, tries)
+            misses = [max(abs(x - t) for x, t in zip(row, target)) for row in shared]
+            k = min(range(len(tries)), key=lambda j: misses[j])
+            if misses[k] >= miss:
+                break
+            best, miss, got = tries[k], misses[k], shared[k]
+            if miss <= TOLERANCE:
+                break
+            tries = [[w * ((t + 1e-4) / (x + 1e-4)) ** step for w, t, x in zip(best, target, got)] for step in _STEPS]
+        if found is None or miss < found[2]:
+            found = (list(zip(names, best)), s, miss)
+        if miss <= 5 * TOLERANCE:
+            break
+    return found
+
+
+def split(df: DataFrame, targets: DataFrame, key: str = "_run_row_index", pat: str = "PAT_ID", note: str = "NOTE_ID", seed: int = 17) -> DataFrame:
     """(key, component, split_name) of every row; targets has split_name and share."""
     from ..session import cut
 
     rows = cut(row_components(df, key, pat, note))
     shares = {r.split_name: max(0.0, r.share or 0.0) for r in targets.where("split_name is not null").orderBy("split_name").collect()}  # a few rows
-    total = sum(shares.values()) or 1.0
-    shares = {k: v / total for k, v in shares.items()}
-    n = rows.count()
-    if not n or not shares:
+    total = sum(shares.values())
+    shares = {k: v / total for k, v in shares.items() if v > 0}
+    if not shares:
+        return rows.withColumn("split_name", F.lit(None).cast("string"))
+    sizes = cut(rows.groupBy("component").agg(F.count("*").alias("n")))
+    if sizes.isEmpty():
         return rows.withColumn("split_name", F.lit(None).cast("string"))
-    large = rows.groupBy("component").count().where(F.col("count") >= F.lit(big) * n).orderBy(F.desc("count"), "component").collect()  # at most 1 / big
-    left, dealt = dict(shares), {}
-    for r in large:
-        name = max(left, key=lambda k: (left[k], k))
-        dealt[r.component] = name
-        left[name] -= r["count"] / n
-    if not any(v > 0 for v in left.values()):
-        left = dict(shares)
-    by_hash = rendezvous(F.col("component"), list(left.items()), seed)
-    if not dealt:
-        return rows.withColumn("split_name", by_hash)
-    fixed = F.create_map(*(F.lit(x) for kv in dealt.items() for x in kv))
-    return rows.withColumn("split_name", F.coalesce(fixed[F.col("component")], by_hash))
+    weights, own, _ = fit_weights(sizes, shares, seed)
+    return rows.withColumn("split_name", rendezvous(F.col("component"), weights, own))

@@ -50,6 +50,13 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 20)
+    edges = [(0, i) for i in range(1, 200)] + [(199, 300), (300, 301)] + [(400, 401)]
+    df = spark.createDataFrame(edges, "a int, b int")
+    assert {r.node: r.component for r in components.components(df).collect()} == brute_components(edges)
+
+
 NOTES = [
     (0, " p1 ", "n1"), (1, "p1.0", "n2"), (2, "p2", "n2.0"), (3, "p3", "n3"), (4, "p4\t", "n3"), (5, None, "n3"), (6, "UNKNOWN", "n9"), (7, "N/A", "n9"), (8, None, None), (9, "-", "-"), (10, "p5", "UNKNOWN"),
     (11, "p6", "UNKNOWN"), (11, "p6", "UNKNOWN"), (12, "p2", "n4"), (13, "p7", "n4"),
@@ -71,7 +78,17 @@ def test_shares_in_spite_of_a_hot_patient(spark):
     df = spark.range(6000).select(F.col("id").alias("_run_row_index"), F.when(F.col("id") < 2000, "1").otherwise(F.concat(F.lit("q"), F.floor(F.col("id") / 3))).alias("PAT_ID"), F.lit(None).cast("string").alias("NOTE_ID"))
     targets = spark.createDataFrame([("train", 0.8), ("val", 0.1), ("test", 0.1)], "split_name string, share double")
     n = {r.split_name: r["count"] / 6000 for r in splits.split(df, targets).groupBy("split_name").count().collect()}
-    assert abs(n["train"] - 0.8) < 0.03 and abs(n["val"] - 0.1) < 0.03 and abs(n["test"] - 0.1) < 0.03
+    assert abs(n["train"] - 0.8) < 0.01 and abs(n["val"] - 0.1) < 0.01 and abs(n["test"] - 0.1) < 0.01
+
+
+def test_every_component_is_hashed_by_one_rule(spark):
+    """A larger patient moves only the components next to a border, not those of other splits."""
+    rows = lambda big: spark.range(4000 + big).select(
+        F.col("id").alias("_run_row_index"), F.when(F.col("id") >= 4000, "1").otherwise(F.concat(F.lit("q"), F.floor(F.col("id") / 2))).alias("PAT_ID"), F.lit(None).cast("string").alias("NOTE_ID")
+    )
+    targets = spark.createDataFrame([("train", 0.8), ("val", 0.1), ("test", 0.1)], "split_name string, share double")
+    one, two = ({r._run_row_index: r.split_name for r in splits.split(rows(n), targets).collect()} for n in (5, 60))
+    assert sum(one[i] != two[i] for i in range(4000)) < 100
 
 
 # --- problem 2 ---------------------------------------------------------------------------------------------------
