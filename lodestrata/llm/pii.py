@@ -3,14 +3,17 @@
 Finding: e-mail addresses, telephone numbers, identity numbers and street addresses are told by their formats (Unicode
 digits and hyphens are first folded one to one, so places stay); a plain run of eight digits counts only after a word
 that announces an identity number, and order, lot and message numbers are passed over. Names are told by what stands
-before them (titles, "signed by", "attn.", relations with a number in brackets, and the like in eight languages) or, at
-the start of a cut quotation, behind them; titles stay outside. Institutions, signs and devices have no such context.
+before them (titles, "signed by", "attn.", relations with a number in brackets, and the like in eight languages), by what
+a person does or is done to ("Jo Bo visited", "call Jo Bo": full names in English) or, at the start of a cut quotation,
+by what stands behind them; a full name once told is told again in the same text. Titles stay outside. Institutions,
+signs and devices have no such context. Card and account numbers count if their check digits are right; an identity
+number that no word announces must not be one digit throughout.
 
 Replacing: each mention gives [TYPE:code]. The digits and letters of a number go through a keyed Feistel network over
 the same alphabet and length, so the code is a number of the same format; equal values give equal codes in all
 documents, whatever separators they are written with, and who holds the key can turn them back. Names, addresses and
-e-mail addresses get a keyed code of their folded form. Dates can be permuted too (``dates=True``): a valid day maps to
-a valid day, in the same notation.
+e-mail addresses get a keyed code of 16 bytes of their folded form. Dates are permuted too (unless ``dates=False``): a
+valid day maps to a valid day, in the same notation.
 
 Defined results: null, empty and blank texts have no mentions and stay as they are; overlapping finds keep the earlier,
 then the longer; repeated rows come out each; very long texts are scanned in linear time; extra columns are ignored.
@@ -32,7 +35,6 @@ from pyspark.sql import functions as F
 _FOLD = {0xFF10 + d: str(d) for d in range(10)} | {0x2010: "-", 0x2011: "-", 0x2012: "-", 0xFF0B: "+", 0xFF0D: "-", 0xFF08: "(", 0xFF09: ")", 0xFF0E: ".", 0xFF20: "@"}
 _FOLDED = re.compile("[０-９‐‑‒＋－（）．＠]")
 
-_LOCAL = re.compile(r"[\w.+'-]*\w\s?$")
 _DOMAIN = re.compile(r"\s?\w[\w-]*(?:(?:\.(?![A-Z][a-z])|\[dot\]|\(dot\)|\[DOT\])\w[\w-]*)*(?:\.(?![A-Z][a-z])|\[dot\]|\(dot\)|\[DOT\])[A-Za-z][A-Za-z-]+")
 _RUN = re.compile(r"\d[\d\s()/.-]{5,}\d")
 NUMBER = re.compile(
@@ -124,8 +126,61 @@ HEAD = re.compile(
     rf"[\"“„«'(\s]*(?P<head>{_FULL})(?=,\swho\sprefers|\s\(MRN\b|\sre:\s|,\swohnhaft\b|\svive\sen\b|\shabite\s\d|\sindicó\b|\sverordnete\b|\sa\sprescrit\b|,\srecord\s|\sने\s|\sطلب\s|\sstarted\s\w+\s[\d.]+\s)"
 )
 _HEADS = (" who prefers", " (MRN", " re: ", " wohnhaft", " vive en", " habite ", " indicó", " verordnete", " a prescrit", " record ", " ने ", " طلب ", " started ")
+#: A name is no longer than this.
+LONGEST = 200
 _DIGIT = re.compile(r"\d")
 
+# What people do, or others do with them, and words that are no person's name.
+_HUMAN = (
+    "visited|called|phoned|wrote|said|says|asked|stated|told|met|reports|reported|denies|denied|complains|complained|agreed|declined|consented|arrived|thanked|requested|explained|mentioned|"
+    "believes|prefers|lives|works|attended|presented|signed"
+)
+_WITH = "call|called|contact|contacted|phone|phoned|ask|met|visited|seen|examined|accompanied|escorted|interviewed|spoke|speak|talked|meet|visit|regards|sincerely|dear"
+_NO_NAME = (
+    "Hospital|Clinic|Center|Centre|Health|Medical|Medicine|University|Institute|Department|Service|Services|Unit|Street|Avenue|Road|Lane|Court|Drive|Pharmacy|Insurance|Laboratory|Lab|Sign|Disease|Syndrome|"
+    "Test|Score|Scale|Criteria|Catheter|Procedure|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December|"
+    "The|This|That|These|Those|She|He|It|They|We|You|His|Her|Their|Our|My|In|On|At|For|And|But|Not|No|Please|Patient|Doctor|Nurse|Family|History|Plan|Exam|Review|Emergency|Primary|General|New|North|South|East|West|"
+    "Home|Care|Office|Room|Floor|Saint|Street|Church|School|College|County|City|Company|Group|Foundation|Association|Society|Journal|Study|Trial|Guideline|Guidelines|Act|Program"
+)
+_CAPITAL = rf"(?!(?:{_NO_NAME})\b)[A-ZÀ-ÖØ-Þ](?:[a-zà-öø-ÿ]+(?:[-’'][A-ZÀ-ÖØ-Þ]?[a-zà-öø-ÿ]+)?|\.)"
+_PERSON = rf"{_CAPITAL}(?:\s(?:{_PARTICLE}\s)?{_CAPITAL}){{1,3}}(?!\s(?:{_NO_NAME})\b)"
+#: Full names by what is done to a person, or what a person does.
+PEOPLE = (
+    re.compile(rf"\b(?i:{_WITH})(?:\s(?:with|by|to|for))?[\s,]\s?(?P<n>{_PERSON})"),
+    re.compile(rf"(?:^|(?<=[.!?]\s)|(?<=\n))(?P<n>{_PERSON})(?=\s(?:{_HUMAN})\b)"),
+)
+
+
+# --- numbers that can be checked ----------------------------------------------------------------------------------
+
+# The check letters of the eight-digit national number, by its remainder by 23.
+CHECK_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+_ACCOUNT = re.compile(r"(?<![\w-])(?:(?P<iban>[A-Z]{2}\d\d(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?)|(?P<card>\d{4}(?:[\s-]?\d{4}){2}[\s-]?\d{1,7}))(?![\w-])")
+
+
+def luhn(digits: str) -> bool:
+    """Whether the last digit of a card number is its check digit."""
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def iban(value: str) -> bool:
+    """Whether an account number leaves 1 by 97."""
+    v = value.replace(" ", "")
+    return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def check_letter(digits: str) -> str:
+    return CHECK_LETTERS[int(digits) % 23]
+
+
+def plausible(value: str) -> bool:
+    """Whether an identity number that no word announces can be one: its digits are not all the same."""
+    return len(set(re.sub(r"\D", "", value))) > 1
+
 
 def _finds(t: str, word: str) -> Iterator[int]:
     i = t.find(word)
@@ -134,6 +189,15 @@ def _finds(t: str, word: str) -> Iterator[int]:
         i = t.find(word, i + len(word))
 
 
+def _local(t: str, i: int) -> int:
+    """Where the local part of an address ends at i (white space before the sign aside) begins; i if there is none."""
+    k = i - 1 if i and t[i - 1].isspace() else i
+    a = k
+    while a and (t[a - 1].isalnum() or t[a - 1] in "_.+'-"):
+        a -= 1
+    return a if a < k and (t[k - 1].isalnum() or t[k - 1] == "_") else i
+
+
 def mentions(text: str | None, quote: bool = False) -> list[tuple[int, int, str]]:
     """(start, end, type) of each mention, in order, none overlapping another."""
     if not text:
@@ -142,20 +206,23 @@ def mentions(text: str | None, quote: bool = False) -> list[tuple[int, int, str]
     t = text.translate(_FOLD) if not plain and _FOLDED.search(text) else text
     low = t.lower().replace("\n", " ")
     if len(low) != len(t):
-        low = t  # a capital whose lower form is longer; then only what is written small counts
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in t).replace("\n", " ")  # capitals whose lower form is longer stay
     found: list[tuple[int, int, str]] = []
     for sign in ("@", "(at)", "[at]"):
         for i in _finds(low, sign):
             m = _DOMAIN.match(t, i + len(sign))
-            k = _LOCAL.search(t, max(0, i - 80), i) if m else None
-            if k:
-                found.append((k.start(), m.end(), "email"))
+            a = _local(t, i) if m else i
+            if a < i:
+                found.append((a, m.end(), "email"))
     if _DIGIT.search(t):
         for r in _RUN.finditer(t):
             for m in NUMBER.finditer(t, max(0, r.start() - 4), min(len(t), r.end() + 14)):
                 a, z = m.span()
-                if not _AVOID.search(t, max(0, a - 12), a):
+                if not _AVOID.search(t, max(0, a - 12), a) and (m["phone"] or plausible(t[a:z])):
                     found.append((a, z, "phone" if m["phone"] else "id_number"))
+        for m in _ACCOUNT.finditer(t):
+            if iban(m["iban"]) if m["iban"] else 13 <= sum(c.isdigit() for c in m["card"]) <= 19 and len(set(m["card"])) > 2 and luhn(re.sub(r"\D", "", m["card"])):
+                found.append((*m.span(), "id_number"))
         for word in _KEYS:
             for i in _finds(low, word):
                 m = KEYED.match(t, i + len(word) - 1)
@@ -181,13 +248,19 @@ def mentions(text: str | None, quote: bool = False) -> list[tuple[int, int, str]
     if " stopped" in low or " reports" in low:
         for word, follows in ACTS:
             for i in _finds(t.replace("\n", " "), word):
-                m = _BEGINS.search(t, max(0, i - 70), i) if follows.match(t, i + len(word)) else None
+                m = _BEGINS.search(t, max(0, i - LONGEST), i) if follows.match(t, i + len(word)) else None
                 if m and m["n"].split()[-1].lower() not in _KIN:
                     found.append((*m.span("n"), "name"))
     if not plain:
         for word, pattern in ASIAN:
             if word in t:
                 found += [(*m.span("n"), "name") for m in pattern.finditer(t)]
+    for pattern in PEOPLE:
+        found += [(*m.span("n"), "name") for m in pattern.finditer(t)]
+    for name in {t[a:z] for a, z, kind in found if kind == "name" and " " in t[a:z]}:  # a full name once told is told again
+        for i in _finds(t, name):
+            if (i == 0 or not t[i - 1].isalnum()) and not t[i + len(name) : i + len(name) + 1].isalnum():
+                found.append((i, i + len(name), "name"))
     if quote and any(h in t for h in _HEADS):
         m = HEAD.match(t)
         if m:
@@ -227,8 +300,12 @@ def feistel(value: str, key: bytes, back: bool = False, alphabet: int = 10) -> s
     return a + b
 
 
+_CHECKED = re.compile(r"(?:X[0-9]{7}|[0-9]{8})[A-Z]")
+
+
 def permute_format(value: str, key: bytes, back: bool = False) -> str:
-    """The digits (read together) permuted, each capital shifted by the key and the digits, separators kept."""
+    """The digits (read together) permuted, each capital shifted by the key and the digits, separators kept. A number of
+    eight digits, or X and seven, with the right check letter stays one: it gets the check letter of its new digits."""
     at = [i for i, c in enumerate(value) if c.isdigit()]
     digits = "".join(str(int(value[i])) for i in at)
     new = feistel(digits, key, back)
@@ -236,12 +313,31 @@ def permute_format(value: str, key: bytes, back: bool = False) -> str:
     out = list(value)
     for i, c in zip(at, new):
         out[i] = c
+    if _CHECKED.fullmatch(value) and value[-1] == check_letter(digits):
+        out[-1] = check_letter(new)
+        return "".join(out)
     for k, i in enumerate(i for i, c in enumerate(value) if "A" <= c <= "Z"):
         shift = _round(key, 100 + k, len(clear), clear) % 26
         out[i] = chr((ord(value[i]) - 65 + (-shift if back else shift)) % 26 + 65)
     return "".join(out)
 
 
+_EXTENSION = re.compile(r"(?i)\s?ext\.?\s(\d+)$")
+
+
+def permute_phone(value: str, key: bytes, back: bool = False) -> str:
+    """The last ten digits and the extension permuted, each by itself, so that a number is linked with and without its
+    country's prefix and its extension; the prefix stays."""
+    m = _EXTENSION.search(value)
+    cut = m.start(1) if m else len(value)
+    at = [i for i in range(m.start() if m else len(value)) if value[i].isdigit()][-10:]
+    out = list(value)
+    for places in (at, range(cut, len(value))):
+        for i, c in zip(places, feistel("".join(value[i] for i in places), key, back)):
+            out[i] = c
+    return "".join(out)
+
+
 _FIRST, _SPAN = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 _DATES = re.compile(r"(?<![\d.,/-])(?:(?P<y>\d{4})-(?P<m>\d\d)-(?P<d>\d\d)|(?P<m2>\d{1,2})/(?P<d2>\d{1,2})/(?P<y2>\d{4})|(?P<d3>\d{1,2})\.(?P<m3>\d{1,2})\.(?P<y3>\d{4}))(?![\d/-])")
 
@@ -272,12 +368,14 @@ def permute_dates(text: str, key: bytes) -> str:
 def pseudonym(value: str, kind: str, key: bytes) -> str:
     """The placeholder of a mention."""
     folded = value.translate(_FOLD)
-    if kind in ("phone", "id_number"):
+    if kind == "phone":
+        return f"[PHONE:{permute_phone(folded, key)}]"
+    if kind == "id_number":
         return f"[{kind.upper()}:{permute_format(folded, key)}]"
     if kind == "email":
         folded = re.sub(r"(?i)\s?[(\[]at[)\]]\s?|\s?@\s?", "@", re.sub(r"(?i)[(\[]dot[)\]]", ".", folded))
     same = " ".join(folded.split()).casefold()
-    return f"[{kind.upper()}:{hashlib.blake2b(same.encode(), key=key[:64], digest_size=4).hexdigest()}]"
+    return f"[{kind.upper()}:{hashlib.blake2b(same.encode(), key=key[:64], digest_size=16).hexdigest()}]"
 
 
 def masked(text: str | None, key: bytes, quote: bool = False, dates: bool = False) -> str | None:
@@ -329,8 +427,8 @@ def _mask(secret: bytes, quote: bool, dates: bool):
     return run
 
 
-def pii_masked(df: DataFrame, key: str, text: str, secret: bytes, quote: bool = False, dates: bool = False) -> DataFrame:
-    """(row_key, masked): every row with its text, mentions replaced."""
+def pii_masked(df: DataFrame, key: str, text: str, secret: bytes, quote: bool = False, dates: bool = True) -> DataFrame:
+    """(row_key, masked): every row with its text, mentions replaced and dates permuted."""
     kind = df.schema[key].dataType.simpleString()
     narrow = df.select(F.col(key).alias("row_key"), F.col(text).alias("text"))
     return narrow.mapInArrow(_mask(secret, quote, dates), f"row_key {kind}, masked string")

@@ -228,6 +228,28 @@ def test_mentions(text, want):
     assert [(text[a:z], k) for a, z, k in pii.mentions(text)] == want
 
 
+def test_mentions_in_odd_places():
+    """Long local parts, capitals whose lower form is longer, names without a title, numbers with check digits."""
+    say = lambda text: [(text[a:z], k) for a, z, k in pii.mentions(text)]
+    assert say("Mail " + "a" * 300 + "@x.example now") == [("a" * 300 + "@x.example", "email")]
+    text = "DR. SMITH wrote. Signed by Anna Kern. MRN 00123456"
+    assert say("İ " + text) == say(text) and len(say(text)) == 3
+    assert say("Please call John Miller tomorrow. Emily Stone visited with Mark Reed.") == [("John Miller", "name"), ("Emily Stone", "name"), ("Mark Reed", "name")]
+    assert say("Seen by Jo Bo. Later Jo Bo left for Mercy General Hospital.") == [("Jo Bo", "name")] * 2
+    assert say("000-00-0000 and 0000-0000-0000-0000") == [] and say("seen at Mayo Clinic, call Mercy General Hospital") == []
+    assert say("Card 4111 1111 1111 1111, not 4111 1111 1111 1112; DE89 3704 0044 0532 0130 00") == [("4111 1111 1111 1111", "id_number"), ("DE89 3704 0044 0532 0130 00", "id_number")]
+
+
+def test_linked_pseudonyms():
+    core = lambda v: re.sub(r"\D", "", pii.permute_phone(v, b"k").split(" ext")[0])[-10:]
+    assert len({core(v) for v in ("555-123-4567", "+1 555 123 4567", "(555) 123-4567 ext. 12", "0555/1234567")}) == 1
+    assert pii.permute_phone(pii.permute_phone("+1 555 123 4567 ext. 12", b"k"), b"k", back=True) == "+1 555 123 4567 ext. 12"
+    new = pii.permute_format("12345678Z", b"k")
+    assert new[-1] == pii.check_letter(new[:-1]) and pii.permute_format(new, b"k", back=True) == "12345678Z"
+    assert len(pii.pseudonym("Jo Bo", "name", b"k")) == len("[NAME:]") + 32 and pii.pseudonym("JO  BO", "name", b"k") == pii.pseudonym("Jo Bo", "name", b"k")
+    assert "2020" in pii.masked("Seen 2020-01-02.", b"k", dates=False)
+
+
 def test_cut_quotation():
     assert [(k, a) for a, _, k in pii.mentions("Glynorth, who prefers tea", quote=True)] == [("name", 0)]
     assert pii.mentions("Glynorth, who prefers tea") == []
