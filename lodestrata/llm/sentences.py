@@ -1,11 +1,12 @@
 """Sentence boundaries across languages and scripts (problem 5): a pushdown automaton over marks, quotes and lines.
 
 Lines are read first: blank lines part, a heading on its own line, a list entry and a line of machine output are units
-of their own, and the lines between them form blocks of running text. In a block the automaton visits only its events
-(marks, line ends, quotes and brackets; in Thai also spaces). Quotes and brackets are matched on a stack beforehand, so
-that one left open hides nothing; while the stack is not empty no sentence ends, so a quotation stays with the sentence
-around it. A full stop is held against abbreviation sets (never final; final only before a capital), initials,
-decimals, ordinals and addresses; the marks of Chinese, Japanese, Hindi and Arabic end a sentence without looking on.
+of their own, and the lines between them form blocks of running text. List entries are kept on a stack of their indents;
+a line further in than the mark of the entry above it goes on with that entry. In a block the automaton visits only its
+events (marks, line ends, quotes and brackets; in Thai also spaces). Quotes and brackets are matched on a stack
+beforehand, whatever its depth, so that one left open hides nothing; while the stack is not empty no sentence ends, so a
+quotation stays with the sentence around it. A full stop is held against a trie of abbreviations read backwards from it
+(never final; final only before a beginning; months), initials, decimals, ordinals and addresses; the marks of Chinese, Japanese, Hindi and Arabic end a sentence without looking on.
 A line end without a mark ends a sentence if what follows looks like a beginning and what stands before is not left
 hanging. Thai sentences end at spaces, but not between the digit groups of a number.
 
@@ -47,16 +48,15 @@ HANGING = frozenset(
     "avec sans depuis un une d' @ > < = + / & - – re: cc".split()
 )
 OPENERS = frozenset(
-    "The A An He She It They We I You This That There Two Three Was Were Is Are Did Does Do Will Would Can No Not Since Per Patient Pt. Plan Vitals HPI PMH ROS "
-    "NB Impression Assessment Exam History Family Social Bowel Weight Stool Denies Reports Tolerates Takes Travelled Traveled Works Lives Ate Wants Advised "
-    "Discussed Reviewed Referred Spoke Send Sent Home Next Prior Questions Order Lot Portal Pharmacy Insurance Bleeding Results Refill Duplicate Telephone "
-    "Left See Please Error Dr. SSN MCV CRP ALT TSH AST WBC "
-    "Die Das Der Ein Eine Keine Kein Nimmt Wurde Kontrolle Gewichtsverlust Befund Frau Herr Pat. Es Er Sie Ist Hat "
-    "El La Los Las Se Niega Paciente Exploración Toma Perdió Antecedente Enviar No Tiene Refiere Su "
-    "Le Les Pas Prend Perte Bilan Résultats Faut-il La Il Elle Une Un M. Mme "
-    "रोगी माँ वज़न क्या डॉ. परिजन पेट कब्ज़ दस्त मतली भूख मल लا لا هل يشكو انخفض أصيبت هاتف د.".split()
+    "The A An He She It They We I You This That These Those There Here Was Were Is Are Am Did Does Do Has Had Have Will Would Can Could Should May No Not Since Per After Before When While If "
+    "As At In On For From With Without His Her Its Their Our My Your One Two Three Some Any All Each Both Who What Why How Which Please See Patient Pt. Dr. Mr. Ms. Mrs. "
+    "Die Das Der Ein Eine Keine Kein Es Er Sie Wir Ich Ist Hat War Wird Wurde Seit Im Am Bei Nach Vor Mit Frau Herr Pat. "
+    "El La Los Las Un Una Se No Es Fue Ha Su Sus Con Sin Por Para En Al Del Desde Hasta Niega Tiene "
+    "Le Les La Il Elle Ils Elles On Une Un Pas Est A Sans Avec Depuis Pour Par Dans Faut-il M. Mme "
+    "डॉ. क्या यह वह वे हम मैं आप उस इस لا هل هو هي لم لن ما قد إن كان كانت هذا هذه في من على د.".split()
 )
-HINDI_END = frozenset("है हैं हुई हुए हुआ की थी था थे करें बुलाएँ दें लें गया गई रहा रही घटा दस्त मतली कब्ज़ दर्द खून".split())
+#: Finite verbs and auxiliaries with which a Hindi sentence ends.
+HINDI_END = frozenset("है हैं हूँ हो हुआ हुई हुए था थी थे की किया करें लें दें बुलाएँ गया गई गए रहा रही रहे चाहिए होगा होगी दिया लिया".split())
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 THAI = re.compile("[฀-๿]")
 _CJK = re.compile(f"[{CJK}]")
@@ -70,9 +70,53 @@ _PAIR = re.compile("[\"“”„‟«»‹›「」『』()（）\\[\\]]")
 _EVENT = re.compile("[.。！？।؟!?…]+|[\n\r\x0b\x0c\x85  ]+")
 _THAI_EVENT = re.compile("[.。！？।؟!?…]+|\\s+")
 _TOKEN = re.compile(r"[^\s(«„“\"「\[]+$")
+_BREAK = re.compile(r"[\s(«„“\"「\[]+")
 _WORD = re.compile(r"\S+")
+_LABEL = re.compile(r"[^\W\d_]+(?:\s[^\W\d_]+){0,4}:(?=\s)")
 _CODE = re.compile(r"[A-Z]{0,3}-?\d|\d")
 _NAME_GAP = re.compile("(?:担当は|家族の|患者は?)[一-鿿々]{1,3}$")
+class Trie:
+    """Abbreviations read backwards from their full stop; a node's class stands under the empty text."""
+
+    def __init__(self, classes: dict[str, frozenset[str]]) -> None:
+        self.root: dict = {}
+        for name, words in classes.items():
+            for w in words:
+                node = self.root
+                for c in reversed(w):
+                    node = node.setdefault(c, {})
+                node.setdefault("", set()).add(name)
+        self.root.setdefault("", set())
+
+    def classes(self, t: str, start: int, p: int) -> set[str]:
+        """The classes of the abbreviation that stands between a break, or the beginning, and p, in whatever case."""
+        node, k = self.root, p
+        while k > start:
+            c = t[k - 1]
+            if c.isspace() or c in _BREAKS:
+                break
+            below = node.get(c) or node.get(c.lower())
+            if below is None:
+                return node.get("", _NONE) if c in _LEADS else _NONE
+            node, k = below, k - 1
+        return node.get("", _NONE)
+
+
+_NONE: set[str] = set()
+_BREAKS, _LEADS = "(«„“\"「[", "'‘-–/"
+ABBREVIATIONS = Trie({"never": NEVER, "final": FINAL, "month": MONTHS})
+
+
+def _word_start(t: str, start: int, p: int) -> int:
+    """Where the token that ends at p begins, however long it is."""
+    m = _TOKEN.search(t, max(start, p - 24), p)
+    k = m.start() if m else p
+    if m and k == p - 24:
+        while k > start and not t[k - 1].isspace() and t[k - 1] not in _BREAKS:
+            k -= 1
+    return k
+
+
 CLOSER = {"”": "“„\"", "“": "„", "»": "«", "«": "»", "›": "‹", "」": "「", "』": "『", ")": "(（", "）": "(（", "]": "["}
 TRAIL = "\"”“»›」』)）]’'"
 HARD = "。！？।"
@@ -81,7 +125,13 @@ HARD = "。！？।"
 def _covers(t: str, a: int, z: int) -> list[tuple[int, int]]:
     """The outermost matched quotes and brackets of a block."""
     stack: list[tuple[str, int]] = []
+    open_at: dict[str, list[int]] = {}  # where in the stack each opener lies, so that a search costs no more than a look
     found: list[tuple[int, int]] = []
+
+    def push(c: str, p: int) -> None:
+        open_at.setdefault(c, []).append(len(stack))
+        stack.append((c, p))
+
     for m in _PAIR.finditer(t, a, z):
         c, p = m.group(), m.start()
         if c == '"':
@@ -89,26 +139,25 @@ def _covers(t: str, a: int, z: int) -> list[tuple[int, int]]:
             after = t[p + 1] if p + 1 < z else " "
             opens = not after.isspace() and (before.isspace() or before in "([（「")
             if opens and not (stack and stack[-1][0] == '"'):
-                stack.append((c, p))
+                push(c, p)
                 continue
             want = '"'
         elif c in "“«":
             if stack and stack[-1][0] in CLOSER[c]:
                 want = CLOSER[c]
             else:
-                stack.append((c, p))
+                push(c, p)
                 continue
         elif c in CLOSER:
             want = CLOSER[c]
         else:
-            stack.append((c, p))
+            push(c, p)
             continue
-        for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
-            if stack[k][0] in want:
-                q = stack[k][1]
-                del stack[k:]
-                found.append((q, p))
-                break
+        k = max((open_at[w][-1] for w in want if open_at.get(w)), default=-1)
+        if k >= 0:
+            found.append((stack[k][1], p))
+            while len(stack) > k:
+                open_at[stack.pop()[0]].pop()
     if len(found) > 1:
         found.sort()
         outer, end = [], -1
@@ -134,14 +183,22 @@ def _starts_new(t: str, q: int, z: int) -> bool:
 
 
 #: Words that may go on after an abbreviation though they can begin a sentence.
-_GOES_ON = frozenset("a an the no not is are was were has that this it we i you do since per after der die das ein eine el la los las le les un une se su es er sie ist hat on".split())
+_GOES_ON = frozenset(
+    "a an the no not is are was were am be has had have that this these those it we i you do since per as at in on for from with without after before when while if his her its their our my your "
+    "one some any all each both who what which per der die das ein eine el la los las le les un une se su sus es fue ha er sie wir ist hat war wird im am bei nach vor mit on est a con sin por "
+    "para en al del desde hasta sans avec depuis pour par dans "
+    "pas".split()
+)
 
 
 def _small_start(t: str, q: int, z: int) -> bool:
-    """Whether words in lower case at q begin a sentence all the same: one of the openers, or a subject and was or were."""
+    """Whether words in lower case at q begin a sentence all the same: one of the openers, a label with its colon, or a
+    subject and was or were."""
     w = _WORD.match(t, q).group()
     if w.capitalize() in OPENERS and w not in _GOES_ON:
         return True
+    if _LABEL.match(t, q, z):
+        return True
     k = q + len(w)
     while k < z and t[k].isspace():
         k += 1
@@ -149,26 +206,27 @@ def _small_start(t: str, q: int, z: int) -> bool:
     return bool(w2) and w2.group() in ("was", "were") and w.isalpha() and w not in HANGING
 
 
-def _stop(t: str, start: int, p: int, e: int, z: int) -> bool:
-    """Whether the full stop at p (marks to e) ends the sentence begun at start."""
+def _stop(t: str, start: int, token_at: int, p: int, e: int, z: int) -> bool:
+    """Whether the full stop at p (marks to e), behind the token begun at token_at, ends the sentence begun at start."""
     if e >= z:
         return True
     n1 = t[e]
-    m = _TOKEN.search(t, max(start, p - 24), p)
-    token = m.group() if m else ""
-    low = token.lower().lstrip("'‘-–/")
+    at = max(start, token_at)
+    token = t[at:p]
+    low = token.lower().lstrip(_LEADS) if p - at < 24 else token
+    known = ABBREVIATIONS.classes(t, at, p)
     if not n1.isspace():
         if "@" in token or not token:
             return False
         prev = t[p - 1]
         if _UNCASED.match(n1):  # a script without capitals follows at once
-            return not prev.isdigit() and low not in NEVER and len(token) > 1
+            return not prev.isdigit() and "never" not in known and len(token) > 1
         if n1.isupper() and (prev.islower() or prev.isdigit() or prev in ")%") and e + 1 < z and (t[e + 1].islower() or t[e + 1] == " "):
-            if low in NEVER or (len(token) == 1 and not token.isdigit()):
+            if "never" in known or (len(token) == 1 and not token.isdigit()):
                 return False
             tail = t[e : e + 40].split(None, 1)[0]
             return "@" not in tail and "." not in tail[:-1]
-        return n1 in "¿¡«„「(" and low not in NEVER and (prev.islower() or prev.isdigit())
+        return n1 in "¿¡«„「(" and "never" not in known and (prev.islower() or prev.isdigit())
     q = e
     while q < z and t[q].isspace():
         q += 1
@@ -176,19 +234,19 @@ def _stop(t: str, start: int, p: int, e: int, z: int) -> bool:
         return True
     if not token:
         return True
-    if low in NEVER:
+    if "never" in known:
         return False
     if len(token) == 1 and token.isalpha():
         if token not in UNITS:
             return False
-        before = t[max(start, m.start() - 2) : m.start()]
+        before = t[max(start, at - 2) : at]
         return bool(before.strip()[-1:].isdigit()) and before[-1:].isspace()
     n2 = t[q]
-    if low in MONTHS:
+    if "month" in known:
         return not n2.isdigit() and _starts_new(t, q, z)
     if low == "no":
         return not _CODE.match(t, q)
-    if low in FINAL:
+    if "final" in known:
         if n2.isdigit():
             return False
         if not _starts_new(t, q, z):
@@ -200,7 +258,7 @@ def _stop(t: str, start: int, p: int, e: int, z: int) -> bool:
     if "." in low and low.replace(".", "").isalpha() and len(low) <= 5 and all(len(x) == 1 for x in low.split(".")):
         return _starts_new(t, q, z)
     if token.isdigit() and len(token) <= 2 and n2.isupper():
-        w = t[max(start, m.start() - 6) : m.start()].split()
+        w = t[max(start, at - 6) : at].split()
         return not (w and w[-1].lower() in ORDINAL)
     return True
 
@@ -220,8 +278,7 @@ def _line_end(t: str, start: int, p: int, e: int, z: int) -> bool:
     if _CJK.match(prev) or _CJK.match(nxt):
         return not _NAME_GAP.search(t, max(start, k - 8), k)
     w = _WORD.match(t, e).group()
-    m = _TOKEN.search(t, max(start, k - 24), k)
-    token = m.group() if m else prev
+    token = t[_word_start(t, start, k) : k] or prev
     low = token.lower().rstrip(".")
     if nxt in "¿¡":
         return True
@@ -239,7 +296,7 @@ def _line_end(t: str, start: int, p: int, e: int, z: int) -> bool:
 
 
 def _block(t: str, a: int, z: int, thai: bool, out: list[tuple[int, int]]) -> None:
-    start = a
+    start = token_at = scanned = a
     covers = _covers(t, a, z)
     at, n = 0, len(covers)
 
@@ -320,8 +377,12 @@ def _block(t: str, a: int, z: int, thai: bool, out: list[tuple[int, int]]) -> No
                 if k < z and (not t[k].isspace() or not _starts_new(t, q, z)):
                     continue
                 emit(k)
-            elif _stop(t, start, p, k, z):
-                emit(k)
+            else:
+                for b in _BREAK.finditer(t, scanned, p):  # once over the block, so long tokens cost no more than others
+                    token_at = b.end()
+                scanned = p
+                if _stop(t, start, token_at, p, k, z):
+                    emit(k)
     while at < n:
         if covers[at][0] >= start:
             closed(*covers[at])
@@ -338,12 +399,26 @@ def sentences(t: str | None) -> list[tuple[int, int]]:
     begin = end = -1
     lines = [(m.start(), m.end()) for m in _LINE.finditer(t)]
     last = -1
+    levels: list[int] = []  # the indents of the list entries that are open, outermost first
     for i, (a, z) in enumerate(lines):
         line = t[a:z].strip()
         gap = last >= 0 and t.count("\n", last, a) > 1 or last >= 0 and t.count("\r", last, a) > 1
         last = z
+        entry = _LIST.match(t, a, z) if line else None
+        if line and levels or entry:
+            indent = len(t[a:z]) - len(t[a:z].lstrip())
+            if entry:
+                while levels and indent < levels[-1]:
+                    levels.pop()
+                if not levels or indent > levels[-1]:
+                    levels.append(indent)
+            elif not gap and indent > levels[-1]:  # a line further in than the entry's mark goes on with it
+                out[-1] = (out[-1][0], z - len(t[a:z]) + len(t[a:z].rstrip()))
+                continue
+            else:
+                levels.clear()
         own = bool(line) and (
-            _LIST.match(t, a, z)
+            entry
             or (line[-1] in ":：" and len(line) < 60 and _HEAD.match(line))
             or (_MACHINE.match(line) and " " not in line)
             or (line[0].isupper() and line[-1].isupper() and _CAPS.match(line) and not _caps_around(t, lines, i))

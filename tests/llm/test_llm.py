@@ -190,6 +190,10 @@ SENTENCES = [
     ("هل نوقف الدواء؟ نعم.", ["هل نوقف الدواء؟", "نعم."]),
     ("Open “quote without end. Second sentence.", ["Open “quote without end.", "Second sentence."]),
     ("a" * 50 + "\nText.", ["a" * 50, "Text."]),
+    ("He said (one [two “three «four 「five 『six open. Then) it went on. Next.", ["He said (one [two “three «four 「five 『six open. Then) it went on.", "Next."]),
+    ("See " + "x" * 60 + ".txt and a" + "." * 0 + "b" * 40 + "@x.example. It went on.", ["See " + "x" * 60 + ".txt and a" + "b" * 40 + "@x.example.", "It went on."]),
+    ("- one\n  goes on\n  - two\n    and on\n- three\nText here.", ["- one\n  goes on", "- two\n    and on", "- three", "Text here."]),
+    ("Cf. fig. 3 and Prof. Li, approx. 4 p.m. by Vers.-Nr. 7. Done.", ["Cf. fig. 3 and Prof. Li, approx. 4 p.m. by Vers.-Nr. 7.", "Done."]),
 ]
 
 
@@ -207,6 +211,15 @@ def test_sentences_hold_all_characters(text):
     assert "".join(inside.split()) == "".join(text.split())
 
 
+def test_sentences_in_linear_time():
+    import time
+
+    for text in ("a." * 100_000, "(" * 50_000 + ")" * 50_000, "([{" * 30_000 + "”" * 60_000, "[1] " * 50_000):
+        began = time.time()
+        sentences.sentences(text)
+        assert time.time() - began < 8
+
+
 def test_sentence_spans_of_odd_texts(spark):
     got = sentences.sentence_spans(frame(spark, TEXTS, **CLASH), "id", "text")
     assert {r.id for r in got.collect()} >= {3, 4, 5, 6} and got.columns == ["id", "start_pos", "end_pos"]
