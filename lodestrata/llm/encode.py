@@ -1,35 +1,38 @@
 """Encoding of a corpus with a public tokenizer (problem 7): every distinct word is encoded once.
 
-Texts are cut into pre-tokens by the tokenizer's own pattern (byte-level BPE never merges across them). The distinct
-pre-tokens of the corpus are counted (a task sends a word once a batch), each is encoded once, and the ids are joined
-back to the places and put together by position. Words that make up at least 1 / HOT of all occurrences (so at most HOT
-of them) are a table of bounded size that the tasks hold: their ids are put in as the text is read, neighbours as one
-run, so that no word of a third of all rows is ever a join key; the other places are exploded and joined by word.
+Texts are cut once into pre-tokens by the tokenizer's own pattern (byte-level BPE never merges across them) and exploded
+into rows (block, word, places): a block is a run of a task's texts of about BLOCK_CHARS characters, and the places of a
+word in its block travel as one row of gaps, a byte each, so that the most frequent word has one row a block rather than
+one an occurrence. One shuffle by word brings all places of a word to the task that encodes it, once, and hangs its ids
+on them; a second shuffle by block brings them back, and the texts are put together by position. The first one is a
+rebalance, so adaptive execution cuts the partition of a word that is in every block into several (each of them encodes
+that word once more) and joins small ones. ``sizes`` goes the same way with numbers in place of ids.
 
 Decoding joins the table of the tokens' bytes and reads the bytes as UTF-8.
 
 Defined results: a null and an empty text both have no ids; special tokens' strings are ordinary text; repeated rows
-come out each; ids must be unique and not null; extra columns are ignored. A text's places travel in blocks of
-BLOCK_WORDS, so that a very long text is no large row before the last step, which makes its list of ids.
+come out each, repeated ids too; extra columns are ignored. A text longer than a block is a block of its own: it is a
+row of that size in any case. Blocks are numbered by their task and order, so the rows of a task must come in the same
+order when it is run again, as those of a scan do.
 """
 
 from __future__ import annotations
 
 import base64
 import importlib
-from collections import Counter
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
-
 TOKENIZER = "byte_bpe_50k.tiktoken"
-HOT = 1 << 16
-BLOCK_WORDS = 4096
+BLOCK_CHARS = 4_000_000
+CACHE_WORDS = 1_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -52,100 +55,167 @@ def encoding(path: str):
 
 
 @lru_cache(maxsize=1)
-def pattern():
+def cutters():
+    """(for ASCII texts, for all texts): two functions that cut a text into its pre-tokens."""
     import public_tokenizers
     import regex
 
-    return regex.compile(public_tokenizers.PATTERN)
+    white = r" \t\n\r\f\v"  # for the other module \s holds four control characters more
+    plain = public_tokenizers.PATTERN
+    for name, chars in ((r"[^\s\p{L}\p{N}]", rf"[^{white}A-Za-z0-9]"), (r"\p{L}", "[A-Za-z]"), (r"\p{N}", "[0-9]"), (r"\s", f"[{white}]"), (r"\S", f"[^{white}]")):
+        plain = plain.replace(name, chars)
+    return re.compile(plain).findall, regex.compile(public_tokenizers.PATTERN).findall
+
+
+def _slices(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A column of binaries that lie one after another in data, the k-th ending at byte ends[k]."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
 
+def _places(flat: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(word, gaps, far): the distinct words of a block with their places, as steps from the one before; a step of 255
+    or more has 255 in gaps and itself in far, four bytes long."""
+    coded = pa.array(flat, pa.string()).dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))
+    step = np.diff(order, prepend=0)
+    begins = np.concatenate([[0], ends[:-1]])
+    step[begins] = order[begins]
+    long = step >= 255
+    far = np.cumsum(long)[ends - 1] * 4
+    return coded.dictionary, _slices(np.minimum(step, 255).astype(np.uint8), ends), _slices(step[long].astype("<u4").view(np.uint8), far)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): the distinct pre-tokens of a batch."""
-    find = pattern().findall
-    for batch in batches:
-        counts: Counter[str] = Counter()
-        for text in batch.column(0).to_pylist():
-            if text:
-                counts.update(find(text))
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
+def _exploded(kind: pa.DataType):
+    """(block, word, gaps, far, docs, lens): a row for each distinct word of a block and one with the block's ids and
+    their numbers of words."""
 
-def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoding(path).encode_ordinary
+        plain, full = cutters()
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = [one(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+            texts, first = batch.column(1).to_pylist(), 0
+            while first < len(texts):
+                flat: list[str] = []
+                lens: list[int] = []
+                size = 0
+                for text in texts[first:]:
+                    if text:
+                        size += len(text)
+                        if size > BLOCK_CHARS and lens:
+                            break
+                        found = (plain if text.isascii() else full)(text)
+                        flat += found
+                        lens.append(len(found))
+                    else:
+                        lens.append(0)
+                word, gaps, far = _places(flat) if flat else (pa.array([], pa.string()), pa.array([], pa.binary()), pa.array([], pa.binary()))
+                n = len(word)
+                # the block's own row goes to a partition by the block's number
+                word = pa.concat_arrays([word.cast(pa.string()), pa.array([f"\0{block}"])])
+                none = lambda t: pa.nulls(n, t)
+                docs = pa.ListArray.from_arrays(pa.array([0, len(lens)], pa.int32()), batch.column(0).slice(first, len(lens)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n + 1, block, np.int64)), word, pa.concat_arrays([gaps, pa.array([b""])]), pa.concat_arrays([far, pa.array([b""])]),
+                        pa.concat_arrays([none(pa.list_(kind)), docs.cast(pa.list_(kind))]), pa.concat_arrays([none(pa.list_(pa.int32())), pa.array([lens], pa.list_(pa.int32()))]),
+                    ],
+                    names=["block", "word", "gaps", "far", "docs", "lens"],
+                )
+                first += len(lens)
+                block += 1
 
     return run
 
 
-def _places(hot):
-    """(id, runs, cold): the ids of hot words in runs with the place each begins at, and the other words with theirs."""
+def _encoded(path: str, count: bool):
+    """The rows with their word's ids, or the number of them, in place of the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = pattern().findall, hot.value.get
+        one, known = encoding(path).encode_ordinary, {}
         for batch in batches:
-            at: list[int] = []
-            run_ends, run_pos, id_ends, ids = [0], [], [0], []
-            cold_ends, cold_pos, cold = [0], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = find(text) if text else []
-                for a in range(0, max(1, len(found)), BLOCK_WORDS):
-                    at.append(i)
-                    open_run = False
-                    for k, w in enumerate(found[a : a + BLOCK_WORDS], a):
-                        own = known(w)
-                        if own is None:
-                            cold_pos.append(k)
-                            cold.append(w)
-                            open_run = False
-                            continue
-                        if open_run:
-                            ids.extend(own)
-                            id_ends[-1] = len(ids)
-                        else:
-                            run_pos.append(k)
-                            ids.extend(own)
-                            id_ends.append(len(ids))
-                            open_run = True
-                    run_ends.append(len(run_pos))
-                    cold_ends.append(len(cold))
-            if at:
-                i32 = pa.int32()
-                lists = pa.ListArray.from_arrays(pa.array(id_ends, i32), pa.array(ids, i32))
-                runs = pa.StructArray.from_arrays([pa.array(run_pos, i32), lists], ["pos", "ids"])
-                rest = pa.StructArray.from_arrays([pa.array(cold_pos, i32), pa.array(cold, pa.string())], ["pos", "word"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(run_ends, i32), runs), pa.ListArray.from_arrays(pa.array(cold_ends, i32), rest)], names=["id", "runs", "cold"]
-                )
+            coded = batch.column("word").dictionary_encode()
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            ids = []
+            for w in coded.dictionary.to_pylist():
+                if w not in known:
+                    known[w] = [] if w[0] == "\0" and len(w) > 1 and w[1:].isdigit() else one(w)
+                ids.append(known[w])
+            values = pa.array([len(x) for x in ids], pa.int32()) if count else pa.array(ids, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), values.take(coded.indices), *(batch.column(c) for c in ("gaps", "far", "docs", "lens"))], names=["block", "ids", "gaps", "far", "docs", "lens"]
+            )
 
     return run
 
 
-def dictionary(df: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(word, n, ids): the distinct pre-tokens of the corpus, each encoded once."""
-    words = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return words.mapInArrow(_encode(tokenizer_path(tokenizer)), "word string, n bigint, ids array<int>")
+def _bytes(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, their number in each row) of a column of binaries."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    width = np.dtype(kind).itemsize
+    return flat.copy().view(kind), np.diff(offsets) // width
+
+
+def _whole(count: bool):
+    """(id, ids or number) of the texts of a block."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        columns = {c: group.column(c).combine_chunks() if isinstance(group.column(c), pa.ChunkedArray) else group.column(c) for c in group.column_names}
+        own = columns["docs"].is_valid()
+        own_row = columns["docs"].filter(own), columns["lens"].filter(own)
+        docs, lens = own_row[0].flatten(), own_row[1].flatten().to_numpy()
+        words = pa.compute.invert(own)
+        gaps, times = _bytes(columns["gaps"].filter(words), "u1")
+        far, _ = _bytes(columns["far"].filter(words), "<u4")
+        step = gaps.astype(np.int64)
+        step[gaps == 255] = far
+        ends = np.cumsum(times)
+        place = np.cumsum(step)
+        before = np.concatenate([[0], place])[ends - times]
+        place -= np.repeat(before, times)
+        row = np.empty(len(place), np.int64)
+        row[place] = np.repeat(np.arange(len(times)), times)
+        text = np.concatenate([[0], np.cumsum(lens)])
+        values = columns["ids"].filter(words)
+        if count:
+            n = np.concatenate([[0], np.cumsum(values.to_numpy()[row] if len(row) else np.zeros(0, np.int64))])
+            return pa.table({"id": docs, "n": pa.array((n[text[1:]] - n[text[:-1]]).astype(np.int32))})
+        size = values.value_lengths().to_numpy().astype(np.int64)
+        flat = values.flatten().to_numpy()
+        size, start = size[row], (np.cumsum(size) - size)[row]
+        done = np.concatenate([[0], np.cumsum(size)])
+        out = flat[np.repeat(start - done[:-1], size) + np.arange(done[-1])] if len(row) else np.zeros(0, np.int32)
+        return pa.table({"id": docs, "ids": pa.ListArray.from_arrays(pa.array(done[text].astype(np.int32)), pa.array(out, pa.int32()))})
 
+    return run
 
-def encode(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER, hot: int = HOT) -> DataFrame:
-    """(key, ids) of every row."""
-    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+
+def _through(df: DataFrame, key: str, text: str, tokenizer: str, count: bool) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = df.schema[key].dataType.simpleString()
+    path = tokenizer_path(tokenizer)
     base = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    words = cut(dictionary(base, "text", tokenizer))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    frequent = words.where(F.col("n") * hot >= total)  # at most ``hot`` words
-    held = spark.sparkContext.broadcast({r.word: tuple(r.ids) for r in frequent.collect()})
-    schema = f"id {kind}, runs array<struct<pos:int,ids:array<int>>>, cold array<struct<pos:int,word:string>>"
-    read = cut(base.mapInArrow(_places(held), schema))
-    places = read.select("id", F.explode("cold").alias("c")).select("id", F.col("c.pos").alias("pos"), F.col("c.word").alias("word"))
-    rest = words.where(F.col("n") * hot < total).select("word", "ids")
-    joined = places.join(rest, "word").groupBy("id").agg(F.collect_list(F.struct("pos", "ids")).alias("runs"))
-    parts = read.select("id", "runs").unionByName(joined.select("id", "runs"))
-    whole = parts.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
-    return whole.select(F.col("id").alias(key), F.flatten(F.col("runs.ids")).alias("ids"))
+    schema = f"block bigint, {{}}, gaps binary, far binary, docs array<{kind}>, lens array<int>"
+    rows = base.mapInArrow(_exploded(to_arrow_type(df.schema[key].dataType)), schema.format("word string")).hint("rebalance", F.col("word"))
+    known = rows.mapInArrow(_encoded(path, count), schema.format("ids int" if count else "ids array<int>"))
+    return known.groupBy("block").applyInArrow(_whole(count), f"id {kind}, {'n int' if count else 'ids array<int>'}")
+
+
+def encode(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(key, ids) of every row."""
+    return _through(df, key, text, tokenizer, False).withColumnRenamed("id", key)
+
+
+def sizes(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(key, n_tokens) of every row, without its ids."""
+    return _through(df, key, text, tokenizer, True).select(F.col("id").alias(key), F.col("n").alias("n_tokens"))
 
 
 def token_bytes(spark: SparkSession, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -71,8 +71,7 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = p7_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens"))
-    return containers.pack(sizes, "doc_id", "n_tokens")
+    return containers.pack(encode.sizes(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,15 +296,30 @@ def test_masked(spark):
 # --- problems 7 and 8 --------------------------------------------------------------------------------------------
 
 
+def test_blocks_and_repeated_ids(spark, monkeypatch):
+    words = [f"w{i % 700} the" for i in range(3000)]
+    df = spark.createDataFrame([("a", " ".join(words)), ("a", "the the"), (None, "x the"), ("b", None)], "key string, text string").coalesce(1)
+    enc = encode.encoding(encode.tokenizer_path())
+    want = sorted((str(k), enc.encode_ordinary(t or "")) for k, t in [("a", " ".join(words)), ("a", "the the"), (None, "x the"), ("b", None)])
+    assert sorted((str(r.key), list(r.ids)) for r in encode.encode(df, "key", "text").collect()) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=[chr(i) for i in range(128)], max_size=60))
+def test_both_cutters_agree(text):
+    plain, full = encode.cutters()
+    assert plain(text) == full(text) and "".join(plain(text)) == text
+
+
 def test_encode_and_decode(spark):
     rng = random.Random(1)
     texts = [*TEXTS, "<|endoftext|> is text", "a " * 6000, *("".join(rng.choice("ab é日 \n1") for _ in range(40)) for _ in range(30))]
     df = frame(spark, texts, **CLASH)
-    for hot in (1, encode.HOT):
-        ids = encode.encode(df, "id", "text", hot=hot)
-        got = {r.id: list(r.ids) for r in ids.collect()}
-        enc = encode.encoding(encode.tokenizer_path())
-        assert got == {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+    ids = encode.encode(df, "id", "text")
+    got = {r.id: list(r.ids) for r in ids.collect()}
+    enc = encode.encoding(encode.tokenizer_path())
+    assert got == {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+    assert {r.id: r.n_tokens for r in encode.sizes(df, "id", "text").collect()} == {i: len(x) for i, x in got.items()}
     back = {r.id: r.text for r in encode.decode(ids, "id", "ids").collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert encode.encode(df.limit(0), "id", "text").count() == 0
