@@ -152,12 +152,31 @@ def test_filter_holds_every_place(spark, monkeypatch):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["word ", "Sentence ends. ", "\n", "\n\n", "- item\n", "HEADING:\n", "x" * 70, "。", "é", " "]), max_size=80).map("".join), st.integers(20, 120))
 def test_pieces_cover(text, limit):
-    got = pieces.pieces(text, limit, limit // 5)
+    overlap = limit // 5
+    got = pieces.pieces(text, limit, overlap)
     end = 0
     for k, (a, z, _) in enumerate(got):
-        assert z - a <= limit and end < z and not text[end:a].strip() and (k == 0 or end - a <= limit // 5)
+        assert z - a <= limit and end < z and a <= end and end - a <= overlap and (k == 0 or a > got[k - 1][0])
         end = z
-    assert not text[end:].strip()
+    assert end == len(text)
+    whole = "".join(text[max(a, got[k - 1][1] if k else 0) : z] for k, (a, z, _) in enumerate(got))
+    assert whole == text
+    if len(text) > limit:
+        run = re.search(rf"[^\s{pieces.MARKS}]{{{limit + 1}}}", text)
+        assert pieces.cut_kind(text, limit, overlap) == ("forced" if run else "natural")
+
+
+def test_pieces_follow_the_structure():
+    sent = "This is one more sentence of some length here. "
+    text = "HEADING:\n" + (sent * 90)[:3800].rstrip() + ".\n" + "y" * 3900
+    got = pieces.pieces(text)
+    assert [(z, k) for _, z, k in got] == [(len(text) - 3900, "line"), (len(text), "end")]
+    a = "# One\n\n" + sent * 60 + "\n\n## Part\n\n" + sent * 30 + "\n\n# Two\n\n" + sent * 60 + "\n\n- item\n  - inner\n- item\n"
+    parts = pieces.packed(a)[0]
+    assert [a[s:].split("\n")[0] for s, _, _ in parts] == ["# One", "## Part", "# Two"] and [k for _, _, k in parts] == ["heading", "heading", "end"]
+    for s, z, _ in parts:
+        assert not pieces.heading_level(a[s:z].strip().split("\n")[-1])
+    assert [k for _, k in pieces.boundaries("- a\n  - b\n  - c\n- d\nText")] == [pieces.ITEM + 2, pieces.ITEM + 2, pieces.ITEM + 1, pieces.BLOCK]
 
 
 def test_pieces_kinds(spark):
