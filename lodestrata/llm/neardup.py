@@ -4,17 +4,19 @@ A record is its set of runs of three words (``size``); two records match if they
 union. The order of all n-grams, rarest first, is global: by a count over the whole corpus, then by hash. It is cut into
 fragments, overlaps are counted in each and summed per pair:
 
-1. Count every n-gram of every record into 2**BITS cells (n-grams are hashed to 64 bits, of which 56 are kept; a cell is their high bits). The
-   cell counts, one byte each on a log scale, are all that is shared with the tasks: a fixed size, whatever the corpus
-   (a file in the shared folder that they map). A
-   cell counted once is an n-gram that no two records share. The counts only set the order, so no result depends on
-   their precision.
+1. One pass writes each record's fingerprint (of its words in order) and counts its n-grams into 2**bits cells (n-grams are
+   hashed to 64 bits, of which 56 are kept; a cell is their high bits; bits grows with the corpus up to MOST_BITS). The
+   cell counts, one byte each on a log scale, are all that is shared with the tasks (a file in the shared folder that
+   they map, deleted at the end). A cell counted once is an n-gram that no two records share. The counts only set the
+   order, so no result depends on their precision; beyond MOST_BITS the order gets coarser, no more.
 2. Each record's n-grams in that order. Records with fewer than ``threshold`` of their n-grams in cells counted twice
-   cannot match and end here. Equal sets have one fingerprint; postings are kept once a fingerprint, so hot copies cost
-   one record.
-3. The rare fragments: with sizes m <= n, matching needs an overlap of a = ceil(t / (1 + t) * (m + n)), so at least
-   ``votes`` common n-grams lie in the first m - a + votes and n - a + votes places. Postings of those places are joined
-   by n-gram and the partial overlaps summed per pair; pairs with fewer votes cannot match.
+   cannot match and end here. Records of the same words have one fingerprint; postings are kept once a fingerprint, so
+   hot copies cost one record.
+3. The first fragment, the rarest: with sizes m <= n, matching needs an overlap of a = ceil(t / (1 + t) * (m + n)), so at
+   least ``votes`` common n-grams lie in the first m - a + votes and n - a + votes places. Postings of those places are
+   joined by n-gram and the partial overlaps summed per pair; pairs with fewer votes cannot match. An n-gram that more
+   than HOT records have there (its cell tells) is cut into blocks of its records, and each two blocks meet under a key
+   of their own, so that no task holds all its pairs.
 4. The other fragments: for the pairs left, both records' segments are joined by fragment, overlaps are counted
    there and summed; the pair matches by its exact overlap.
 
@@ -25,11 +27,12 @@ unique and not null; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +43,10 @@ from pyspark.sql import functions as F
 from ..session import cut, ensure_checkpoint_dir, release
 from .components import components
 
-BITS = 26
+LEAST_BITS, MOST_BITS = 18, 28
 BLOCK = 16
 VOTES = 8
+HOT = 2048
 WORD = re.compile(r"[^\W_]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -70,9 +74,10 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def grams(texts: list[str | None], size: int, least: int, hashes: _Hashes) -> tuple[list[int], np.ndarray, np.ndarray]:
+def grams(texts: list[str | None], size: int, least: int, hashes: _Hashes, marks: list[int] | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Hashes of the runs of ``size`` words of a batch, with repeats: the places of the texts that have any, where the
-    runs of each begin (and the last ends), and the runs. Texts of fewer than ``least`` words have none."""
+    runs of each begin (and the last ends), and the runs. Texts of fewer than ``least`` words have none. marks gets the
+    fingerprints of their words."""
     at, lengths, flat = [], [], []
     for i, text in enumerate(texts):
         if text:
@@ -82,6 +87,8 @@ def grams(texts: list[str | None], size: int, least: int, hashes: _Hashes) -> tu
                 at.append(i)
                 lengths.append(n)
                 flat += found
+                if marks is not None:
+                    marks.append(xxhash.xxh3_64_intdigest(" ".join(found)) - (1 << 63))
     n = len(flat)
     if not n:
         return at, np.zeros(1, np.int64), np.zeros(0, np.uint64)
@@ -100,21 +107,32 @@ def grams(texts: list[str | None], size: int, least: int, hashes: _Hashes) -> tu
 
 
 def _code(counts: np.ndarray) -> np.ndarray:
-    """Counts in a byte: exact up to 63, then sixteen steps for each doubling."""
+    """Counts in a byte: exact up to 63, then eight steps for each doubling."""
     c = np.asarray(counts, np.float64)
-    return np.where(c < 64, c, np.minimum(255, 64 + 16 * np.log2(np.maximum(c, 64) / 64))).astype(np.uint8)
+    return np.where(c < 64, c, np.minimum(255, 64 + 8 * np.log2(np.maximum(c, 64) / 64))).astype(np.uint8)
 
 
-def _cells(size: int, least: int, bits: int):
-    """One row (part, block, offsets) for each block of cells that a batch of texts touches."""
+def _uncode(code: int) -> float:
+    """The count that a byte stands for."""
+    return code if code < 64 else 64 * 2 ** ((code - 64) / 8)
+
+
+def _first_pass(kind: pa.DataType, size: int, least: int, bits: int):
+    """Two kinds of rows: (id, print) of each record, and (part, block, offsets) for each block of cells that a batch of
+    texts touches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+        names = ["id", "print", "part", "block", "offsets"]
         for batch in batches:
-            part = batch.column(1)[0].as_py() if len(batch) else 0
-            g = grams(batch.column(0).to_pylist(), size, least, hashes)[2]
+            part = batch.column(2)[0].as_py() if len(batch) else 0
+            marks: list[int] = []
+            at, _, g = grams(batch.column(1).to_pylist(), size, least, hashes, marks)
             if not len(g):
                 continue
+            n = len(at)
+            no = lambda t, k: pa.nulls(k, t)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(marks, pa.int64()), no(pa.int32(), n), no(pa.int32(), n), no(pa.binary(), n)], names=names)
             cell = np.sort((g >> np.uint64(64 - bits)).astype(np.uint32))
             block = cell >> BLOCK
             edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
@@ -123,7 +141,8 @@ def _cells(size: int, least: int, bits: int):
             step = np.diff(low, prepend=low[:1])  # offsets as steps from the last: most are one byte long
             step[edges] = low[edges]
             blobs = [zlib.compress(step[i:j].tobytes(), 1) for i, j in zip(edges.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(blobs), pa.int32()), pa.array(block[edges].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "block", "offsets"])
+            k = len(blobs)
+            yield pa.RecordBatch.from_arrays([no(kind, k), no(pa.int64(), k), pa.array([part] * k, pa.int32()), pa.array(block[edges].astype(np.int32)), pa.array(blobs, pa.binary())], names=names)
 
     return run
 
@@ -142,12 +161,11 @@ def _add_counts(group: pa.Table) -> pa.Table:
     return pa.table({"block": group.column("block").slice(0, 1), "codes": pa.array([zlib.compress(_code(total).tobytes(), 1)], pa.binary())})
 
 
-def cell_counts(texts: DataFrame, text: str, size: int, least: int, bits: int) -> np.ndarray:
+def cell_counts(rows: DataFrame, parts: int, bits: int) -> np.ndarray:
     """The counts of the cells over the whole corpus, in one byte each; added up in two levels, so no task adds more
     than the batches of 64 parts, or one row of each 64 parts."""
-    rows = texts.select(F.col(text).alias("t"), F.spark_partition_id().alias("part")).where("t is not null")
-    raw = rows.mapInArrow(_cells(size, least, bits), "part int, block int, offsets binary")
-    if rows._jdf.rdd().getNumPartitions() <= 64:  # one group a block: the second level would add nothing up
+    raw = rows.where("block is not null").select("part", "block", "offsets")
+    if parts <= 64:  # one group a block: the second level would add nothing up
         done = raw.groupBy("block").applyInArrow(lambda g: _add_counts(_add_offsets(g)), "block int, codes binary")
     else:
         some = raw.withColumn("salt", (F.col("part") / 64).cast("int")).groupBy("block", "salt").applyInArrow(_add_offsets, "block int, counts binary")
@@ -161,10 +179,11 @@ def cell_counts(texts: DataFrame, text: str, size: int, least: int, bits: int) -
 _TOP = np.uint64(56)
 
 
-def _ordered(texts: list[str | None], codes: np.ndarray, size: int, least: int, hashes: _Hashes) -> Iterator[tuple[int, np.ndarray]]:
-    """(place, n-grams) of the texts that have any: the set in the global order, each as a count's code in the top byte
+def _ordered(texts: list[str | None], codes: np.ndarray, size: int, least: int, hashes: _Hashes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(place, fingerprint, n-grams) of the texts that have any: the set in the global order, each as a count's code in the top byte
     and 56 bits of hash, so that the numbers themselves are in order."""
-    at, starts, g = grams(texts, size, least, hashes)
+    marks: list[int] = []
+    at, starts, g = grams(texts, size, least, hashes, marks)
     if not at:
         return
     code = codes[(g >> np.uint64(65 - int(codes.size).bit_length())).astype(np.int64)]
@@ -177,8 +196,8 @@ def _ordered(texts: list[str | None], codes: np.ndarray, size: int, least: int,
     fresh[starts[:-1]] = True
     ends = np.r_[0, np.cumsum(fresh)][starts].tolist()
     key = key[fresh]
-    for i, a, z in zip(at, ends, ends[1:]):
-        yield i, key[a:z]
+    for i, mark, a, z in zip(at, marks, ends, ends[1:]):
+        yield i, mark, key[a:z]
 
 
 def _batch(names: tuple[str, ...], batch: pa.RecordBatch, at: list[int], columns: list[pa.Array], keys: list[np.ndarray]) -> pa.RecordBatch:
@@ -187,54 +206,57 @@ def _batch(names: tuple[str, ...], batch: pa.RecordBatch, at: list[int], columns
     return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns, lists], names=list(names))
 
 
-def _marked(codes: np.ndarray, hashes: _Hashes, batch: pa.RecordBatch, size: int, least: int, threshold: float) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(place, fingerprint, number of n-grams no other record has, n-grams) of the records of a batch that can match."""
-    twice = np.uint64(2) << _TOP
-    for i, g in _ordered(batch.column(1).to_pylist(), codes, size, least, hashes):
-        once = int(np.searchsorted(g, twice))
-        if len(g) - once >= threshold * len(g) - 1e-9:
-            yield i, xxhash.xxh3_64_intdigest(g.data) - (1 << 63), once, g
-
+_PLACE, _ROLE = 14, 2  # bits of a posting's key below its n-gram: place in the global order (the last one stands for all beyond), role
 
-def _prints(codes_of, size: int, least: int, threshold: float):
-    """(id, print, n): the fingerprints and sizes of the records that can match."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, hashes = codes_of(), _Hashes()
-        for batch in batches:
-            found = [(i, mark, len(g)) for i, mark, _, g in _marked(codes, hashes, batch, size, least, threshold)]
-            if found:
-                at, marks, sizes = zip(*found)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32())], names=["id", "print", "n"])
 
-    return run
+def _meetings(gram: np.ndarray, code: int, mark: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, roles) under which a record meets the others that have a hot n-gram: its block with itself and with each
+    other block. Role 2 meets all, 0 and 1 only one another."""
+    blocks = int(_uncode(code) // hot) + 1
+    own = mark % blocks
+    other = np.arange(blocks, dtype=np.uint64)
+    low, high = np.minimum(other, np.uint64(own)), np.maximum(other, np.uint64(own))
+    key = (gram ^ (low * _M1 + high * _M2 + _M1)) * _M2
+    return key ^ (key >> np.uint64(31)), np.where(other == own, 2, other > own).astype(np.uint64)
 
 
-def _postings(codes_of, size: int, least: int, threshold: float, votes: int):
-    """(gram, print, np): a record's rare n-grams, each with the record's size in the upper half of np and its place in
-    the global order in the lower; a task sends those of a fingerprint once."""
+def _postings(codes_of, size: int, least: int, threshold: float, votes: int, hot: int):
+    """(key, print, n): a record's rare n-grams, each as 48 bits of hash with its place in the global order and its role
+    below; a task sends those of a fingerprint once."""
+    twice, border = np.uint64(2) << _TOP, np.uint64(int(_code(np.asarray(hot)))) << _TOP
+    last = (1 << _PLACE) - 1
+    room = np.uint64(_PLACE + _ROLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, hashes, seen = codes_of(), _Hashes(), set()
         for batch in batches:
             if len(seen) > 1_000_000:
                 seen.clear()
-            grams_, marks, packed, lengths = [], [], [], []
-            for _, mark, once, g in _marked(codes, hashes, batch, size, least, threshold):
-                if mark in seen:
+            keys, marks, sizes, lengths = [], [], [], []
+            for _, mark, g in _ordered(batch.column(1).to_pylist(), codes, size, least, hashes):
+                n = len(g)
+                once = int(np.searchsorted(g, twice))
+                if n - once < threshold * n - 1e-9 or mark in seen:
                     continue
                 seen.add(mark)
-                n = len(g)
                 end = min(n, n - ceil(threshold * n - 1e-9) + votes)
-                grams_.append(g[once:end])
+                part = g[once:end]
+                place = np.minimum(np.arange(once, end), last).astype(np.uint64) << np.uint64(_ROLE)
+                key = ((part << np.uint64(8)) >> room << room) | place | np.uint64(2)
+                cold = int(np.searchsorted(part, border))
+                if cold < len(part):
+                    many = [key[:cold]]
+                    for gram, at in zip(part[cold:], place[cold:]):
+                        met, role = _meetings(gram << np.uint64(8), int(gram >> _TOP), mark, hot)
+                        many.append((met >> room << room) | at | role)
+                    key = np.concatenate(many)
+                keys.append(key)
                 marks.append(mark)
-                packed.append((n << 32) + once)
-                lengths.append(end - once)
+                sizes.append(n)
+                lengths.append(len(key))
             if marks:
-                ends = np.cumsum(lengths)
-                step = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-                columns = [np.concatenate(grams_).view(np.int64), np.repeat(np.asarray(marks, np.int64), lengths), np.repeat(np.asarray(packed, np.int64), lengths) + step]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "print", "np"])
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(np.asarray(marks, np.int64), lengths), np.repeat(np.asarray(sizes, np.int32), lengths)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "print", "n"])
 
     return run
 
@@ -242,19 +264,19 @@ def _postings(codes_of, size: int, least: int, threshold: float, votes: int):
 FRAGMENTS = np.asarray([3, 9, 65], np.uint64) << _TOP
 
 
-FILTER_BITS = 24
+LEAST_FILTER, MOST_FILTER = 15, 28
 
 
-def _bit(c: Column) -> Column:
+def _bit(c: Column, bits: int) -> Column:
     """A record's place in the filter."""
-    return F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    return F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
+def _filter(ids: DataFrame, bits: int) -> np.ndarray:
     """A filter of fixed size that all ids pass and most others do not."""
-    out = np.zeros(1 << FILTER_BITS, bool)
-    bits = ids.select(_bit(F.col("id")).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("map"))
-    for r in bits.collect():  # 2**FILTER_BITS / 32768 rows at most; buckets hold 1 to 32768, and so on, so 0 has no place in them
+    out = np.zeros(1 << bits, bool)
+    places = ids.select(_bit(F.col("id"), bits).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("map"))
+    for r in places.collect():  # 2**bits / 32768 rows at most; buckets hold 1 to 32768, and so on, so 0 has no place in them
         on = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.map), np.uint8), bitorder="little"))
         out[(r.bucket - 1) * 32768 + on] = True
     return np.packbits(out, bitorder="little")
@@ -269,7 +291,7 @@ def _segments(codes_of, wanted, size: int, least: int):
             bit = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
             at, fragments, keys = [], [], []
-            for i, g in _ordered(batch.column(1).to_pylist(), codes, size, least, hashes):
+            for i, _, g in _ordered(batch.column(1).to_pylist(), codes, size, least, hashes):
                 cuts = [0, *np.searchsorted(g, FRAGMENTS).tolist(), len(g)]
                 for f, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     if b > a:
@@ -297,41 +319,64 @@ class _Shared:
     def __call__(self) -> np.ndarray:
         return np.load(self.path, mmap_mode="r") if self.path else np.frombuffer(zlib.decompress(self.broadcast.value), np.uint8)
 
+    def drop(self) -> None:
+        if self.path:
+            os.unlink(self.path)
+        else:
+            self.broadcast.unpersist()
+
+
+def _bits_for(n: int, least: int, most: int) -> int:
+    return min(most, max(least, ceil(log2(max(n, 1)))))
 
-def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: int = 3, least: int = 20, votes: int = VOTES, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+
+def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: int = 3, least: int = 20, votes: int = VOTES, bits: int | None = None, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, class) of every record with a class, classes named by their least id; links
     (a, b, shared, n_a, n_b) between the classes whose sets match."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = df.sparkSession
     base = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and length(text) > 0")
-    place = f"{ensure_checkpoint_dir(spark)}/neardup-{uuid.uuid4().hex}"
-    codes = _Shared(spark, cell_counts(base, "text", size, least, bits), place)
-    release(spark)
+    if bits is None:  # about two cells an n-gram
+        bits = _bits_for((base.agg(F.sum(F.length("text"))).first()[0] or 0) // 3, LEAST_BITS, MOST_BITS)
     kind = df.schema[key].dataType.simpleString()
-    base.mapInArrow(_prints(codes, size, least, threshold), f"id {kind}, print bigint, n int").write.parquet(place)
-    records = spark.read.parquet(place)
-    classes = records.groupBy("print").agg(F.min("id").alias("class"), F.min("n").alias("n"))
-    members = records.join(classes.select("print", "class"), "print").select("id", "class")
+    first = _first_pass(to_arrow_type(df.schema[key].dataType), size, least, bits)
+    rows = cut(base.withColumn("part", F.spark_partition_id()).mapInArrow(first, f"id {kind}, print bigint, part int, block int, offsets binary"))
+    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    codes = _Shared(spark, cell_counts(rows, parts, bits), f"{ensure_checkpoint_dir(spark)}/neardup-{uuid.uuid4().hex}")
+    try:
+        return _similar(spark, base, rows.where("print is not null").select("id", "print"), codes, kind, threshold, size, least, votes, hot)
+    finally:
+        codes.drop()  # both passes that read it have run
+
+
+def _similar(spark: SparkSession, base: DataFrame, records: DataFrame, codes: _Shared, kind: str, threshold: float, size: int, least: int, votes: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    release(spark)
+    classes = records.groupBy("print").agg(F.min("id").alias("class"))
+    members = records.join(classes, "print").select("id", "class")
     # partitioned before the copies are dropped: rows of a record that lie together compress, and tasks sent few copies
-    packed = base.select("id", "text").mapInArrow(_postings(codes, size, least, threshold, votes), "gram bigint, print bigint, np bigint")
-    once = packed.repartition("gram").groupBy("gram", "print").agg(F.min("np").alias("np"))
-    postings = once.select("gram", "print", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
-    a = postings.select("gram", F.col("print").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
-    b = postings.select("gram", F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
+    packed = base.select("id", "text").mapInArrow(_postings(codes, size, least, threshold, votes, hot), "key bigint, print bigint, n int")
+    once = packed.select(F.shiftright("key", _PLACE + _ROLE).alias("gram"), "print", "n", F.col("key").bitwiseAND(F.lit((1 << (_PLACE + _ROLE)) - 1)).cast("int").alias("low"))
+    once = once.repartition("gram").groupBy("gram", "print", "n").agg(F.min("low").alias("low"))
+    side = lambda c: once.select("gram", F.col("print").alias(c), F.col("n").alias(f"n_{c}"), F.shiftright("low", _ROLE).alias(f"p_{c}"), F.col("low").bitwiseAND(F.lit(3)).alias(f"r_{c}"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)).cast("int")
+    within = lambda c: (F.col(f"p_{c}") < F.col(f"n_{c}") - need + votes) | (F.col(f"p_{c}") == (1 << _PLACE) - 1)
     met = (
-        a.join(b, "gram")
+        side("a").join(side("b"), "gram")
         .where((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
-        .where((F.col("n_a") >= need) & (F.col("p_a") < F.col("n_a") - need + votes) & (F.col("p_b") < F.col("n_b") - need + votes))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("met"), F.max(F.least(F.lit(votes), need)).alias("due"))
-        .where("met >= due")
-    )
-    named = lambda c: classes.select(F.col("print").alias(c), F.col("class").alias(f"class_{c}"), F.col("n").alias(f"n_{c}"))
+        .where((F.col("r_a") == 2) | (F.col("r_a") != F.col("r_b")))
+        .where((F.col("n_a") >= need) & within("a") & within("b"))
+        .groupBy("a", "b", "n_a", "n_b")
+        .agg(F.count("*").alias("met"))
+        .where(F.col("met") >= F.least(F.lit(votes), need))
+    )
+    named = lambda c: classes.select(F.col("print").alias(c), F.col("class").alias(f"class_{c}"))
     pairs = cut(met.join(named("a"), "a").join(named("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b"))
     release(spark)
-    # no text is shuffled: a filter of fixed size picks the records to read again, and the join below is exact
-    wanted = spark.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
-    segments = cut(base.withColumn("bit", _bit(F.col("id"))).mapInArrow(_segments(codes, wanted, size, least), f"id {kind}, fragment int, keys array<bigint>"))
+    # no text is shuffled: a filter of bounded size picks the records to read again, and the join below is exact
+    bits = _bits_for(32 * pairs.count(), LEAST_FILTER, MOST_FILTER)
+    wanted = spark.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), bits))
+    segments = cut(base.withColumn("bit", _bit(F.col("id"), bits)).mapInArrow(_segments(codes, wanted, size, least), f"id {kind}, fragment int, keys array<bigint>"))
     one = segments.select(F.col("id").alias("a"), "fragment", F.col("keys").alias("keys_a"))
     two = segments.select(F.col("id").alias("b"), "fragment", F.col("keys").alias("keys_b"))
     partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("keys_a", "keys_b")).alias("part"))
@@ -340,7 +385,8 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.6, size: in
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """(row_a, row_b), row_a < row_b: every matching pair of rows, copies included."""
+    """(row_a, row_b), row_a < row_b: every matching pair of rows, copies included, so its size is the square of the
+    largest class of copies; ``similar_groups``, one row a record, is the form to use on a corpus."""
     members, links = similar(df, key, text, **options)
     m = lambda c, r: members.select(F.col("class").alias(c), F.col("id").alias(r))
     across = links.select("a", "b").join(m("a", "x"), "a").join(m("b", "y"), "b").select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"))

@@ -128,11 +128,36 @@ def test_near_duplicates(spark):
 
 
 def test_cell_counts_in_two_levels(spark):
-    df = frame(spark, near_corpus())
-    one, two = (neardup.cell_counts(df.repartition(n), "text", 3, 20, 18) for n in (2, 70))
+    import pyarrow as pa
+
+    df = frame(spark, near_corpus()).select("id", "text").repartition(70).withColumn("part", F.spark_partition_id())
+    rows = df.mapInArrow(neardup._first_pass(pa.int64(), 3, 20, 18), "id bigint, print bigint, part int, block int, offsets binary").cache()
+    one, two = (neardup.cell_counts(rows, n, 18) for n in (2, 70))
     assert (one == two).all() and one.max() > 2
 
 
+def test_near_duplicates_with_hot_grams(spark):
+    """One run of words in every record, and records of nothing but hot runs, in blocks of a few records."""
+    rng = random.Random(8)
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    texts = [" ".join(base + [f"v{rng.randrange(4)}" for _ in range(rng.randrange(1, 6))]) for _ in range(60)]
+    texts += [" ".join(["one", "common", "run", "here", *(f"w{rng.randrange(40)}" for _ in range(30))]) for _ in range(60)]
+    want = brute_near(texts)
+    for hot in (3, 16):
+        got = [tuple(r) for r in neardup.similar_pairs(frame(spark, texts), "id", "text", bits=18, hot=hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def test_nothing_stays_in_the_shared_folder(spark):
+    import glob
+
+    from lodestrata.session import ensure_checkpoint_dir
+
+    place = ensure_checkpoint_dir(spark).removeprefix("file:")
+    neardup.similar_groups(frame(spark, near_corpus()), "id", "text", bits=18).count()
+    assert not glob.glob(f"{place}/neardup-*")
+
+
 def test_near_duplicates_at_five_words(spark):
     texts = near_corpus()
     got = {tuple(r) for r in neardup.similar_pairs(frame(spark, texts), "id", "text", threshold=0.8, size=5, bits=18).collect()}
@@ -140,9 +165,9 @@ def test_near_duplicates_at_five_words(spark):
 
 
 def test_filter_holds_every_place(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "_bit", lambda c: c)
-    bits = [0, 1, 7, 32767, 32768, 32769, 65536, (1 << neardup.FILTER_BITS) - 1]
-    got = neardup._filter(spark.createDataFrame([(b,) for b in bits], "id bigint"))
+    monkeypatch.setattr(neardup, "_bit", lambda c, bits: c)
+    bits = [0, 1, 7, 32767, 32768, 32769, 65536, (1 << 20) - 1]
+    got = neardup._filter(spark.createDataFrame([(b,) for b in bits], "id bigint"), 20)
     assert np.flatnonzero(np.unpackbits(got, bitorder="little")).tolist() == bits
 
 
