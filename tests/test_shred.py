@@ -45,10 +45,10 @@ def test_positions_rebuild_places():
     s = shred.Stripes(leaves=True)
     s.record(0, [None, {"a": [{"f": [1, 2]}, {}, {"f": [3]}], "k": 5}])
     s.record(3, [{"a": [{"f": []}]}])
-    c = s.lists["a.f"]
-    record, places, there = shred.positions(c.rows, c.reps, c.defs)
+    c = s.lists["a.f", 3]
+    record, places, there = shred.positions(c.rows, c.reps, c.defs, 3)
     assert [tuple(int(p[i]) for p in places) for i in range(len(there)) if there[i]] == [(1, 0, 0), (1, 0, 1), (1, 2, 0)]
-    k = s.fields["", "k"]
+    k = s.fields["", "k", 1]
     assert (k.reps, k.defs, k.values) == ([0, 1], [0, 1], [None, 5])
 
 
@@ -69,7 +69,53 @@ def test_empty_table_and_clashing_names(spark):
 
 
 def test_deep_and_long(spark):
-    deep = "[" * 3000 + "]" * 3000
+    """Records in more levels than a parser's stack holds, in both spellings, and very long ones."""
+    deep = [o * 2500 + c * 2500 for o, c in ("[]", "()")] + ['{"a":' * 1200 + "[1, 2]" + "}" * 1200, "[" + "{'a': [" * 300 + "'x', None, True" + "]}" * 300 + "]"]
     long = json.dumps([{"a": list(range(20_000))}])
-    got = shred.list_elements(df(spark, [deep, long]), "id", "history").groupBy("id").count().collect()
-    assert (1, 20_000) in [tuple(r) for r in got]
+    got = shred.list_elements(df(spark, [*deep, long, deep[0][:-1], deep[3][:-1]]), "id", "history").groupBy("id").count().collect()
+    assert dict(map(tuple, got)) == {0: 2498, 1: 2498, 2: 2, 3: 302, 4: 20_000}
+
+
+def test_texts_of_texts(spark):
+    wrapped = ['[{"a": [1]}]']
+    for _ in range(6):
+        wrapped.append(json.dumps(wrapped[-1]))
+    got = shred.list_elements(df(spark, wrapped), "id", "history").collect()
+    assert sorted(tuple(r) for r in got) == [(i, 0, "a", -1, 0) for i in range(7)]
+
+
+def test_deep_reader_agrees_with_both_readers():
+    import ast
+    import random
+
+    rng = random.Random(4)
+
+    def value(n):
+        k = rng.randrange(8 if n else 5)
+        if k < 6:
+            return [None, True, 3.5, "a,b: [x]", -7, {}][k]
+        return [value(n - 1) for _ in range(rng.randrange(4))] if k == 6 else {f"k{i}": value(n - 1) for i in range(rng.randrange(4))}
+
+    for _ in range(300):
+        v = value(4)
+        text = json.dumps(v) if rng.random() < 0.5 else repr(v)
+        assert shred.decode_deep(text) == v
+        k = rng.randrange(len(text) + 1)
+        broken = text[:k] + rng.choice(["", ",", "]", "}", ":", "1", "[", "'"]) + text[k + rng.randrange(2) :]
+        try:
+            want = json.loads(broken)
+        except ValueError:
+            try:
+                want = ast.literal_eval(broken)
+            except (ValueError, SyntaxError, TypeError):
+                want = shred.BROKEN
+        if want is shred.BROKEN:
+            assert shred._deep(broken) is shred.BROKEN, broken
+
+
+def test_lists_at_several_depths_and_names_that_clash(spark):
+    texts = ['[{"p": {"q": [1, 2]}}]', '[{"p": [{"q": [3]}, {"q": [4, 5]}]}]', '[{"a.b": 1, "a": {"b": 2}}]']
+    got = shred.list_elements(df(spark, texts), "id", "history").collect()
+    assert sorted(tuple(r) for r in got) == brute(texts)
+    rows = shred.shredded(df(spark, texts), "id", "history").where("id = 2").collect()
+    assert [r.fields for r in rows] == [{"a.b": "2"}]
