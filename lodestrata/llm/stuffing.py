@@ -1,6 +1,7 @@
 """Keyword-stuffed and link-list pages (problem 9): recurrence gaps and positional autocorrelation in lag windows.
 
-A text is a series of terms: words (digits at their ends cut off), links by the last part of their path, hashtags.
+A text is a series of terms: words (digits at their ends cut off), links by the last part of their path (with the markup
+and the text they stand in), hashtags.
 Equal terms at a lag of 1 to LAGS are the autocorrelation of the series; summed over the lags it counts, for each place,
 how often its term recurs nearby. Keywords recur unnaturally often and at regular gaps; the words of prose, of lists
 that inform (references, medications, results) and of glossaries do not, as most of their characters are in terms that
@@ -42,22 +43,25 @@ DENSE = 0.45
 SHARE = 0.5
 
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
-TERM = re.compile(rf"(?<!\w)\w(?:[. ]\w){{4,}}(?!\w)|[{CJK}][{CJK}0-9]*|(?:https?://|www\.)[^\s|,;()<>\[\]]+|[\w-]+(?:\.[\w-]+)+/[^\s|,;()<>\[\]]*|#\w[\w-]*|\$?[^\W{CJK}]+")
-# Words that bind sentences, and words that sell (cut from the front of a link's last part).
+TERM = re.compile(rf"<a\s[^<>]*>[^<>]*</a>|\[[^\[\]\n]*\]\((?:https?://|www\.)[^\s()]+\)|(?<!\w)\w(?:[. ]\w){{4,}}(?!\w)|[{CJK}][{CJK}0-9]*|(?:https?://|www\.)[^\s|,;()<>\[\]]+|[\w-]+(?:\.[\w-]+)+/[^\s|,;()<>\[\]]*|#\w[\w-]*|\$?[^\W{CJK}]+")
+# Words that bind sentences.
 BINDING = frozenset(
     "a an the of to in on at by for from with without and or but nor as than then that this these those is are was were be been has have had do does did will would can could may might "
     "not no if when while because since after before over under into per he she it they we you i his her its their our your who which there here all any some more most "
     "el la los las un una de del al y o en con sin por para que se su es fue no le les des du et ou à au aux dans sur pour par avec sans est une un depuis der die das den dem des ein eine "
     "und oder mit von vom zu zum zur bei nach seit unter für im am auf aus ist war hat hatte wurde kein keine nicht".split()
 )
-_SELL = re.compile(r"^(?:buy|order|cheap|discount|best|natural|online|get)(?=\w{4})")
+_HREF = re.compile(r"href=[\"']?([^\"'\s>]+)|\]\(([^\s()]+)")
 
 
 def _term(t: str) -> str:
     """What a term is compared by."""
+    if t[0] in "<[":  # an anchor is compared by where it leads
+        m = _HREF.search(t)
+        t = (m[1] or m[2]) if m else t
     if "/" in t:
         path = t.split("?")[0].rstrip("/").split("/")
-        return _SELL.sub("", re.sub(r"html?$|[\W_\d]", "", path[-1].lower()))
+        return re.sub(r"html?$|[\W_\d]", "", path[-1].lower())
     if t[0] == "#":
         return t.lower()
     cut = t.rstrip("0123456789")
@@ -191,7 +195,6 @@ def stuffed_shares(texts: list[str | None]) -> tuple[list[int], np.ndarray]:
     # what a term holds: its characters and what parts it from the next term
     width = np.r_[a[1:], 0] - a
     width[last] = (z - a)[last]
-    width = np.minimum(width, (z - a) + 8)
     total = np.r_[0, np.cumsum(width)]
     good = np.r_[0, np.cumsum(width * recurs)]
     dense = (good[high] - good[low]) >= DENSE * (total[high] - total[low])

@@ -419,6 +419,14 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed(frame(spark, texts).limit(0), "id", "text").count() == 0
 
 
+def test_markup_and_padding():
+    links = [f'<a href="https://www.s{i}.example/{w}/buy{p}">best {q}</a>' for i, (w, p, q) in enumerate(zip("abcdef", "zol pax lax mox fen dul".split(), "pax zol mox fen dul lax".split()))]
+    spam = ["\n\n".join(links), (" " * 60).join(["#zol", "#pax", "#lax", "#mox"])]
+    honest = ["See <a href='https://a.example/zol'>the leaflet</a> before you take it, and call if it hurts.", "| a |" + " " * 400 + "| b |"]
+    at, share = stuffing.stuffed_shares([*spam, *honest])
+    assert {i for i, x in zip(at, share) if x > stuffing.SHARE} == {0, 1}
+
+
 def test_short_stuffed_pages():
     links = ["http://a.example/zol", "www.b.test/pax?id=3", "c.example/5/lax", "http://d.example/mox.html", "www.e.test/fen", "f.example/dul", "http://g.example/rin", "www.h.test/kat"]
     spam = ["\n".join(links[:n]) for n in (2, 3, 4, 8)] + ["#zol #pax #lax", "buy " + " ".join(links[:3])]
