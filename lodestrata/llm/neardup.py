@@ -206,7 +206,9 @@ def _batch(names: tuple[str, ...], batch: pa.RecordBatch, at: list[int], columns
     return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns, lists], names=list(names))
 
 
-_PLACE, _ROLE = 14, 2  # bits of a posting's key below its n-gram: place in the global order (the last one stands for all beyond), role
+#: Bits of a posting's key: 46 of its n-gram's hash, its place in the global order (in 256ths of the record's size), its
+#: role. The highest byte stays empty, so a posting next to another of its record compresses to little more than seven.
+_GRAM, _PLACE, _ROLE = 46, 8, 2
 
 
 def _meetings(gram: np.ndarray, code: int, mark: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,11 +223,9 @@ def _meetings(gram: np.ndarray, code: int, mark: int, hot: int) -> tuple[np.ndar
 
 
 def _postings(codes_of, size: int, least: int, threshold: float, votes: int, hot: int):
-    """(key, print, n): a record's rare n-grams, each as 48 bits of hash with its place in the global order and its role
-    below; a task sends those of a fingerprint once."""
+    """(key, print, n): a record's rare n-grams; a task sends those of a fingerprint once."""
     twice, border = np.uint64(2) << _TOP, np.uint64(int(_code(np.asarray(hot)))) << _TOP
-    last = (1 << _PLACE) - 1
-    room = np.uint64(_PLACE + _ROLE)
+    room, above = np.uint64(_PLACE + _ROLE), np.uint64(64 - _GRAM)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, hashes, seen = codes_of(), _Hashes(), set()
@@ -241,14 +241,14 @@ def _postings(codes_of, size: int, least: int, threshold: float, votes: int, hot
                 seen.add(mark)
                 end = min(n, n - ceil(threshold * n - 1e-9) + votes)
                 part = g[once:end]
-                place = np.minimum(np.arange(once, end), last).astype(np.uint64) << np.uint64(_ROLE)
-                key = ((part << np.uint64(8)) >> room << room) | place | np.uint64(2)
+                place = (np.arange(once, end) * 256 // n).astype(np.uint64) << np.uint64(_ROLE)
+                key = ((part << np.uint64(8)) >> above << room) | place | np.uint64(2)
                 cold = int(np.searchsorted(part, border))
                 if cold < len(part):
                     many = [key[:cold]]
                     for gram, at in zip(part[cold:], place[cold:]):
                         met, role = _meetings(gram << np.uint64(8), int(gram >> _TOP), mark, hot)
-                        many.append((met >> room << room) | at | role)
+                        many.append((met >> above << room) | at | role)
                     key = np.concatenate(many)
                 keys.append(key)
                 marks.append(mark)
@@ -356,18 +356,20 @@ def _similar(spark: SparkSession, base: DataFrame, records: DataFrame, codes: _S
     members = records.join(classes, "print").select("id", "class")
     # partitioned before the copies are dropped: rows of a record that lie together compress, and tasks sent few copies
     packed = base.select("id", "text").mapInArrow(_postings(codes, size, least, threshold, votes, hot), "key bigint, print bigint, n int")
-    once = packed.select(F.shiftright("key", _PLACE + _ROLE).alias("gram"), "print", "n", F.col("key").bitwiseAND(F.lit((1 << (_PLACE + _ROLE)) - 1)).cast("int").alias("low"))
-    once = once.repartition("gram").groupBy("gram", "print", "n").agg(F.min("low").alias("low"))
+    gram = F.shiftright("key", _PLACE + _ROLE)
+    once = packed.repartition(gram).select(gram.alias("gram"), "print", "n", F.col("key").bitwiseAND(F.lit((1 << (_PLACE + _ROLE)) - 1)).cast("int").alias("low"))
+    once = once.groupBy("gram", "print", "n").agg(F.min("low").alias("low"))
     side = lambda c: once.select("gram", F.col("print").alias(c), F.col("n").alias(f"n_{c}"), F.shiftright("low", _ROLE).alias(f"p_{c}"), F.col("low").bitwiseAND(F.lit(3)).alias(f"r_{c}"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)).cast("int")
-    within = lambda c: (F.col(f"p_{c}") < F.col(f"n_{c}") - need + votes) | (F.col(f"p_{c}") == (1 << _PLACE) - 1)
+    within = lambda c: F.col(f"p_{c}") * F.col(f"n_{c}") < 256 * (F.col(f"n_{c}") - need + votes)
     met = (
         side("a").join(side("b"), "gram")
         .where((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
         .where((F.col("r_a") == 2) | (F.col("r_a") != F.col("r_b")))
         .where((F.col("n_a") >= need) & within("a") & within("b"))
-        .groupBy("a", "b", "n_a", "n_b")
+        .groupBy("a", "b", (F.shiftleft(F.col("n_a").cast("bigint"), 32) + F.col("n_b")).alias("sizes"))
         .agg(F.count("*").alias("met"))
+        .select("a", "b", F.shiftright("sizes", 32).cast("int").alias("n_a"), F.col("sizes").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n_b"), "met")
         .where(F.col("met") >= F.least(F.lit(votes), need))
     )
     named = lambda c: classes.select(F.col("print").alias(c), F.col("class").alias(f"class_{c}"))
