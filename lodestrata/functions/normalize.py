@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import vocabulary as V
+
 
 def normalize_id(c: Column, digits_only: bool = False) -> Column:
     """Trimmed text without a trailing ".0"; digits_only strips it from all-digit ids alone."""
@@ -24,8 +26,8 @@ def norm_feature(c: Column) -> Column:
 def label(c: Column, signs: bool = False, strict: bool = False) -> Column:
     """Yes / No or null (strict: an error); signs adds positive and negative."""
     t = F.lower(F.trim(c))
-    yes = ["yes", "1", "true", "present", "y"] + (["positive"] if signs else [])
-    no = ["no", "0", "false", "absent", "n", "not mentioned"] + (["negative"] if signs else [])
+    yes = [*V.YES_LABELS] + (["positive"] if signs else [])
+    no = [*V.NO_LABELS] + (["negative"] if signs else [])
     out = F.when(t.isin(yes), "Yes").when(t.isin(no), "No")
     return out.otherwise(F.raise_error(F.concat(F.lit("no label: "), F.coalesce(c, F.lit("null"))))) if strict else out
 
@@ -72,15 +74,30 @@ def normalize_text(c: Column) -> Column:
     return fold_text(F.when(c.rlike(r"[^\x00-\x7F]"), nfkd(c)).otherwise(c))
 
 
-def usable_inference(c: Column, stop: tuple[str, ...], least: int = 5, prefixes: tuple[str, ...] = ("no mention", "not mentioned", "no evidence")) -> Column:
-    """Longer than ``least``, no stop value, no stop prefix."""
-    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+def usable_inference(c: Column, stop: tuple[str, ...] = V.STOP_VALUES, least: int = 5, prefixes: tuple[str, ...] = V.STOP_PREFIXES) -> Column:
+    """Longer than ``least``, no stop value, no stop prefix."""
+    t = F.lower(strip(F.coalesce(c, F.lit(""))))
     out = (F.length(t) > least) & ~t.isin(*stop)
     for p in prefixes:
         out = out & ~t.startswith(p)
     return out
 
 
+def no_quotation(c: Column) -> Column:
+    """Blank, or one of the inferences that are no quotation."""
+    return F.lower(strip(F.coalesce(c, F.lit("")))).isin(*V.BAD_INFERENCE)
+
+
+def strip(c: Column) -> Column:
+    """A text without white space of any script around it."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def usable_quote(c: Column, least: int = 5) -> Column:
+    """More than ``least`` characters that are no white space."""
+    return F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")) > least
+
+
 def truncate_middle(c: Column, limit: int, mark: str = "\n...\n") -> Column:
     """Both ends of a text above the limit."""
     half = limit // 2

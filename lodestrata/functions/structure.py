@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .policy import any_of, assertion_class, has_cancer, has_relation, left_scope
+from .normalize import no_quotation, strip
+from .policy import any_of, assertion_class, has_cancer, has_relation, left_scope, split_section
 
 # Headers, cues and corroborating words of the structural rules.
 HEADERS = (
@@ -143,46 +144,90 @@ def eligible(feature: Column, text: Column, start: Column, end: Column) -> Colum
     return kind & ((feature != V.FAMILY) | (has_relation(near) & has_cancer(near)))
 
 
-def outside_section(text: Column, outside: Column, aliases: tuple[str, ...]) -> Column:
-    """An alias outside the review of systems that no cue in the 25 characters before it denies."""
-    low = F.lower(outside)
-    hit = F.lit(False)
-    for a in aliases:
-        at = F.instr(low, a)
-        hit = hit | ((at > 0) & ~before(low, at, 25).rlike(r"\b(?:no|not|denies|denied|without|negative for|absent|never|none)\b"))
-    return hit
-
-
 def family_history(text: Column) -> Column:
-    """A relative and a colorectal cancer within 100 characters of one another, no sentence between, either way round."""
-    kin = r"(?:mother|father|sister|brother|parent|grandmother|grandfather|aunt|uncle|son|daughter|sibling|relative)"
-    cancer = r"(?:colon|colorectal|rectal|bowel)\s+(?:cancer|carcinoma|ca)\b"
-    low = F.lower(text)
-    return low.rlike(rf"\b{kin}\b[^.;\n]{{0,100}}\b{cancer}") | low.rlike(rf"\b{cancer}[^.;\n]{{0,100}}\b{kin}\b")
-
-
-def metadata_issues(label: Column, confidence: Column, section: Column, experiencer: Column, assertion: Column, feature: Column) -> Column:
-    """A claim's own fields against one another."""
-    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    yes, no, family = label == "Yes", label == "No", feature == V.FAMILY
-    return F.array_compact(
-        F.array(
-            F.when(label.isNull(), "LABEL_MISSING"), F.when(confidence.isNull() | ~confidence.between(1, 5), "CONFIDENCE_INVALID"),
-            F.when(yes & low(assertion).isin("negated", "absent"), "POSITIVE_BUT_NEGATED"), F.when(no & (low(assertion) == "affirmed"), "NEGATIVE_BUT_AFFIRMED"),
-            F.when(yes & ~family & (low(experiencer) == "family_member"), "EXPERIENCER_NOT_PATIENT"), F.when(yes & family & (low(experiencer) == "patient"), "EXPERIENCER_NOT_FAMILY"),
-            F.when(yes & low(section).isin("", "none"), "SECTION_MISSING"), F.when(no & (low(experiencer) == "family_member") & ~family, "EXPERIENCER_ON_NEGATIVE"),
-        )
-    )
-
-
-def normalise_negative(claim: Column) -> Column:
-    """The metadata of a "No" rewritten the one way it can be: struct(claim, changes)."""
-    want = {"note_section": "none", "experiencer": "unknown", "assertion_status": "absent", "evidence_quote": ""}
-    changes = F.array_compact(F.array(*(F.when((claim["label"] == "No") & ~claim[k].eqNullSafe(F.lit(v)), F.lit(k)) for k, v in want.items())))
-    out = claim
-    for k, v in want.items():
-        out = out.withField(k, F.when(claim["label"] == "No", F.lit(v)).otherwise(claim[k]))
-    return F.struct(out.alias("claim"), changes.alias("changes"))
+    """Outside the review of systems a relative and a colorectal cancer within 100 characters of one another, no
+    full stop or semicolon between, either way round."""
+    low = F.lower(split_section(text)[0])
+    gap = r"[^.;]{0,100}"
+    return low.rlike("(?d)" + V.MEMBER + gap + V.CRC) | low.rlike("(?d)" + V.CRC + gap + V.MEMBER)
+
+
+def alias_of(c: Column, aliases: dict[str, str]) -> Column:
+    """A field in lower case, other spellings replaced."""
+    t = F.lower(strip(F.coalesce(c, F.lit(""))))
+    out = t
+    for k, v in aliases.items():
+        out = F.when(t == k, v).otherwise(out)
+    return out
+
+
+# The codes of P15.
+ISSUES = {
+    "label": "invalid_or_missing_label", "confidence": "invalid_confidence", "section": "invalid_note_section", "experiencer": "invalid_experiencer", "assertion": "invalid_assertion_status",
+    "positive_assertion": "positive_label_requires_affirmed_or_historical_assertion", "positive_patient": "positive_label_requires_patient_experiencer",
+    "positive_family": "positive_label_requires_family_member_experiencer", "ungrounded": "positive_inference_not_note_grounded",
+    "relation": "family_history_positive_missing_biological_relation", "cancer": "family_history_positive_missing_crc_specificity",
+    "negative_assertion": "negative_label_cannot_have_affirmed_hypothetical_planned_or_historical_assertion", "denial": "negated_label_requires_grounded_denial_evidence",
+    "leftover": "negative_absence_should_not_retain_affirmative_or_unrelated_inference", "duration": "duration_not_string", "duration_confidence": "invalid_duration_confidence",
+    "duration_inference": "duration_inference_not_string",
+}
+
+
+def metadata_issues(claim: dict[str, Column], feature: Column, grounded: Column) -> Column:
+    """A claim's own fields against one another and its note. claim has label (Yes, No or null), confidence,
+    inference, section, experiencer, assertion and, where the finding has one, duration, duration_confidence and
+    duration_inference; grounded says whether the inference is in the note."""
+    label, inference, family = claim["label"], strip(F.coalesce(claim["inference"], F.lit(""))), feature == V.FAMILY
+    section, assertion = alias_of(claim["section"], V.SECTION_ALIASES), alias_of(claim["assertion"], V.ASSERTION_ALIASES)
+    experiencer = alias_of(claim["experiencer"], {})
+    low = F.lower(inference)
+    yes, no = label == "Yes", label == "No"
+    bad = no_quotation(inference) | ~F.coalesce(grounded, F.lit(False))
+    absent = no_quotation(inference)
+    for p in V.ABSENCE_PREFIXES:
+        absent = absent | low.startswith(p)
+    off = lambda c: c.isNull() | F.isnan(c.cast("double")) | ~c.cast("double").between(1, 5)
+    checks = {
+        "confidence": off(claim["confidence"]), "section": ~section.isin(*V.SECTIONS), "experiencer": ~experiencer.isin(*V.EXPERIENCERS), "assertion": ~assertion.isin(*V.ASSERTIONS),
+        "positive_assertion": yes & ~assertion.isin("affirmed", "historical"), "positive_patient": yes & ~family & (experiencer != "patient"), "positive_family": yes & family & (experiencer != "family_member"),
+        "ungrounded": yes & bad, "relation": yes & family & (inference != "") & ~low.rlike("(?d)" + V.MEMBER), "cancer": yes & family & (inference != "") & ~low.rlike("(?d)" + V.CRC),
+        "negative_assertion": no & ~assertion.isin("negated", "absent", "unknown"), "denial": no & (assertion == "negated") & bad, "leftover": no & (assertion != "negated") & ~absent,
+    }
+    if "duration" in claim:
+        checks |= {
+            "duration": ~family & claim["duration"].isNull(), "duration_confidence": ~family & off(claim["duration_confidence"]), "duration_inference": ~family & claim["duration_inference"].isNull(),
+        }
+    codes = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(ISSUES[k])) for k, c in checks.items())))
+    return F.when(F.coalesce(label.isin("Yes", "No"), F.lit(False)), codes).otherwise(F.array(F.lit(ISSUES["label"])))
+
+
+def normalise_negative(claim: dict[str, Column], feature: Column, grounded: Column) -> tuple[dict[str, Column], Column, Column]:
+    """(claim, changes, ok): the fields of a "No" that has issues rewritten the one way they can be. A grounded denial
+    keeps its inference and has its enumerations put right; any other says that nothing is documented. ok: nothing is
+    left to object to; false where nothing was done."""
+    before = metadata_issues(claim, feature, grounded)
+    due = (claim["label"] == "No") & (F.size(before) > 0)
+    inference = strip(F.coalesce(claim["inference"], F.lit("")))
+    section, assertion = alias_of(claim["section"], V.SECTION_ALIASES), alias_of(claim["assertion"], V.ASSERTION_ALIASES)
+    experiencer, stated = alias_of(claim["experiencer"], {}), F.lower(strip(F.coalesce(claim["assertion"], F.lit(""))))
+    denial = (assertion == "negated") & ~no_quotation(inference) & F.coalesce(grounded, F.lit(False))
+    off = claim["confidence"].isNull() | ~claim["confidence"].cast("double").between(1, 5)
+    known = {"section": section.isin(*V.SECTIONS), "experiencer": experiencer.isin(*V.EXPERIENCERS)}
+    new = {
+        "label": claim["label"], "confidence": F.when(due & off, 1).otherwise(claim["confidence"]),
+        "inference": F.when(due & ~denial, V.NOT_DOCUMENTED).otherwise(claim["inference"]),
+        "section": F.when(due & ~denial, "none").when(due, F.when(known["section"], section).otherwise("unknown")).otherwise(claim["section"]),
+        "experiencer": F.when(due & ~denial, "unknown").when(due, F.when(known["experiencer"], experiencer).otherwise("unknown")).otherwise(claim["experiencer"]),
+        "assertion": F.when(due & ~denial, "unknown").when(due, "negated").otherwise(claim["assertion"]),
+    }
+    notes = [
+        (off, "invalid_confidence->1"), (denial & (assertion != stated), "assertion_alias_normalized"), (denial & ~known["section"], "invalid_section->unknown"),
+        (denial & ~known["experiencer"], "invalid_experiencer->unknown"), (~denial & (inference != V.NOT_DOCUMENTED), "unsupported_negative_inference->not_documented"),
+        (~denial & (section != "none"), "negative_section->none"), (~denial & (experiencer != "unknown"), "negative_experiencer->unknown"), (~denial & (assertion != "unknown"), "negative_assertion->unknown"),
+    ]
+    changes = F.array_compact(F.array(*(F.when(due & c, F.lit(name)) for c, name in notes)))
+    left = metadata_issues(new, feature, F.coalesce(grounded, F.lit(False)) & denial)
+    return new, changes, due & (F.size(left) == 0)
 
 
 def contradiction(label: Column, found_outside: Column, passage_score: Column, least: float = 12.0) -> Column:

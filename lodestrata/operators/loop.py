@@ -28,10 +28,10 @@ def verdict(issues: Column) -> Column:
 
 
 def change_type(before: Column, after: Column, evidence_changed: Column, metadata_changed: Column, error: Column) -> Column:
-    """V5."""
+    """V5: an error first, then a changed label by its direction, then changed evidence, then changed fields."""
     return (
-        F.when(error, "REFINEMENT_ERROR").when((before == "Yes") & (after == "No"), "REJECTED").when((before == "No") & (after == "Yes"), "RECOVERED")
-        .when(evidence_changed, "EVIDENCE_CORRECTED").when(metadata_changed, "METADATA_CORRECTED").when(after == "Yes", "CONFIRMED").otherwise("UNCHANGED")
+        F.when(F.coalesce(error, F.lit(False)), "REFINEMENT_ERROR").when((before == "Yes") & (after == "No"), "REJECTED").when((before == "No") & (after == "Yes"), "RECOVERED")
+        .when(~before.eqNullSafe(after), "LABEL_CHANGED").when(evidence_changed, "EVIDENCE_CORRECTED").when(metadata_changed, "METADATA_CORRECTED").otherwise("CONFIRMED")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.normalize import fold_text, tokens
-from ..functions.policy import bounded
+from ..functions.policy import bounded, negated_in, split_section
 
 
 def lexicon(spark: SparkSession, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -55,21 +55,41 @@ def alternation(terms: tuple[str, ...] | list[str]) -> str:
     return "(?U)(?=[" + re.escape(firsts) + r"])(?<!\w)" + _trie(sorted(set(terms))) + r"(?!\w)"
 
 
-def mentions(df: DataFrame, key: str, text: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+def mentions(df: DataFrame, key: str, text: str, aliases: dict[str, tuple[str, ...]], left: int = 0, right: int = 0) -> DataFrame:
     """(key, feature, alias, start, end): every non-overlapping mention of each finding, longest alias first;
     0-based places in the lower-cased text. One literal pattern a finding and one pass of it, so no join and no pattern
-    per row: hits are marked, and the places follow from the lengths between the marks."""
+    per row: hits are marked, and the places follow from the lengths between the marks. With left or right, columns before
+    and after have that many characters around each, cut where the mention is made, so no text travels with it."""
     low = df.select(F.col(key).alias("k"), F.translate(F.lower(text), "\x01\x02", "  ").alias("t")).where("t is not null")
     pairs = [F.struct(F.lit(f).alias("feature"), F.split(F.regexp_replace("t", alternation(a), "\x01$0\x02"), "\x01").alias("parts")) for f, a in aliases.items()]
-    each = low.select("k", F.explode(F.array(*pairs)).alias("e")).where("size(e.parts) > 1").select("k", "e.*")
-    cut = each.select("k", "feature", F.length(F.element_at("parts", 1)).alias("first"), F.transform(F.slice("parts", 2, F.size("parts")), lambda p: F.split(p, "\x02")).alias("p"))
+    each = low.select("k", "t", F.explode(F.array(*pairs)).alias("e")).where("size(e.parts) > 1").select("k", "t", "e.*")
+    cut = each.select("k", "t", "feature", F.length(F.element_at("parts", 1)).alias("first"), F.transform(F.slice("parts", 2, F.size("parts")), lambda p: F.split(p, "\x02")).alias("p"))
     starts = F.aggregate(
         "p",
         F.struct(F.col("first").alias("at"), F.array().cast("array<int>").alias("starts")),
         lambda s, x: F.struct((s["at"] + F.length(x[0]) + F.length(x[1])).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")),
     )["starts"]
-    spans = cut.select("k", "feature", F.explode(F.arrays_zip(F.transform("p", lambda x: x[0]).alias("hits"), starts.alias("starts"))).alias("m"))
-    return spans.select(F.col("k").alias(key), "feature", F.col("m.hits").alias("alias"), F.col("m.starts").alias("start"), (F.col("m.starts") + F.length("m.hits")).alias("end"))
+    found = F.arrays_zip(F.transform("p", lambda x: x[0]).alias("hits"), starts.alias("starts"))
+    around: list[str] = []
+    if left or right:
+        around = ["m.before", "m.after"]
+        low_of = lambda m: F.greatest(F.lit(1), m["starts"] + 1 - left)
+        found = F.transform(
+            found,
+            lambda m: F.struct(
+                m["hits"].alias("hits"), m["starts"].alias("starts"), F.col("t").substr(low_of(m), m["starts"] + 1 - low_of(m)).alias("before"),
+                F.col("t").substr(m["starts"] + F.length(m["hits"]) + 1, F.lit(right)).alias("after"),
+            ),
+        )
+    spans = cut.select("k", "feature", F.explode(found).alias("m"))
+    return spans.select(F.col("k").alias(key), "feature", F.col("m.hits").alias("alias"), F.col("m.starts").alias("start"), (F.col("m.starts") + F.length("m.hits")).alias("end"), *around)
+
+
+def present_outside(df: DataFrame, key: str, text: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(key, feature) with a mention outside the review of systems that no cue within 40 characters denies."""
+    outside = df.select(F.col(key).alias("k"), split_section(F.col(text))[0].alias("outside"))
+    m = mentions(outside, "k", "outside", aliases, 40, 40).where(~negated_in(F.col("before"), F.col("after")))
+    return m.select(F.col("k").alias(key), "feature").distinct()
 
 
 def leftmost_longest(spans: Column) -> Column:

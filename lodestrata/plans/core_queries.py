@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 
 @query("""
-SELECT count(*) AS notes, count(DISTINCT PAT_ID) AS patients, count(*) FILTER (Clean_note_text IS NULL OR trim(Clean_note_text, ' ') = '') AS empty,
+SELECT count(*) AS notes, count(DISTINCT PAT_ID) AS patients, count(*) FILTER (Clean_note_text IS NULL OR regexp_replace(Clean_note_text, '[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g') = '') AS empty,
   count(*) FILTER (length(Clean_note_text) < 50) AS short, count(*) FILTER (length(Clean_note_text) >= 50) AS usable,
   CAST(floor(avg(length(Clean_note_text))) AS BIGINT) AS mean_length, CAST(max(length(Clean_note_text)) AS BIGINT) AS max_length, CAST(min(length(Clean_note_text)) AS BIGINT) AS min_length
 FROM rebuilt_notes_by_noteid""")
@@ -43,7 +43,7 @@ def note_profile(spark, sf_dir):
     """A1."""
     n = F.length("Clean_note_text")
     return table(spark, sf_dir, NOTES).agg(
-        F.count("*").alias("notes"), F.count_distinct("PAT_ID").alias("patients"), F.count_if(F.col("Clean_note_text").isNull() | (F.trim("Clean_note_text") == "")).alias("empty"),
+        F.count("*").alias("notes"), F.count_distinct("PAT_ID").alias("patients"), F.count_if(~F.coalesce(F.col("Clean_note_text").rlike(r"(?U)\S"), F.lit(False))).alias("empty"),
         F.count_if(n < 50).alias("short"), F.count_if(n >= 50).alias("usable"), F.floor(F.avg(n)).alias("mean_length"), F.max(n).cast("bigint").alias("max_length"),
         F.min(n).cast("bigint").alias("min_length"),
     )
@@ -81,7 +81,7 @@ def nulls_and_range(spark, sf_dir):
     )
 
 
-_LABEL = "CASE WHEN lower(trim({0})) IN ('yes','1','true','present','y') THEN 'Yes' WHEN lower(trim({0})) IN ('no','0','false','absent','n','not mentioned') THEN 'No' END"
+_LABEL = "CASE WHEN lower(trim({0})) IN ('yes','1','true','present','y') THEN 'Yes' WHEN lower(trim({0})) IN ('no','0','false','absent','n','not mentioned','not mentioned outside ros') THEN 'No' END"
 
 
 @query(f"""
@@ -235,17 +235,6 @@ def truncated(spark, sf_dir):
     return table(spark, sf_dir, NOTES).select("_run_row_index", N.truncate_middle(t, 1000).alias("both_ends"), N.truncate_right(t, 1000).alias("beginning"))
 
 
-_STOPS = ", ".join(f"'{v}'" for v in V.STOP_VALUES)
-
-
-@query(f"""
-SELECT claim_id, length(t) > 5 AND t NOT IN ({_STOPS}) AND NOT starts_with(t, 'no mention') AND NOT starts_with(t, 'not mentioned') AND NOT starts_with(t, 'no evidence') AS usable
-FROM (SELECT claim_id, lower(trim(coalesce(original_inference, ''), ' ')) AS t FROM agent2_claims_pair_level)""")
-def usable_inference(spark, sf_dir):
-    """N8, N9."""
-    return table(spark, sf_dir, CLAIMS).select("claim_id", N.usable_inference(F.col("original_inference"), V.STOP_VALUES).alias("usable"))
-
-
 @query("""
 SELECT pair_id, coalesce(exit_reason IN ('MAX_ROUNDS_LABEL_OSCILLATION','MAX_ROUNDS_FINAL_VERIFICATION_ERROR','REFINEMENT_ERROR'), false) OR coalesce(human_review_oscillation, false)
   OR coalesce(operational_failure, false) OR coalesce(lower(trim(for_human_review)) IN ('true','1','yes','y'), false) AS review FROM verge_final_pair_level""")
@@ -345,24 +334,6 @@ def _alt(terms) -> str:
     return "|".join(t.replace("/", "\\/").replace("'", "''") for t in sorted(terms, key=lambda t: (-len(t), t)))
 
 
-@query()
-def phrase_spans(spark, sf_dir):
-    """Every mention with its place."""
-    return T.mentions(spread(table(spark, sf_dir, NOTES)), "_run_row_index", "Clean_note_text", DEMO)
-
-
-@query()
-def affirmed_by_finding(spark, sf_dir):
-    """Notes that affirm each finding; a note counts for the best class of its mentions."""
-    m = T.mentions(spread(table(spark, sf_dir, NOTES)), "_run_row_index", "Clean_note_text", DEMO)
-    n = table(spark, sf_dir, NOTES).select("_run_row_index", F.lower("Clean_note_text").alias("t"))
-    c = m.join(n, "_run_row_index").withColumn("class", P.assertion_class(F.col("t"), F.col("start") + 1, F.col("end") + 1))
-    return c.groupBy("feature").agg(
-        F.count("*").alias("mentions"), F.count_distinct("_run_row_index").alias("notes"),
-        *(F.count_if(F.col("class") == k).alias(k.lower()) for k in ("AFFIRMED", "HISTORICAL", "HYPOTHETICAL", "PLANNED", "NEGATED")),
-    )
-
-
 @query(
     " UNION ALL ".join(
         f"SELECT '{f}' AS feature, count(*) FILTER (regexp_matches(t, '(?:^|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}])(?:{_alt(a)})(?:$|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}])')) AS notes FROM (SELECT lower(Clean_note_text) AS t FROM rebuilt_notes_by_noteid)"
@@ -376,23 +347,6 @@ def notes_by_finding(spark, sf_dir):
     return counts.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("notes")) for f in DEMO))).alias("s")).select("s.*")
 
 
-@query()
-def concept_top5(spark, sf_dir):
-    """M4: at most the first five aliases, in lexicon order, of each finding in a note."""
-    m = T.mentions(spread(table(spark, sf_dir, NOTES)), "_run_row_index", "Clean_note_text", DEMO).select("_run_row_index", "feature", "alias").distinct()
-    j = m.join(F.broadcast(T.lexicon(spark, DEMO)), ["feature", "alias"])
-    w = Window.partitionBy("_run_row_index", "feature").orderBy("ord")
-    return j.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("_run_row_index", "feature", "rank", "alias")
-
-
-@query()
-def mention_cover(spark, sf_dir):
-    """M6, M7: mentions of all findings together, overlaps removed in two ways."""
-    m = T.mentions(spread(table(spark, sf_dir, NOTES)), "_run_row_index", "Clean_note_text", DEMO)
-    g = m.groupBy("_run_row_index").agg(F.collect_list(F.struct("start", "end", "feature")).alias("s"))
-    return g.select("_run_row_index", F.size("s").alias("mentions"), F.size(T.leftmost_longest(F.col("s"))).alias("leftmost"), F.size(T.greedy_cover(F.col("s"))).alias("greedy"))
-
-
 _LEX = ", ".join(f"('{f}', '{a}')" for f, terms in V.ALIASES.items() for a in terms)
 
 
@@ -444,27 +398,6 @@ def template_scores(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", P.template_score(F.col("text")).alias("score"))
 
 
-def _fails(code: str, cond: str) -> str:
-    return f"CASE WHEN {cond} THEN '{code}' END"
-
-
-@query(
-    "SELECT claim_id, array_to_string(list_sort(list_filter([" + ", ".join([
-        _fails("CONDITIONAL_OR_HYPOTHETICAL_CONTEXT", f"regexp_matches(evidence_quote, '(?i)\\b(?:{V.CONDITIONAL})\\b')"),
-        _fails("STRAINING_NOT_BOWEL_CONTEXT", f"a = 'straining' AND NOT regexp_matches(evidence_quote, '(?i)\\b(?:{V.BOWEL})\\b')"),
-        _fails("TEST_OR_ORDER_ONLY", f"feature = 'Rectal bleeding' AND a = 'occult blood' AND regexp_matches(evidence_quote, '(?i)\\b(?:{V.TEST_ORDER})\\b') AND NOT regexp_matches(evidence_quote, '(?i)\\b(?:{V.POSITIVE_RESULT})\\b')"),
-        _fails("WEIGHT_LOSS_GOAL_OR_PURPOSE", f"feature = 'Weight loss' AND regexp_matches(evidence_quote, '(?i)\\b(?:{V.LOSS_PURPOSE})\\b')"),
-    ]) + "], lambda x: x IS NOT NULL)), ';') AS codes FROM (SELECT claim_id, feature, evidence_quote, CASE WHEN contains(lower(evidence_quote), 'straining') THEN 'straining' ELSE 'occult blood' END AS a "
-    "FROM agent2_claims_pair_level WHERE length(evidence_quote) > 5)"
-)
-def context_failures(spark, sf_dir):
-    """P10, the codes that need no scope."""
-    a = F.when(F.contains(F.lower("evidence_quote"), F.lit("straining")), "straining").otherwise("occult blood")
-    c = table(spark, sf_dir, CLAIMS).where(F.length("evidence_quote") > 5)
-    codes = F.filter(P.context_failures(F.col("feature"), a, F.col("evidence_quote")), lambda x: ~x.isin("ADVICE_OR_PREVENTION_CONTEXT", "EXPLICIT_NONE_CONTEXT"))
-    return c.select("claim_id", F.array_join(codes, ";").alias("codes"))
-
-
 @query(
     f"SELECT claim_id, regexp_matches(q, '(?i)\\b(?:{'|'.join(V.RELATIONS)})\\b') AS relation, regexp_matches(q, '(?i)\\b(?:{'|'.join(V.CANCERS)})\\b') AS cancer "
     f"FROM (SELECT claim_id, evidence_quote AS q FROM agent2_claims_pair_level WHERE feature = '{V.FAMILY}')"
@@ -483,16 +416,3 @@ def quote_negation(spark, sf_dir):
     return c.select("feature", kind.alias("class")).groupBy("feature", "class").agg(F.count("*").alias("claims"))
 
 
-@query()
-def semantic_failures(spark, sf_dir):
-    """P14 over positive claims."""
-    c = table(spark, sf_dir, CLAIMS).where(N.label(F.col("prediction")) == "Yes")
-    codes = P.semantic_failures(*(F.col(x) for x in ("feature", "assertion_status", "experiencer", "relation_found", "cancer_type_found")))
-    return c.select(F.explode_outer(codes).alias("code")).groupBy("code").agg(F.count("*").alias("claims"))
-
-
-@query()
-def section_split(spark, sf_dir):
-    """Characters inside and outside the review of systems."""
-    out, inside = P.split_section(F.col("Clean_note_text"), ("ROS", "Review of systems"))
-    return table(spark, sf_dir, NOTES).where("Clean_note_text is not null").select("_run_row_index", F.length(inside).alias("inside"), F.length(out).alias("outside"))

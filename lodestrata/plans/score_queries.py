@@ -573,23 +573,3 @@ def recovery_audit(spark, sf_dir):
     return audit.select("feature", "accepted", F.explode_outer("failures").alias("failure")).groupBy("feature", "accepted", "failure").agg(F.count("*").alias("mentions"))
 
 
-@query()
-def metadata_issues(spark, sf_dir):
-    """P15 but for the grounding, family and duration checks."""
-    from ..functions.structure import metadata_issues as issues
-
-    c = table(spark, sf_dir, CLAIMS)
-    codes = issues(N.label(F.col("prediction")), F.col("confidence"), F.col("note_section"), F.col("experiencer"), F.col("assertion_status"), F.col("feature"))
-    return c.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("claims"))
-
-
-@query("""
-SELECT _run_row_index, regexp_matches(t, '\\b(?:mother|father|sister|brother|parent|grandmother|grandfather|aunt|uncle|son|daughter|sibling|relative)\\b[^.;\\n]{0,100}\\b(?:colon|colorectal|rectal|bowel)\\s+(?:cancer|carcinoma|ca)\\b')
-  OR regexp_matches(t, '\\b(?:colon|colorectal|rectal|bowel)\\s+(?:cancer|carcinoma|ca)\\b[^.;\\n]{0,100}\\b(?:mother|father|sister|brother|parent|grandmother|grandfather|aunt|uncle|son|daughter|sibling|relative)\\b') AS family
-FROM (SELECT _run_row_index, lower(Clean_note_text) AS t  FROM rebuilt_notes_by_noteid WHERE Clean_note_text IS NOT NULL)""")
-def family_history(spark, sf_dir):
-    """M17."""
-    from ..functions.structure import family_history as rule
-
-    n = table(spark, sf_dir, NOTES).where("Clean_note_text is not null")
-    return n.select("_run_row_index", rule(F.col("Clean_note_text")).alias("family"))

@@ -11,7 +11,8 @@ from pyspark.sql import Window
 
 NOTES = T.StructType([T.StructField(c, T.StringType()) for c in ("PAT_ID", "PAT_ENC_CSN_ID", "NOTE_ID", "DATE_OF_SERVIC_DTTM", "SPEC_NOTE_TIME_DTTM", "CONTACT_DATE", "CONTACT_NUM", "Clean_note_text")])
 TIMES = ("DATE_OF_SERVIC_DTTM", "SPEC_NOTE_TIME_DTTM", "CONTACT_DATE")
-ORDER = ("PAT_ID", "CONTACT_DATE", "CONTACT_NUM", "DATE_OF_SERVIC_DTTM", "SPEC_NOTE_TIME_DTTM", "NOTE_ID")
+# The order of the notes.
+ORDER = ("PAT_ID", "PAT_ENC_CSN_ID", "DATE_OF_SERVIC_DTTM", "SPEC_NOTE_TIME_DTTM", "CONTACT_NUM", "NOTE_ID")
 
 
 def text_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -20,16 +21,20 @@ def text_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return (reader.schema(schema).csv(path) if schema else reader.option("inferSchema", False).csv(path)).na.fill("")
 
 
-def load_notes(df: DataFrame, text: str = "Clean_note_text", order: tuple[str, ...] = ORDER, keep_null: bool = False) -> DataFrame:
-    """Texts trimmed of nothing but blank rows dropped (null ones too, unless kept), times parsed or null, and a dense
-    _run_row_index in the order of the columns there are.
+def load_notes(df: DataFrame, text: str = "Clean_note_text", order: tuple[str, ...] = ORDER, keep_null: bool = False, ties: str | None = None) -> DataFrame:
+    """Rows whose text is blank dropped (null ones too, unless kept), times parsed or null, and a dense
+    _run_row_index in the order of the columns there are; ties keep the export's order, which is that of a column or, as
+    read from a file, that of the rows.
 
     The index is made of ranges: rows are ranked within range partitions and shifted by the sizes of those before, as one
     window over all rows would put them into one task."""
     times = [c for c in TIMES if c in df.columns and dict(df.dtypes)[c] == "string"]
     out = df.withColumns({c: F.try_to_timestamp(F.col(c)) for c in times})
-    out = out.where(F.col(text).isNull() | (F.trim(text) != "")) if keep_null else out.where(F.trim(text) != "")
-    return dense_index(out, [F.col(c).asc_nulls_last() for c in order if c in df.columns], "_run_row_index")
+    if ties is None:
+        out = out.withColumn("_export", F.monotonically_increasing_id())
+    said = F.col(text).rlike(r"(?U)\S")
+    out = out.where(F.col(text).isNull() | said) if keep_null else out.where(said)
+    return dense_index(out, [*(F.col(c).asc_nulls_last() for c in order if c in df.columns), F.col(ties or "_export").asc()], "_run_row_index").drop("_export")
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
