@@ -12,17 +12,6 @@ from ..functions import vocabulary as V
 MAX_ROUNDS = 5
 
 
-def claim_issues(label: Column, level: Column, dimensions: dict[str, Column], family: Column, relation: Column, cancer: Column, recovered: Column) -> Column:
-    """V1: why a claim goes to refinement: for Yes no sufficient grounding and every dimension not plainly true (two more
-    for the family finding); for No recovered evidence; any other label is invalid."""
-    yes, no = label == "Yes", label == "No"
-    checks = [F.when(yes & (level == bad), f"GROUNDING_{bad}") for bad in ("NOT_APPLICABLE", "NONE", "WEAK")]
-    checks += [F.when(yes & ~F.coalesce(c, F.lit(False)), f"{name.upper()}_FAILED") for name, c in dimensions.items()]
-    checks += [F.when(yes & family & ~F.coalesce(c, F.lit(False)), f"FAMILY_{name}_MISSING") for name, c in (("RELATION", relation), ("CANCER", cancer))]
-    checks += [F.when(no & F.coalesce(recovered, F.lit(False)), "RECOVERED_EVIDENCE"), F.when(label.isNull() | ~(yes | no), "INVALID_LABEL")]
-    return F.array_compact(F.array(*checks))
-
-
 def verdict(issues: Column) -> Column:
     return F.when(F.size(issues) > 0, "REFINE").otherwise("VERIFIED")
 
@@ -35,18 +24,18 @@ def change_type(before: Column, after: Column, evidence_changed: Column, metadat
     )
 
 
-def fold_rounds(initial: Column, label: Column, rounds: Column, bound: int = MAX_ROUNDS, reverify: bool = True, refine: bool = True) -> Column:
+def fold_rounds(initial: Column, label: Column, rounds: Column, bound: int = MAX_ROUNDS, reverify: bool = True, refine: bool = True, made: int = 0) -> Column:
     """The loop as one fold over the rounds that were, or would be, made.
 
     initial: the verdict on the first claim; rounds: array of struct(label, verdict, error) in order. The result is a
     struct(exit_reason, label, rounds, flips, labels, done). A round is counted when it is refined; an error keeps the
     claim; an unchanged label ends the loop without another look; a verified one ends it; after ``bound`` rounds a claim
-    still to be refined oscillates. reverify and refine switch those parts off. A given state can be carried on by
-    folding what follows, with a higher bound."""
+    still to be refined oscillates. reverify and refine switch those parts off. A stored state is carried on by
+    folding what follows its last label, with the rounds ``made`` so far and a higher bound."""
     start = F.struct(
         F.when(initial == "VERIFIED", "VERIFIED").when(initial.isNull() | (initial != "REFINE"), "INVALID_INITIAL_VERIFIER_STATE")
-        .otherwise(F.lit(None).cast("string") if refine else F.lit("REFINER_DISABLED")).alias("exit_reason"),
-        label.alias("label"), F.lit(0).alias("rounds"), F.lit(0).alias("flips"), F.array(label).alias("labels"),
+        .otherwise(F.lit(None).cast("string") if refine else F.lit("REFINER_ABLATED")).alias("exit_reason"),
+        label.alias("label"), F.lit(made).alias("rounds"), F.lit(0).alias("flips"), F.array(label).alias("labels"),
     )
 
     def step(s: Column, r: Column) -> Column:
@@ -56,7 +45,7 @@ def fold_rounds(initial: Column, label: Column, rounds: Column, bound: int = MAX
         exit_ = (
             F.when(failed, "REFINEMENT_ERROR")
             .when(~changed, "LABEL_STABLE")
-            .when(F.lit(not reverify), "REVERIFICATION_DISABLED")
+            .when(F.lit(not reverify), "NO_REVERIFICATION")
             .when((r["verdict"] == "VERIFIED") & (n >= bound), "MAX_ROUNDS_FINAL_VERIFIED")
             .when(r["verdict"] == "VERIFIED", "VERIFIED")
             .when(r["verdict"].isNull() | (r["verdict"] != "REFINE"), F.when(n >= bound, "MAX_ROUNDS_FINAL_VERIFICATION_ERROR").otherwise("INVALID_REVERIFICATION_STATE"))

@@ -184,3 +184,141 @@ def paired_keys_equal(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Q12: keys that only one of two systems has; empty if they can be compared."""
     x, y = a.select(*keys).distinct(), b.select(*keys).distinct()
     return x.exceptAll(y).unionByName(y.exceptAll(x))
+
+
+def run_scores(df: DataFrame, scope: str, gold: str, pred: str) -> DataFrame:
+    """One row for a run: pairs, coverage, macro means (scopes without a value left out), F1 weighted by support,
+    Hamming loss, micro F1, and the macro mean of F1 from rates."""
+    f = df.groupBy(scope).agg(*confusion(F.col(gold), F.col(pred)), F.count("*").alias("pairs"), F.count(pred).alias("n"))
+    m = metrics(*(F.col(x) for x in ("tp", "fp", "fn", "tn")))
+    d = f.select("*", m["precision"].alias("p"), m["recall"].alias("r"), m["f1"].alias("f"), f1_from_rates(m["precision"], m["recall"]).alias("f2"), (F.col("tp") + F.col("fn")).alias("support"))
+    total = F.sum(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    return d.agg(
+        F.sum("pairs").alias("pairs"), F.try_divide(F.sum("n"), F.sum("pairs")).alias("coverage"), F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"), F.avg("f").alias("macro_f1"),
+        F.try_divide(F.sum(F.col("f") * F.col("support")), F.sum("support")).alias("weighted_f1"), (1 - F.try_divide(F.sum(F.col("tp") + F.col("tn")), total)).alias("hamming_loss"),
+        F.try_divide(2 * F.sum("tp"), F.sum(2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("micro_f1"), F.avg("f2").alias("macro_f1_of_rates"),
+    )
+
+
+#: Sixteen-bit draws below these give a weight of 0, 1, ... 7: a Poisson variable of mean 1.
+THRESHOLDS = tuple(int(x) for x in np.floor(_POISSON[:8] * 65536))
+
+
+def digest_weights(units: list[str], reps: int) -> np.ndarray:
+    """(units, reps): how often a unit is drawn in each replicate: sixteen bits of the MD5 digest of unit/k, eight
+    replicates from each digest; independent of one another and the same in any engine."""
+    from hashlib import md5
+
+    raw = b"".join(md5(f"{u}/{k}".encode()).digest() for u in units for k in range(-(-reps // 8)))
+    draws = np.frombuffer(raw, ">u2").reshape(len(units), -1)[:, :reps]
+    return np.searchsorted(np.asarray(THRESHOLDS), draws, side="right")
+
+
+def bootstrap_digest(counts: DataFrame, unit: str, part: str, cols: list[str], reps: int, block: int = 500) -> DataFrame:
+    """Q6, Q7: (rep, part, cols): the counts of units weighted and summed in each replicate. A batch of units is one matrix
+    product a block of them, so a part has reps rows a batch in the shuffle, not reps rows a unit."""
+    kind = counts.schema[part].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            f = b.to_pandas()
+            for name, g in f.groupby("part", dropna=False):
+                total = np.zeros((reps, len(cols)), np.int64)
+                for at in range(0, len(g), block):
+                    some = g.iloc[at : at + block]
+                    total += digest_weights(some["unit"].tolist(), reps).T @ some[cols].to_numpy(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps), pa.int32()), pa.array([name] * reps, b.schema.field("part").type), *(pa.array(total[:, i]) for i in range(len(cols)))], names=["rep", part, *cols])
+
+    rows = counts.select(F.col(unit).cast("string").alias("unit"), F.col(part).alias("part"), *cols)
+    sums = rows.mapInArrow(run, f"rep int, {part} {kind}, " + ", ".join(f"{c} bigint" for c in cols))
+    return sums.groupBy("rep", part).agg(*(F.sum(c).alias(c) for c in cols))
+
+
+def all_deltas(df: DataFrame, gold: str, systems: tuple[str, ...]) -> DataFrame:
+    """Q12: (a, b, n, accuracy, f1): b less a over the rows both have, for every two systems, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(systems) for b in systems[i + 1 :]]
+    ok = lambda s: (F.col(s) == F.col(gold)).cast("int")
+    yes = lambda s: F.col(s) == "Yes"
+    out = []
+    for a, b in pairs:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        n = lambda c, w=both: F.count_if(w & c)
+        f1 = lambda s, w=both: F.try_divide(2 * F.count_if(w & yes(gold) & yes(s)).cast("double"), F.count_if(w & yes(gold)) + F.count_if(w & yes(s)))
+        mean = lambda s, w=both: F.avg(F.when(w, ok(s)))
+        out.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), n(F.lit(True)).alias("n"), (mean(b) - mean(a)).alias("accuracy"), (f1(b) - f1(a)).alias("f1")))
+    return df.agg(F.array(*out).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def judge_summary(df: DataFrame, scope: str, gold: str, label: str, in_note: str, faithfulness: str, support: str) -> DataFrame:
+    """Q17: a judge's scores by scope and all, and by whether a positive is right (TP), wrong (FP) or either; a pair
+    without gold counts as wrong."""
+    right = F.coalesce((F.col(gold) == "Yes") & (F.col(label) == "Yes"), F.lit(False))
+    x = df.withColumn("correctness", F.explode(F.array(F.lit("ALL"), F.when(right, "TP").otherwise("FP")))).withColumn("scope", F.explode(F.array(F.lit("ALL"), F.col(scope))))
+    rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
+    return x.groupBy("scope", "correctness").agg(
+        F.count("*").alias("n"), rate(F.col(in_note)).alias("evidence_in_note"), F.round(F.avg(faithfulness), 6).alias("faithfulness"), rate(F.col(faithfulness) >= 4).alias("faithfulness_4_5"),
+        F.round(F.avg(support), 6).alias("support"), rate(F.col(support) >= 4).alias("support_4_5"), rate(F.col(support) <= 2).alias("support_1_2"),
+    )
+
+
+def recovery_gates(df: DataFrame, gold: str, current: str, overlay: str, least_recall: float = 0.73, least_precision: float = 0.84) -> DataFrame:
+    """Q20: how many recoveries were accepted, right and wrong, and whether recall and precision reach their goals and F1
+    and MCC rise."""
+    counts = lambda s, x: [c.alias(n + x) for c, n in zip(confusion(F.col(gold), F.col(s)), ("tp", "fp", "fn", "tn"))]
+    new = (F.col(current) == "No") & (F.col(overlay) == "Yes")
+    d = df.agg(
+        *counts(current, "a"), *counts(overlay, "b"), F.count_if(new).alias("accepted"), F.count_if(new & (F.col(gold) == "Yes")).alias("tp_recovered"), F.count_if(new & (F.col(gold) == "No")).alias("fp_added")
+    )
+    a, b = (metrics(*(F.col(n + x) for n in ("tp", "fp", "fn", "tn"))) for x in "ab")
+    gates = {"recall_ge_073": b["recall"] >= least_recall, "precision_ge_084": b["precision"] >= least_precision, "f1_gt_current": b["f1"] > a["f1"], "mcc_gt_current": b["mcc"] > a["mcc"]}
+    return d.select("accepted", "tp_recovered", "fp_added", *(c.alias(k) for k, c in gates.items()))
+
+
+def design(df: DataFrame, scope: str, gold: str, changed: str, shared: str, order: list[Column], each: int = 50, errors: int = 100) -> DataFrame:
+    """Q21: flags of three sets: ``each`` rows of a scope at its observed prevalence, all changed rows, and ``errors`` of
+    the shared errors; exact numbers, the first in the given order."""
+    share = F.round(F.avg((F.col(gold) == "Yes").cast("int")).over(Window.partitionBy(scope)) * each)
+    rank = F.row_number().over(Window.partitionBy(scope, gold).orderBy(*order))
+    # only the first of each bucket can be among the first of all, so no task ranks all shared errors
+    bucket = Window.partitionBy("_b", shared).orderBy(*order)
+    d = df.withColumn("_pos", share).withColumn("_rn", rank).withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.lit(64))).withColumn("_rb", F.row_number().over(bucket))
+    first = F.row_number().over(Window.partitionBy(F.col(shared) & (F.col("_rb") <= errors)).orderBy(*order))
+    few = d.where(F.col(shared) & (F.col("_rb") <= errors)).withColumn("_rs", first)
+    rest = d.where(~(F.col(shared) & (F.col("_rb") <= errors))).withColumn("_rs", F.lit(errors + 1))
+    both = few.unionByName(rest)
+    quota = F.when(F.col(gold) == "Yes", F.col("_pos")).otherwise(each - F.col("_pos"))
+    flags = {"in_representative": F.col("_rn") <= quota, "in_changed": F.col(changed), "in_shared": F.col(shared) & (F.col("_rs") <= errors)}
+    return both.select(*df.columns, *(c.alias(k) for k, c in flags.items()))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function (Lentz)."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 400):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + num * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + num / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1.0) < 1e-14:
+            break
+    return h
+
+
+def student_two_sided(t: float, n: float) -> float:
+    """P(|T| >= |t|) of Student's distribution with n degrees of freedom."""
+    x, a, b = n / (n + t * t), n / 2.0, 0.5
+    if x >= 1.0:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1.0 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+@F.pandas_udf(DoubleType())
+def spearman_p(rho: pd.Series, n: pd.Series) -> pd.Series:
+    """Q14: the two-sided p of a rank correlation, by the t distribution; a row a group."""
+    return pd.Series([None if r is None or r != r or k < 3 else 0.0 if abs(r) >= 1 else student_two_sided(r * math.sqrt((k - 2) / (1 - r * r)), k - 2) for r, k in zip(rho, n)], dtype="float64")

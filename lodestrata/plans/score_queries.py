@@ -289,20 +289,6 @@ def wide_to_claims(spark, sf_dir):
 # --- loop (V1-V14) -----------------------------------------------------------------------------------------------
 
 
-@query(f"""
-SELECT claim_id, CASE WHEN l IS NULL OR (l = 'Yes' AND (NOT coalesce(has_evidence, false) OR lower(trim(coalesce(assertion_status,''), ' ')) NOT IN ('affirmed','historical') OR (feature = '{V.FAMILY}'
-  AND (coalesce(relation_found, 'not_applicable') = 'not_applicable' OR coalesce(cancer_type_found, 'not_applicable') = 'not_applicable')))) THEN 'REFINE' ELSE 'VERIFIED' END AS verdict
-FROM (SELECT *, {_LABEL.format('prediction')} AS l FROM agent2_claims_pair_level)""")
-def verdicts(spark, sf_dir):
-    """V1 over the claims' own metadata."""
-    none = lambda c: F.coalesce(F.col(c), F.lit("not_applicable")) != "not_applicable"
-    issues = loop.claim_issues(
-        N.label(F.col("prediction")), F.lit("STRONG"), {"evidence": F.col("has_evidence"), "assertion": F.lower(F.trim(F.coalesce("assertion_status", F.lit("")))).isin("affirmed", "historical")},
-        F.col("feature") == V.FAMILY, none("relation_found"), none("cancer_type_found"), F.lit(False),
-    )
-    return table(spark, sf_dir, CLAIMS).select("claim_id", loop.verdict(issues).alias("verdict"))
-
-
 def _rounds(spark, sf_dir, **switches) -> DataFrame:
     """The stored labels as rounds, the last round with the stored final verdict, those before it still to be refined."""
     p = table(spark, sf_dir, PAIRS)
@@ -332,14 +318,6 @@ def loop_fold(spark, sf_dir):
     return s.groupBy(F.col("s.exit_reason").alias("exit_reason"), F.col("s.rounds").alias("rounds")).agg(F.count("*").alias("pairs"))
 
 
-@query()
-def loop_ablations(spark, sf_dir):
-    """V8, and V12 without the refiner or the re-verification: the same rounds under other switches, in one plan."""
-    runs = {"full": {}, "no_reverification": {"reverify": False}, "no_refiner": {"refine": False}, "bound_2": {"bound": 2}, "bound_7": {"bound": 7}}
-    parts = [_rounds(spark, sf_dir, **kw).select(F.lit(k).alias("run"), F.col("s.exit_reason").alias("exit_reason"), F.col("s.label").alias("label")) for k, kw in runs.items()]
-    return reduce(DataFrame.unionByName, parts).groupBy("run", "exit_reason", "label").agg(F.count("*").alias("pairs"))
-
-
 @query("""
 SELECT pair_id, CAST(len(l) AS INTEGER) AS steps, CAST(len(list_filter(range(1, len(l)), lambda i: l[i] <> l[i + 1])) AS INTEGER) AS flips, l[len(l)] AS last
 FROM (SELECT pair_id, from_json(label_history, '["VARCHAR"]') AS l FROM verge_final_pair_level WHERE label_history IS NOT NULL)""")
@@ -404,29 +382,6 @@ def note_level_scores(spark, sf_dir):
     )
 
 
-REPS = 50
-
-
-@query(f"""
-WITH {_GOLD}, u AS (SELECT TRY_CAST(nid AS BIGINT) AS unit, feature, {_COUNTS} FROM scored WHERE TRY_CAST(nid AS BIGINT) IS NOT NULL GROUP BY 1, 2), reps AS (SELECT unnest(range(0, {REPS})) AS rep),
-d AS (SELECT rep, unit, feature, tp, fp, fn, tn, ((unit * 7919 + rep * 104729 + (unit % 97) * rep * 31) % 1009) / 1009.0::DOUBLE AS x FROM u, reps),
-w AS (SELECT *, CASE WHEN x < 0.3679 THEN 0 WHEN x < 0.7358 THEN 1 WHEN x < 0.9197 THEN 2 WHEN x < 0.9810 THEN 3 ELSE 4 END AS w FROM d),
-s AS (SELECT rep, feature, sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * fn) AS fn FROM w GROUP BY rep, feature), f AS (SELECT feature, CAST(2 * tp AS DOUBLE) / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0) AS f1 FROM s)
-SELECT feature, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high, count(f1) AS reps FROM f GROUP BY feature""")
-def bootstrap_ci(spark, sf_dir):
-    """Q6-Q8: paired replicates over notes, counts added up before they are weighted."""
-    s = scored_pairs(spark, sf_dir).withColumn("unit", F.col("nid").try_cast("bigint")).where("unit is not null")
-    u = s.groupBy("unit", "feature").agg(*stats.confusion(F.col("gold"), F.col("after")))
-    b = stats.bootstrap_counts(u, "unit", ["feature"], REPS)
-    f = b.select("feature", F.try_divide(2.0 * F.col("tp"), (2.0 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"))
-    g = f.groupBy("feature").agg(stats.percentile_ci(F.col("f1")).alias("ci"), F.count("f1").alias("reps"))
-    return g.select("feature", F.round(F.col("ci")[0], 6).alias("low"), F.round(F.col("ci")[1], 6).alias("high"), "reps")
-
-
-#: The reference's replicates: by note (Q6), by patient (Q7).
-NOTE_REPS, PATIENT_REPS = 5000, 2000
-
-
 @query()
 def bootstrap_full(spark, sf_dir):
     """Q6-Q9 at the reference's B, of all notes: F1 of the final labels, its gain on the first ones, and the gain's p.
