@@ -243,3 +243,10 @@ def source_tier(text: Column, tiers: tuple[tuple[str, str], ...], otherwise: str
     for name, pattern in rest:
         out = out.when(text.rlike(pattern), name)
     return out.otherwise(otherwise)
+
+
+def study_tier(text: Column) -> Column:
+    """M20 by the fixed lists: struct(tier, marker), the marker being the words found."""
+    low = F.lower(text)
+    found = [F.when(low.rlike(p), F.struct(F.lit(tier).alias("tier"), F.regexp_extract(low, p, 0).alias("marker"))) for tier, patterns in V.TIERS for p in patterns]
+    return F.coalesce(*found, F.struct(F.lit("UNCLASSIFIED").alias("tier"), F.lit(None).cast("string").alias("marker")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 from .normalize import no_quotation, strip
-from .policy import any_of, assertion_class, has_cancer, has_relation, left_scope, split_section
+from .policy import any_of, assertion_in, has_cancer, has_relation, split_section
 
 # Headers, cues and corroborating words of the structural rules.
 HEADERS = (
@@ -137,11 +137,47 @@ def structural_failures(df: DataFrame, feature: str, alias: str, quote: str, not
     return d.select(*df.columns, out)
 
 
-def eligible(feature: Column, text: Column, start: Column, end: Column) -> Column:
-    """Affirmed or historical, and for the family finding a relative and a cancer within 140 characters."""
-    kind = assertion_class(text, start, end).isin("AFFIRMED", "HISTORICAL")
-    near = context_quote(text, start, end, 140)
-    return kind & ((feature != V.FAMILY) | (has_relation(near) & has_cancer(near)))
+def quote_in(before: Column, hit: Column, after: Column, reach: int = 100) -> Column:
+    """M11 for a mention with what stands around it."""
+    left = F.regexp_replace(F.right(before, F.lit(reach)), r"(?s)^.*[\n.;]", "")
+    right = F.regexp_extract(F.substring(after, 1, reach), r"(?s)^[^\n.;]*[\n.;]?", 0)
+    return F.trim(F.concat(left, hit, right))
+
+
+def eligible_in(feature: Column, before: Column, hit: Column, after: Column) -> Column:
+    """Affirmed or historical, and for the family finding a relative and a cancer within 140 characters, for a
+    mention with 140 characters on either side."""
+    near = quote_in(before, hit, after, 140)
+    return assertion_in(before, hit, F.substring(after, 1, 100)).isin("AFFIRMED", "HISTORICAL") & ((feature != V.FAMILY) | (has_relation(near) & has_cancer(near)))
+
+
+def family_composites(df: DataFrame, key: str, text: str, keep: int = 3) -> DataFrame:
+    """(key, ord, start, quote): places where a cancer is named, without an alias, whose 140 characters on either side
+    name a relative too, affirmed or historical; the first ``keep`` of different wording, cancer by cancer."""
+    from pyspark.sql import Window
+
+    from .normalize import fold_text
+
+    low = df.select(F.col(key).alias("k"), F.translate(F.col(text), "\x01\x02", "  ").alias("t")).where("t is not null")
+    marked = [F.struct(F.lit(i).alias("i"), F.split(F.regexp_replace("t", any_of([p]), "\x01$0\x02"), "\x01").alias("parts")) for i, p in enumerate(V.CANCERS)]
+    each = low.select("k", "t", F.explode(F.array(*marked)).alias("e")).where("size(e.parts) > 1").select("k", "t", "e.*")
+    cut = F.transform(F.slice("parts", 2, F.size("parts")), lambda x: F.split(x, "\x02"))
+    starts = F.aggregate(
+        cut,
+        F.struct(F.length(F.element_at("parts", 1)).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda s, x: F.struct((s["at"] + F.length(x[0]) + F.length(x[1])).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")),
+    )["starts"]
+    place = lambda s: F.greatest(F.lit(1), s + 1 - 140)
+    found = F.transform(
+        F.arrays_zip(F.transform(cut, lambda x: x[0]).alias("hit"), starts.alias("start")),
+        lambda m: F.struct(m["start"].alias("start"), m["hit"].alias("hit"), F.col("t").substr(place(m["start"]), m["start"] + 1 - place(m["start"])).alias("before"), F.col("t").substr(m["start"] + F.length(m["hit"]) + 1, F.lit(140)).alias("after")),
+    )
+    m = each.select("k", "i", F.explode(found).alias("m")).select("k", "i", "m.*").where(eligible_in(F.lit(V.FAMILY), F.col("before"), F.col("hit"), F.col("after")))
+    m = m.select("k", "i", "start", quote_in(F.col("before"), F.col("hit"), F.col("after"), 140).alias("quote"))
+    one = Window.partitionBy("k", fold_text(F.col("quote"))).orderBy("i", "start")
+    w = Window.partitionBy("k").orderBy("i", "start")
+    c = m.withColumn("_rn", F.row_number().over(one)).where("_rn = 1").withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= keep)
+    return c.select(F.col("k").alias(key), "ord", "start", "quote")
 
 
 def family_history(text: Column) -> Column:

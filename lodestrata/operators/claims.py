@@ -92,7 +92,7 @@ def refine(df: DataFrame, note: str = "note", rescue: bool = True) -> DataFrame:
     family = c("feature") == V.FAMILY
     d = d.withColumn("_in", grounded_in(c("_e"), c(note)))
     lost = (
-        F.when(c("new_prediction") != "Yes", F.lit(None)).when(~c("_in"), "UNGROUNDED").when(family & ~(P.has_any(c("_rel"), V.RELATION_TERMS) & P.has_any(c("_can"), V.CRC_TERMS)), "FAMILY_INCOMPLETE")
+        F.when(~F.coalesce(c("new_prediction") == "Yes", F.lit(False)), F.lit(None)).when(~c("_in"), "UNGROUNDED").when(family & ~(P.has_any(c("_rel"), V.RELATION_TERMS) & P.has_any(c("_can"), V.CRC_TERMS)), "FAMILY_INCOMPLETE")
         .when(F.size(P.semantic_failures(c("feature"), c("_e"), c("_asr"), c("_exp"), c("_rel"), c("_can"))) > 0, "SEMANTIC")
     )
     d = d.withColumn("_lost", lost).withColumn("_no", (c("new_prediction") == "No") | c("_lost").isNotNull())
@@ -115,7 +115,7 @@ def refine(df: DataFrame, note: str = "note", rescue: bool = True) -> DataFrame:
     for k in FIELDS:
         metadata = metadata | (c(f"corrected_{k}") != old[k])
     kind = change_type(c("prediction"), c("corrected_prediction"), c("corrected_evidence") != old["evidence"], metadata, c("_error").isNotNull())
-    d = d.withColumns({"change_type": F.when(c("verdict") == "VERIFIED", "UNCHANGED").otherwise(kind), "refined": c("_open"), "operational_error": c("_error").isNotNull(), "reason": F.coalesce("_error", "_lost")})
+    d = d.withColumns({"change_type": F.when(c("verdict") == "VERIFIED", "UNCHANGED").otherwise(kind), "refined": c("_open"), "operational_error": c("_error").isNotNull(), "reason": F.coalesce(c("_error"), F.when(c("_open"), c("_lost")))})
     return d.drop("_error", "_open", "_e", "_sec", "_exp", "_asr", "_rel", "_can", "_in", "_lost", "_no")
 
 

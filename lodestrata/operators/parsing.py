@@ -109,3 +109,14 @@ def chunk_text(raw: Column, keys: tuple[str, ...] = ("text", "chunk", "sentence"
     of_object = F.coalesce(*(F.get_json_object(raw, f"$.{k}") for k in keys))
     of_string = F.when(F.trim(raw).startswith('"'), F.from_json(F.concat(F.lit('{"t":'), raw, F.lit("}")), "t string")["t"])
     return reduce(F.coalesce, [of_object, of_string])
+
+
+def load_chunks(df: DataFrame, raw: str = "raw_chunk", least: int = 100) -> DataFrame:
+    """Chunks with their text; a chunk without one is an error, as places are provenance, and few chunks a warning."""
+    import warnings
+
+    text = chunk_text(F.col(raw))
+    empty = F.coalesce(F.trim(text), F.lit("")) == ""
+    if (n := df.count()) < least:
+        warnings.warn(f"only {n} chunks", stacklevel=2)
+    return df.withColumn("text", F.when(empty, F.raise_error(F.lit("an empty chunk"))).otherwise(text))

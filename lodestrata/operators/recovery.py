@@ -8,19 +8,26 @@ from pyspark.sql import Window
 
 from ..functions import policy as P
 from ..functions import structure as S
+from ..functions.normalize import fold_text
 from . import text as T
 
 
+def candidates(notes: DataFrame, key: str, text: str, aliases: dict[str, tuple[str, ...]], keep: int = 3) -> DataFrame:
+    """(key, feature, alias, start, end, quote, ord): the first ``keep`` eligible mentions of a finding in a note, one
+    for each wording of their surroundings."""
+    m = T.mentions(notes, key, text, aliases, 140, 140)
+    m = m.where(S.eligible_in(F.col("feature"), F.col("before"), F.col("alias"), F.col("after"))).withColumn("quote", S.quote_in(F.col("before"), F.col("alias"), F.col("after"))).drop("before", "after")
+    one = Window.partitionBy(key, "feature", fold_text(F.col("quote"))).orderBy("start")
+    order = Window.partitionBy(key, "feature").orderBy("start")
+    return m.withColumn("_rn", F.row_number().over(one)).where("_rn = 1").drop("_rn").withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= keep)
+
+
 def recovery_scan(notes: DataFrame, key: str, text: str, aliases: dict[str, tuple[str, ...]], keep: int = 3) -> tuple[DataFrame, DataFrame]:
     """(accepted, audit). The first ``keep`` eligible mentions of a finding in a note, one for each wording of
     their surroundings, are tried in order; the first without a failure is accepted, the audit goes up to it."""
     low = notes.select(F.col(key), F.lower(text).alias("_t")).where("_t is not null")
-    m = T.mentions(low, key, "_t", aliases).join(low, key)
-    start, end = F.col("start") + 1, F.col("end") + 1
-    m = m.where(S.eligible(F.col("feature"), F.col("_t"), start, end)).withColumn("quote", S.context_quote(F.col("_t"), start, end))
-    one = Window.partitionBy(key, "feature", "quote").orderBy("start")
-    order = Window.partitionBy(key, "feature").orderBy("start")
-    c = m.withColumn("_rn", F.row_number().over(one)).where("_rn = 1").withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= keep)
+    c = candidates(low, key, "_t", aliases, keep)
+    c = c.join(low, key)  # the text only for the few mentions that are tried
     c = S.structural_failures(c, "feature", "alias", "quote", "_t", "_structural").withColumn("_context", P.context_failures(F.col("feature"), F.col("alias"), F.col("quote")))
     c = c.withColumn("failures", F.array_sort(F.array_distinct(F.concat("_context", "_structural")))).withColumn("accepted", F.size("failures") == 0)
     first = F.min(F.when(F.col("accepted"), F.col("ord"))).over(Window.partitionBy(key, "feature"))

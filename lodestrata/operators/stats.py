@@ -55,8 +55,10 @@ def holm(df: DataFrame, p: str, family: list[str], key: list[str]) -> DataFrame:
 def mcnemar(b: Column, c: Column) -> Column:
     """Q11: exact two-sided p of b against c discordant pairs, null without any."""
     n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    lf = lambda x: F.aggregate(F.when(x > 0, F.sequence(F.lit(1), x)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-    tail = F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + F.exp(lf(n) - lf(i) - lf(n - i) - n * math.log(2.0)))
+    # the logarithm of each term follows from the one before: log C(n, i + 1) = log C(n, i) + log((n - i) / (i + 1))
+    first = F.struct((-n * math.log(2.0)).alias("term"), F.lit(0.0).alias("sum"))
+    step = lambda s, i: F.struct((s["term"] + F.log((n - i).cast("double") / (i + 1))).alias("term"), (s["sum"] + F.exp(s["term"])).alias("sum"))
+    tail = F.aggregate(F.sequence(F.lit(0), k), first, step)["sum"]
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
 
 
@@ -116,19 +118,6 @@ def bootstrap_weights(spark: SparkSession, units: list, reps: int, seed: int = 4
     return spark.createDataFrame(frame)
 
 
-def poisson_weight(unit: Column, rep: Column, modulus: int = 1009) -> Column:
-    """Q6 for any number of units: how often a unit is drawn in a replicate, from a hash-free arithmetic draw; 0 to 4 with
-    about the chances of a Poisson variable of mean 1, the same for all systems, so that their replicates are paired."""
-    u = F.pmod(unit * 7919 + rep * 104729 + F.pmod(unit, F.lit(97)) * rep * 31, F.lit(modulus)) / modulus
-    return F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).when(u < 0.9810, 3).otherwise(4)
-
-
-def bootstrap_counts(counts: DataFrame, unit: str, part: list[str], reps: int) -> DataFrame:
-    """Q6: counts of units (already added up for each) weighted in every replicate: (rep, part, tp, fp, fn, tn)."""
-    drawn = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", poisson_weight(F.col(unit), F.col("rep")))
-    return drawn.where("w > 0").groupBy("rep", *part).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn")))
-
-
 #: Chances that a Poisson variable of mean 1 is at most 0, 1, ... 12.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)])
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.normalize import fold_text, tokens
-from ..functions.policy import bounded, negated_in, split_section
+from ..functions.policy import negated_in, split_section
 
 
 def lexicon(spark: SparkSession, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -217,30 +217,62 @@ def contains_tokens(note: Column, quote: Column, least: int = 4) -> Column:
     return F.coalesce((F.size(q) >= least) & F.contains(wrap(tokens(note)), wrap(q)), F.lit(False))
 
 
-def window_match(note: str, quote: str, least: float = 0.9) -> tuple[int, float, int] | None:
-    """(level, score, place) of a quotation: exact 1, folded 2, token run 3, best bag-of-tokens window 4."""
-    if not note or not quote:
-        return None
-    if quote in note:
-        return 1, 1.0, note.index(quote)
-    folded, q = " ".join(note.lower().split()), " ".join(quote.lower().split())
-    if q in folded:
-        return 2, 1.0, folded.index(q)
-    ref, hyp = _TOKEN.findall(note.lower()), _TOKEN.findall(quote.lower())
-    for i in range(len(ref) - len(hyp) + 1):
-        if ref[i : i + len(hyp)] == hyp:
-            return 3, 1.0, i
-    bag, best = Counter(hyp), (0.0, -1)
-    for n in range(max(1, int(len(hyp) * 0.8)), int(len(hyp) * 1.2) + 1):
-        if n > len(ref):
-            break
-        seen = Counter(ref[:n])
-        for i in range(len(ref) - n + 1):
-            if i:
-                seen[ref[i - 1]] -= 1
-                seen[ref[i + n - 1]] += 1
-            both = sum(min(c, seen[t]) for t, c in bag.items())
-            score = both / (n + len(hyp) - both)
-            if score > best[0]:
-                best = (score, i)
-    return (4, best[0], best[1]) if best[0] >= least else None
+def _windows(ref: np.ndarray, hyp: np.ndarray) -> tuple[float, int]:
+    """The best overlap, as a share of the union of both bags, of a run of 0.8 to 1.2 times the quotation's tokens, and
+    where it begins; sliding counts of each of the quotation's tokens at once."""
+    kinds, times = np.unique(hyp, return_counts=True)
+    before = np.zeros((len(kinds), len(ref) + 1), np.int32)
+    np.cumsum(ref[None, :] == kinds[:, None], axis=1, out=before[:, 1:])
+    best, at = 0.0, -1
+    for n in range(max(1, int(len(hyp) * 0.8)), min(len(ref), int(len(hyp) * 1.2)) + 1):
+        both = np.minimum(before[:, n:] - before[:, :-n], times[:, None]).sum(axis=0)
+        score = both / (n + len(hyp) - both)
+        k = int(score.argmax())
+        if score[k] > best:
+            best, at = float(score[k]), k
+    return best, at
+
+
+def window_match(note: str | None, quote: str | None, least: float = 0.9, run: int = 4) -> tuple[int | None, float, int]:
+    """(level, score, place) of a quotation of three characters or more: exact 1, folded 2, run of four tokens or more
+    3, best window of three tokens or more 4; no level, with the best score, where there is none."""
+    q = (quote or "").strip()
+    if not note or len(q) < 3:
+        return None, 0.0, -1
+    if q in note:
+        return 1, 1.0, note.index(q)
+    folded, small = " ".join(note.lower().translate(_FOLD).split()), " ".join(q.lower().translate(_FOLD).split())
+    if small in folded:
+        return 2, 1.0, folded.index(small)
+    ids: dict[str, int] = {}
+    ref = np.array([ids.setdefault(t, len(ids)) for t in _TOKEN.findall(note.lower())])
+    hyp = np.array([ids.setdefault(t, len(ids)) for t in _TOKEN.findall(q.lower())])
+    if run <= len(hyp) <= len(ref):
+        same = np.ones(len(ref) - len(hyp) + 1, bool)
+        for i, t in enumerate(hyp):
+            same &= ref[i : len(ref) - len(hyp) + 1 + i] == t
+        if same.any():
+            return 3, 1.0, int(same.argmax())
+    best, at = _windows(ref, hyp) if len(hyp) >= 3 else (0.0, -1)
+    return (4, best, at) if best >= least else (None, best, -1)
+
+
+def window_grounding(df: DataFrame, key: str, note: str, quote: str, least: float = 0.9) -> DataFrame:
+    """(key, level, score, place) of each quotation; Arrow batches, a kernel as no expression slides a window of counts."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [window_match(n, q, least) for n, q in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            level_, score, place = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(level_, pa.int32()), pa.array(score, pa.float64()), pa.array(place, pa.int32())], names=["k", "level", "score", "place"])
+
+    out = df.select(F.col(key).alias("k"), F.col(note).alias("n"), F.col(quote).alias("q")).mapInArrow(run, f"k {kind}, level int, score double, place int")
+    return out.withColumnRenamed("k", key)
+
+
+def retries(df: DataFrame, note: str, label: str, bleu: str, order: Column, most: int = 4) -> DataFrame:
+    """The positives of a note whose grounding is not correct, at most ``most`` in the findings' order."""
+    poor = df.where((F.col(label) == "Yes") & (critique(F.coalesce(F.col(bleu), F.lit(0.0))) != "Correct"))
+    w = Window.partitionBy(note).orderBy(order)
+    return poor.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= most)

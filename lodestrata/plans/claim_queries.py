@@ -154,7 +154,7 @@ def refined(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""
-WITH {_REFINE} SELECT claim_id, cp AS corrected_prediction, md5(ce) AS corrected_evidence, cs AS corrected_note_section, cx AS corrected_experiencer, ca AS corrected_assertion_status, rescued, op AS refined, err IS NOT NULL AS operational_error, coalesce(err, lost) AS reason,
+WITH {_REFINE} SELECT claim_id, cp AS corrected_prediction, md5(ce) AS corrected_evidence, cs AS corrected_note_section, cx AS corrected_experiencer, ca AS corrected_assertion_status, rescued, op AS refined, err IS NOT NULL AS operational_error, coalesce(err, CASE WHEN op THEN lost END) AS reason,
   CASE WHEN coalesce(v = 'VERIFIED', false) THEN 'UNCHANGED' WHEN err IS NOT NULL THEN 'REFINEMENT_ERROR' WHEN p = 'Yes' AND cp = 'No' THEN 'REJECTED' WHEN p = 'No' AND cp = 'Yes' THEN 'RECOVERED' WHEN p IS DISTINCT FROM cp THEN 'LABEL_CHANGED'
     WHEN ce <> oe THEN 'EVIDENCE_CORRECTED' WHEN cs <> os OR cx <> ox OR ca <> oa OR crl <> orl OR cc <> oc THEN 'METADATA_CORRECTED' ELSE 'CONFIRMED' END AS change_type FROM r""")
 def refined_claims(spark, sf_dir):

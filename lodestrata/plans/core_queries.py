@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from ..functions import normalize as N
 from ..functions import policy as P
 from ..functions import vocabulary as V
-from ..operators import contracts, loop, stats
+from ..operators import contracts, loop
 from ..operators import text as T
 from ..session import spread
 from ..sources.tables import table
@@ -408,11 +408,3 @@ def family_rules(spark, sf_dir):
     return c.select("claim_id", P.has_relation(F.col("evidence_quote")).alias("relation"), P.has_cancer(F.col("evidence_quote")).alias("cancer"))
 
 
-@query()
-def quote_negation(spark, sf_dir):
-    """Assertion of the quotations, by finding."""
-    c = table(spark, sf_dir, CLAIMS)
-    kind = P.quote_negation(F.col("evidence_quote"), F.col("feature"), V.ALIASES)
-    return c.select("feature", kind.alias("class")).groupBy("feature", "class").agg(F.count("*").alias("claims"))
-
-

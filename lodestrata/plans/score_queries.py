@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import normalize as N
 from ..functions import vocabulary as V
-from ..operators import contracts, loop, parsing, retrieval, stats
+from ..operators import loop, parsing, retrieval, stats
 from ..operators import text as T
 from ..session import spread
 from ..sources.tables import table
@@ -184,20 +182,6 @@ def bm25_search(spark, sf_dir):
     return retrieval.topk(s.withColumn("score", F.round("score", 9)), "q", "score", "doc_id", 20).select("q", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-@query(f"""
-WITH {_BM}, r1 AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b),
-r2 AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS rank FROM b), u AS (SELECT q, doc_id, score, 0.5 / (60 + rank) AS w FROM r1 WHERE rank <= 32 UNION ALL SELECT q, doc_id, score, 0.5 / (60 + rank) AS w FROM r2 WHERE rank <= 32),
-f AS (SELECT doc_id, sum(CAST(w AS DOUBLE)) AS rrf, max(score) AS best FROM u GROUP BY doc_id)
-SELECT doc_id, round(rrf, 9) AS rrf, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, rrf, row_number() OVER (ORDER BY round(rrf, 12) DESC, round(best, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 20""")
-def hybrid_rrf(spark, sf_dir):
-    """Two weighted lists fused over all queries."""
-    s = bm25_scores(spark, sf_dir).withColumn("score", F.round("score", 9))
-    a = retrieval.topk(s, "q", "score", "doc_id", 32)
-    b = s.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("doc_id"))).where("rank <= 32")
-    f = retrieval.rrf(a.unionByName(b).withColumn("all", F.lit(1)), "all", "doc_id", weight=F.lit(0.5), keep=20)
-    return f.select("doc_id", F.round("rrf", 9).alias("rrf"), F.col("rank").cast("int").alias("rank"))
-
-
 @query("""
 SELECT doc_id, source FROM (SELECT doc_id, source, contains(lower(text), 'melena') AS rel, max(CAST(contains(lower(text), 'melena') AS INTEGER)) OVER (PARTITION BY source) AS any_ FROM documents WHERE text IS NOT NULL) WHERE rel OR any_ = 0""")
 def relevance_fallback(spark, sf_dir):
@@ -220,23 +204,6 @@ def chunk_texts(spark, sf_dir):
     return table(spark, sf_dir, "pubmed_chunks_sentences").select("chunk_idx", parsing.chunk_text(F.col("raw_chunk")).alias("text"))
 
 
-_BODY = "SELECT chunk_idx, 'B' || (chunk_idx % 7) AS body_id, greatest(1, least(4, 4 - chunk_idx % 3 + CASE WHEN chunk_idx % 5 = 0 THEN 1 ELSE 0 END)) AS score FROM pubmed_chunks_sentences WHERE chunk_idx % 4 <> 3 UNION ALL SELECT chunk_idx, 'B' || (chunk_idx % 5) AS body_id, 2 AS score FROM pubmed_chunks_sentences WHERE chunk_idx % 6 = 0"
-
-
-@query(f"""
-WITH b AS ({_BODY}), m AS (SELECT chunk_idx, min(score) AS certainty FROM b GROUP BY chunk_idx),
-p AS (SELECT chunk_idx, 'q' || (chunk_idx % 9) AS q, 1.0::DOUBLE / (60 + chunk_idx % 17) AS rrf, (chunk_idx % 13) / 13.0::DOUBLE AS best FROM pubmed_chunks_sentences)
-SELECT q, chunk_idx, CAST(certainty AS INTEGER) AS certainty, CAST(pick AS INTEGER) AS pick FROM (
-  SELECT q, chunk_idx, certainty, row_number() OVER (PARTITION BY q ORDER BY (certainty IS NOT NULL) DESC, certainty DESC NULLS LAST, round(rrf, 12) DESC, best DESC, chunk_idx) AS pick FROM p LEFT JOIN m USING (chunk_idx)) WHERE pick <= 2""")
-def evidence_select(spark, sf_dir):
-    """Least certainty of a chunk's bodies of evidence, then the two best passages a query."""
-    c, i = table(spark, sf_dir, "pubmed_chunks_sentences").select("chunk_idx"), F.col("chunk_idx")
-    score = retrieval.certainty_score(F.lit(4), (i % 3).cast("int"), F.when(i % 5 == 0, 1).otherwise(0))
-    one = c.where("chunk_idx % 4 <> 3").select("chunk_idx", F.concat(F.lit("B"), i % 7).alias("body_id"), score.alias("score"))
-    two = c.where("chunk_idx % 6 = 0").select("chunk_idx", F.concat(F.lit("B"), i % 5).alias("body_id"), F.lit(2).alias("score"))
-    p = c.select("chunk_idx", F.concat(F.lit("q"), i % 9).alias("q"), (1.0 / (60 + i % 17)).alias("rrf"), ((i % 13) / 13.0).alias("best"))
-    picked = retrieval.select_evidence(retrieval.annotate(p, one.unionByName(two)), "q")
-    return picked.where("kept").select("q", "chunk_idx", F.col("certainty").cast("int").alias("certainty"), F.col("pick").cast("int").alias("pick"))
 
 
 # --- parsing and claims (X1-X10) ---------------------------------------------------------------------------------
@@ -382,6 +349,9 @@ def note_level_scores(spark, sf_dir):
     )
 
 
+NOTE_REPS, PATIENT_REPS = 5000, 2000
+
+
 @query()
 def bootstrap_full(spark, sf_dir):
     """Q6-Q9 at the reference's B, of all notes: F1 of the final labels, its gain on the first ones, and the gain's p.
@@ -430,24 +400,6 @@ def auroc(spark, sf_dir):
     return stats.auroc(s, "x", "pos", ["feature"]).select("feature", F.round("auroc", 6).alias("auroc"), "n_pos", "n_neg")
 
 
-@query("""
-WITH k AS (SELECT feature, final_bleu AS x, final_rouge_l AS y FROM verge_final_pair_level WHERE final_bleu IS NOT NULL AND final_rouge_l IS NOT NULL AND NOT isnan(final_bleu) AND NOT isnan(final_rouge_l)),
-r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM k)
-SELECT feature, count(*) AS n, round(corr(CAST(rx AS DOUBLE), CAST(ry AS DOUBLE)), 6) AS rho FROM r GROUP BY feature""")
-def spearman(spark, sf_dir):
-    """Q14."""
-    p = table(spark, sf_dir, PAIRS).select("feature", *(F.when(~F.isnan(c), F.col(c)).alias(a) for c, a in (("final_bleu", "x"), ("final_rouge_l", "y"))))
-    return stats.spearman(p, "x", "y", ["feature"]).select("feature", "n", F.round("rho", 6).alias("rho"))
-
-
-@query()
-def mann_whitney(spark, sf_dir):
-    """Q15: scores of gold positives against negatives."""
-    s = scored_pairs(spark, sf_dir).select("feature", F.when(~F.isnan("bleu"), F.col("bleu")).alias("x"), (F.col("gold") == "Yes").alias("pos"))
-    m = stats.mann_whitney(s, "x", "pos", ["feature"])
-    return m.select("feature", "n1", "n2", F.round("u", 3).alias("u"), F.round("p", 9).alias("p"))
-
-
 @query(f"""
 WITH s AS (SELECT feature, confidence AS bin, {_LABEL.format('prediction')} AS l, coalesce(has_evidence, false) AS ok FROM agent2_claims_pair_level), p AS (SELECT * FROM s WHERE l = 'Yes' AND bin IS NOT NULL),
 g AS (SELECT CASE WHEN GROUPING(feature) = 1 THEN 'ALL' ELSE feature END AS feature, bin, count(*) AS n, round(avg(CAST(ok AS INTEGER)), 6) AS rate FROM p GROUP BY GROUPING SETS ((feature, bin), (bin))),

@@ -27,12 +27,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where it is unset (tests) a local one is made."""
+    """The shared folder named by spark.checkpoint.dir; a local one is made only where it is unset and the session is local
+    (tests): on a cluster the tasks could not read it, so that is an error."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrata-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -44,7 +47,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 
-
 def spread(scan: DataFrame) -> DataFrame:
     """A scan, dealt anew where it has far fewer parts than the cluster has cores (a small table in one file), as what
     follows is work for the CPU; a scan of many files is left as it is. For scans only: their parts are known unrun."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +62,14 @@ def concepts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.lower("term").alias("term"), F.coalesce("v.name", "term").alias("name"), F.coalesce("v.is_group_a", F.lit(False)).alias("group_a"))
 
 
+def concepts_or(spark: SparkSession, path: str, curated: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The concepts of a file, or, where there is none, curated terms by name, none of them of group A."""
+    try:
+        return concepts(spark, path)
+    except AnalysisException:
+        return spark.createDataFrame([(t.lower(), name, False) for name, terms in curated.items() for t in terms], "term string, name string, group_a boolean")
+
+
 def pick_by_invariant(spark: SparkSession, paths: list[str], columns: list[str], check) -> str:
     """The first file that has the columns (case aside) and passes the check; only its header is read before."""
     for p in paths:
@@ -70,6 +79,23 @@ def pick_by_invariant(spark: SparkSession, paths: list[str], columns: list[str],
     raise ValueError("no file fits")
 
 
+def build_or_load(spark: SparkSession, path: str, build) -> DataFrame:
+    """H7: the table at a path, built and written first where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        build().write.parquet(path)
+        return spark.read.parquet(path)
+
+
+def contract_violations(df: DataFrame, key: str, not_blank: list[str], whole: list[str]) -> DataFrame:
+    """H3: (key, violations): cells that must not be blank, and cells that must be whole numbers of 0 or more."""
+    n = lambda c: F.col(c).try_cast("double")
+    codes = [F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(f"BLANK:{c}")) for c in not_blank]
+    codes += [F.when(~F.coalesce((n(c) >= 0) & (n(c) == F.floor(n(c))), F.lit(False)), F.lit(f"NO_WHOLE_NUMBER:{c}")) for c in whole]
+    return df.select(key, F.array_compact(F.array(*codes)).alias("violations")).where("size(violations) > 0")
+
+
 def write_by_status(df: DataFrame, path: str, status: str = "status") -> None:
     """K1: one folder for each status."""
     df.write.mode("overwrite").partitionBy(status).parquet(path)

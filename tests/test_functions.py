@@ -97,7 +97,23 @@ def test_window_match():
     assert T.window_match("a b c d e f", "b c d")[0] == 1
     assert T.window_match("A  b c", "a b C")[0] == 2
     assert T.window_match("one two, three four five six seven eight nine ten eleven", "two three, four five six seven eight nine ten eleven")[0] == 4
-    assert T.window_match("aa bb", "zz yy") is None and T.window_match(None, "x") is None
+    assert T.window_match("aa bb", "zz yy") == (None, 0.0, -1) and T.window_match(None, "x") == (None, 0.0, -1)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=20), st.lists(st.sampled_from("abcd"), min_size=3, max_size=8))
+def test_windows_against_brute_force(ref, hyp):
+    from collections import Counter
+
+    best = (0.0, -1)
+    for n in range(max(1, int(len(hyp) * 0.8)), min(len(ref), int(len(hyp) * 1.2)) + 1):
+        for i in range(len(ref) - n + 1):
+            a, b = Counter(hyp), Counter(ref[i : i + n])
+            score = sum((a & b).values()) / sum((a | b).values())
+            if score > best[0]:
+                best = (score, i)
+    got = T._windows(np.array([ord(c) for c in ref]), np.array([ord(c) for c in hyp]))
+    assert abs(got[0] - best[0]) < 1e-12 and got[1] == best[1]
 
 
 @settings(max_examples=40, deadline=None)
