@@ -92,6 +92,12 @@ WITH RECURSIVE ties AS (
 edges AS (SELECT DISTINCT x.p AS a, y.p AS b FROM ties x JOIN ties y ON x.n = y.n AND x.p <> y.p),
 reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
 SELECT DISTINCT a AS pat_a, b AS pat_b FROM reach WHERE a < b""",
+    "p2_found": """
+WITH w AS (SELECT _run_row_index AS r, regexp_extract_all(lower(Clean_note_text), '[\\p{L}\\p{N}]+') AS t FROM rebuilt_notes_by_noteid WHERE Clean_note_text IS NOT NULL),
+s AS (SELECT r, list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM w WHERE len(t) >= 20),
+x AS (SELECT r, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.r AS row_a, b.r AS row_b, any_value(a.n) + any_value(b.n) AS n, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2)
+SELECT row_a, row_b FROM p WHERE c * 10 >= 6 * (n - c)""",
     "p4_found": """
 SELECT _run_row_index, CASE WHEN regexp_matches(Clean_note_text, '[^\\s\\x{a0}.!?。！？।؟]{1000}[^\\s\\x{a0}.!?。！？।؟]{1000}[^\\s\\x{a0}.!?。！？।؟]{1000}[^\\s\\x{a0}.!?。！？।؟]{1000}[^\\s\\x{a0}.!?。！？।؟]')
   THEN 'forced' ELSE 'natural' END AS cut_kind
