@@ -126,7 +126,9 @@ def dense_topk(spark, sf_dir):
     return d.select(F.col("q").cast("int").alias("q"), "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-@query()
+@query("""
+WITH v AS (SELECT a.vec_id AS q, b.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+SELECT q, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM v) WHERE rank <= 32""")
 def dense_search(spark, sf_dir):
     """Every vector whose id is divisible by 100 against all."""
     d = retrieval.dense_search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 32)

@@ -46,7 +46,7 @@ def test_same_as_duckdb(spark, data, duck, name):
     assert got == want
 
 
-PYTHON = {"dense_topk", "rrf_fusion", "hybrid_rrf", "global_rrf", "bootstrap_ci", "bootstrap_patients"}
+PYTHON = {"dense_topk", "dense_search", "rrf_fusion", "hybrid_rrf", "global_rrf", "bootstrap_ci", "bootstrap_patients"}
 
 
 @pytest.mark.parametrize("name", sorted(set(SQL) - PYTHON))
