@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,3 +67,17 @@ def find_column(df: DataFrame, candidates: list[str]) -> str | None:
     fold = lambda s: s.strip().lower().replace("-", "_").replace(" ", "_")
     by = {fold(c): c for c in reversed(df.columns)}
     return next((by[fold(c)] for c in candidates if fold(c) in by), None)
+
+
+def last_before(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = 1_000_000) -> DataFrame:
+    """The last value that is not null among a key's rows before this one, by a whole number that orders them.
+
+    A key may hold a third of all rows, so its rows are cut into ranges of the order: the last value of each range is made
+    by partial aggregation and carried over the few ranges of a key, and only rows of one range are sorted by one task."""
+    d = df.withColumn("_range", F.floor(F.col(order) / width))
+    own = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = d.groupBy(*keys, "_range").agg(F.max_by(F.when(F.col(value).isNotNull(), F.col(value)), F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
+    carried = ranges.withColumn("_carried", F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_range")]
+    j = d.withColumn("_near", F.last(value, ignorenulls=True).over(own)).alias("d").join(carried.alias("c"), same, "left")
+    return j.select("d.*", F.coalesce("d._near", "c._carried").alias(out)).drop("_range", "_near")

@@ -197,8 +197,7 @@ FROM (SELECT claim_id, {_NID.format('PAT_ID')} AS p, feature, {_LABEL.format('pr
 def patient_memory(spark, sf_dir):
     """The latest label of a patient and finding before this claim."""
     c = table(spark, sf_dir, CLAIMS).select("claim_id", N.normalize_id(F.col("PAT_ID")).alias("p"), "feature", N.label(F.col("prediction")).alias("l"))
-    w = Window.partitionBy("p", "feature").orderBy("claim_id").rowsBetween(Window.unboundedPreceding, -1)
-    return c.select("claim_id", F.last("l", ignorenulls=True).over(w).alias("known"))
+    return contracts.last_before(c, ["p", "feature"], "claim_id", "l", "known").select("claim_id", "known")
 
 
 # --- normalisers (N1-N14) ----------------------------------------------------------------------------------------

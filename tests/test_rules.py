@@ -114,3 +114,19 @@ def test_retries_never_change_a_label(spark):
     assert [take(arr("i"), arr(), None, None, "Yes", "Yes"), take(arr("i"), arr("j"), 0.0, 0.9, "Yes", "Yes"), take(arr(), arr(), 0.05, 0.06, "No", "No"), take(arr(), arr(), 0.05, 0.04, "No", "No"), take(arr(), arr(), 0.0, 0.9, "No", "Yes")] == [
         True, False, True, False, False,
     ]
+
+
+def test_last_before_over_ranges(spark):
+    import random
+
+    from lodestrata.operators.contracts import last_before
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice(["x", "y", None, None])) for i in range(300)]
+    want, last = {}, {}
+    for i, k, v in rows:
+        want[i] = last.get(k)
+        last[k] = v or last.get(k)
+    df = spark.createDataFrame(rows, "i bigint, k string, v string")
+    for width in (7, 1000):
+        assert {r.i: r.known for r in last_before(df, ["k"], "i", "v", "known", width).collect()} == want
