@@ -142,22 +142,33 @@ _NO_NAME = (
     "The|This|That|These|Those|She|He|It|They|We|You|His|Her|Their|Our|My|In|On|At|For|And|But|Not|No|Please|Patient|Doctor|Nurse|Family|History|Plan|Exam|Review|Emergency|Primary|General|New|North|South|East|West|"
     "Home|Care|Office|Room|Floor|Saint|Street|Church|School|College|County|City|Company|Group|Foundation|Association|Society|Journal|Study|Trial|Guideline|Guidelines|Act|Program"
 )
-_CAPITAL = rf"(?!(?:{_NO_NAME})\b)[A-ZÀ-ÖØ-Þ](?:[a-zà-öø-ÿ]+(?:[-’'][A-ZÀ-ÖØ-Þ]?[a-zà-öø-ÿ]+)?|\.)"
-_PERSON = rf"{_CAPITAL}(?:\s(?:{_PARTICLE}\s)?{_CAPITAL}){{1,3}}(?!\s(?:{_NO_NAME})\b)"
-#: Full names by what is done to a person, or what a person does.
-PEOPLE = (
-    re.compile(rf"\b(?i:{_WITH})(?:\s(?:with|by|to|for))?[\s,]\s?(?P<n>{_PERSON})"),
-    re.compile(rf"(?:^|(?<=[.!?]\s)|(?<=\n))(?P<n>{_PERSON})(?=\s(?:{_HUMAN})\b)"),
-)
+_CAPITAL = rf"(?!(?:{_NO_NAME})\b|(?i:{_WITH})\b)[A-ZÀ-ÖØ-Þ](?:[a-zà-öø-ÿ]+(?:[-’'][A-ZÀ-ÖØ-Þ]?[a-zà-öø-ÿ]+)?|\.)"
+#: Full names, and what must stand before or behind one: what is done to a person, or what a person does.
+PERSON = re.compile(rf"(?<!\w){_CAPITAL}(?:\s(?:{_PARTICLE}\s)?{_CAPITAL}){{1,3}}(?!\s(?:{_NO_NAME})\b)")
+_TWO = re.compile(r"[A-ZÀ-ÖØ-Þ](?:[a-zà-öø-ÿ’'-]+|\.)(?=\s(?:[A-Za-z]{1,3}\s)?[A-ZÀ-ÖØ-Þ])")
+_CALLS, _LINKS = frozenset(_WITH.split("|")), frozenset(("with", "by", "to", "for"))
+_DOES = re.compile(rf"\s(?:{_HUMAN})\b")
+_OPENS = re.compile(r"(?:^|[.!?]\s|\n)$")
 
 
 # --- numbers that can be checked ----------------------------------------------------------------------------------
 
 # The check letters of the eight-digit national number, by its remainder by 23.
 CHECK_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+_LONG = re.compile(r"\d(?:[ -]?\d){8,}")
 _ACCOUNT = re.compile(r"(?<![\w-])(?:(?P<iban>[A-Z]{2}\d\d(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?)|(?P<card>\d{4}(?:[\s-]?\d{4}){2}[\s-]?\d{1,7}))(?![\w-])")
 
 
+def _accounts(t: str) -> Iterator[re.Match]:
+    """What is written like a card or account number; only long runs of digits are looked at, with what stands around them."""
+    end = 0
+    for r in _LONG.finditer(t):
+        if r.end() > end:
+            for m in _ACCOUNT.finditer(t, max(end, r.start() - 14), min(len(t), r.end() + 8)):
+                end = m.end()
+                yield m
+
+
 def luhn(digits: str) -> bool:
     """Whether the last digit of a card number is its check digit."""
     total = 0
@@ -220,7 +231,7 @@ def mentions(text: str | None, quote: bool = False) -> list[tuple[int, int, str]
                 a, z = m.span()
                 if not _AVOID.search(t, max(0, a - 12), a) and (m["phone"] or plausible(t[a:z])):
                     found.append((a, z, "phone" if m["phone"] else "id_number"))
-        for m in _ACCOUNT.finditer(t):
+        for m in _accounts(t):
             if iban(m["iban"]) if m["iban"] else 13 <= sum(c.isdigit() for c in m["card"]) <= 19 and len(set(m["card"])) > 2 and luhn(re.sub(r"\D", "", m["card"])):
                 found.append((*m.span(), "id_number"))
         for word in _KEYS:
@@ -255,8 +266,15 @@ def mentions(text: str | None, quote: bool = False) -> list[tuple[int, int, str]
         for word, pattern in ASIAN:
             if word in t:
                 found += [(*m.span("n"), "name") for m in pattern.finditer(t)]
-    for pattern in PEOPLE:
-        found += [(*m.span("n"), "name") for m in pattern.finditer(t)]
+    for two in _TWO.finditer(t):
+        a = two.start()
+        near = t[max(0, a - 24) : a]
+        words = near.replace(",", " ").split()[-2:] if near[-1:].isspace() else []
+        done = words and (words[-1].lower() in _CALLS or len(words) == 2 and words[1] in _LINKS and words[0].lower() in _CALLS)
+        if done or _OPENS.search(near):
+            m = PERSON.match(t, a)
+            if m and (done or _DOES.match(t, m.end())):
+                found.append((a, m.end(), "name"))
     for name in {t[a:z] for a, z, kind in found if kind == "name" and " " in t[a:z]}:  # a full name once told is told again
         for i in _finds(t, name):
             if (i == 0 or not t[i - 1].isalnum()) and not t[i + len(name) : i + len(name) + 1].isalnum():
