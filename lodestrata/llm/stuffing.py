@@ -43,7 +43,7 @@ DENSE = 0.45
 SHARE = 0.5
 
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
-TERM = re.compile(rf"<a\s[^<>]*>[^<>]*</a>|\[[^\[\]\n]*\]\((?:https?://|www\.)[^\s()]+\)|(?<!\w)\w(?:[. ]\w){{4,}}(?!\w)|[{CJK}][{CJK}0-9]*|(?:https?://|www\.)[^\s|,;()<>\[\]]+|[\w-]+(?:\.[\w-]+)+/[^\s|,;()<>\[\]]*|#\w[\w-]*|\$?[^\W{CJK}]+")
+TERM = re.compile(rf"(?<!\w)\w(?:[. ]\w){{4,}}(?!\w)|[{CJK}][{CJK}0-9]*|(?:https?://|www\.)[^\s|,;()<>\[\]]+|[\w-]+(?:\.[\w-]+)+/[^\s|,;()<>\[\]]*|#\w[\w-]*|\$?[^\W{CJK}]+|<a\s[^<>]*>[^<>]*</a>|\[[^\[\]\n]*\]\((?:https?://|www\.)[^\s()]+\)")
 # Words that bind sentences.
 BINDING = frozenset(
     "a an the of to in on at by for from with without and or but nor as than then that this these those is are was were be been has have had do does did will would can could may might "
