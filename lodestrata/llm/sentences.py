@@ -296,7 +296,7 @@ def _line_end(t: str, start: int, p: int, e: int, z: int) -> bool:
 
 
 def _block(t: str, a: int, z: int, thai: bool, out: list[tuple[int, int]]) -> None:
-    start = token_at = scanned = a
+    start = long_at = scanned = a
     covers = _covers(t, a, z)
     at, n = 0, len(covers)
 
@@ -378,9 +378,12 @@ def _block(t: str, a: int, z: int, thai: bool, out: list[tuple[int, int]]) -> No
                     continue
                 emit(k)
             else:
-                for b in _BREAK.finditer(t, scanned, p):  # once over the block, so long tokens cost no more than others
-                    token_at = b.end()
-                scanned = p
+                token = _TOKEN.search(t, max(start, p - 24), p)
+                token_at = token.start() if token else p
+                if token and token_at == p - 24:  # a long token: once over the block, so that it costs no more than others
+                    for b in _BREAK.finditer(t, scanned, p):
+                        long_at = b.end()
+                    scanned, token_at = p, max(start, long_at)
                 if _stop(t, start, token_at, p, k, z):
                     emit(k)
     while at < n:
