@@ -283,7 +283,8 @@ def _filter(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def _segments(codes_of, wanted, size: int, least: int):
-    """(id, fragment, keys): the n-grams of a record that passes the filter in each fragment of the global order."""
+    """(id, fragment, keys): the n-grams of a record that passes the filter in each fragment of the global order, but for
+    those that no other record has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, hashes = codes_of(), _Hashes()
@@ -292,6 +293,7 @@ def _segments(codes_of, wanted, size: int, least: int):
             batch = batch.filter(pa.array((wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
             at, fragments, keys = [], [], []
             for i, _, g in _ordered(batch.column(1).to_pylist(), codes, size, least, hashes):
+                g = g[int(np.searchsorted(g, np.uint64(2) << _TOP)) :]  # what no other record has is shared with none
                 cuts = [0, *np.searchsorted(g, FRAGMENTS).tolist(), len(g)]
                 for f, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     if b > a:
