@@ -179,9 +179,8 @@ _BM_ALL = re.sub(r"(?m)^q AS .*$", "q AS (SELECT doc_id AS q, unnest(t) AS term
 @query(f"WITH {_BM_ALL} SELECT q, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) WHERE rank <= 20")
 def bm25_search(spark, sf_dir):
     """Every text whose id is divisible by 100 against all; a term counts as often as the query has it."""
-    d = _bm25_docs(spark, sf_dir)
-    s = retrieval.bm25(d, "doc_id", "t", d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("q"), F.col("t").alias("terms")), "q", "terms")
-    return retrieval.topk(s.withColumn("score", F.round("score", 9)), "q", "score", "doc_id", 20).select("q", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    s = retrieval.bm25_search(_bm25_docs(spark, sf_dir), "doc_id", "t", F.col("doc_id") % 100 == 0, 20)
+    return s.select("q", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("""
