@@ -74,7 +74,7 @@ def alike(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["bm25_search", "global_rrf"])
+@pytest.mark.parametrize("name", ["bm25_search", "global_rrf", "hybrid_rrf"])
 def test_no_pairs_shuffled(spark, alike, name):
     df = entry.queries()[name](spark, alike)
     assert df.collect()
