@@ -47,7 +47,7 @@ u AS (SELECT q, doc_id, 0.0::DOUBLE AS cosine, 0.5::DOUBLE / (60 + rank) AS w FR
 
 def hybrid_lists(spark, sf_dir) -> DataFrame:
     """The 32 best of the term index and of the vectors for each id divisible by 100 that a query has, with half a weight each."""
-    a = retrieval.bm25_search(_bm25_docs(spark, sf_dir), "doc_id", "t", F.col("doc_id") % 100 == 0, 32)
+    a = retrieval.bm25_product(_bm25_docs(spark, sf_dir), "doc_id", "t", F.col("doc_id") % 100 == 0, 32)
     b = retrieval.dense_search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 32).withColumnRenamed("vec_id", "doc_id")
     one = a.select("q", "doc_id", F.lit(0.0).alias("score"), "rank")
     return one.unionByName(b.select("q", "doc_id", "score", "rank"))

@@ -79,3 +79,47 @@ def test_no_pairs_shuffled(spark, alike, name):
     df = entry.queries()[name](spark, alike)
     assert df.collect()
     assert 0 < shuffled(df._jdf.queryExecution().executedPlan()) < N * (N // 100) // 4
+
+
+@pytest.mark.parametrize("docs", [WIDE, ZERO], ids=["wide", "zero"])
+@pytest.mark.parametrize("sizes", [{}, {"query_block": 5, "cells": 16, "dense": 2, "bound_pairs": 0, "bound_share": 4}], ids=["as it is", "small blocks"])
+def test_bm25_product_brute(spark, docs, sizes):
+    d = spark.createDataFrame(docs, "id long, t array<string>")
+    s = retrieval.bm25_product(d, "id", "t", F.col("id") % 3 == 0, 5, **sizes)
+    assert {(r.q, r.id, r["rank"], round(r.score, 6) + 0.0) for r in s.collect()} == brute(docs, lambda q: q % 3 == 0, 5)
+
+
+def test_bm25_product_empty(spark):
+    d = spark.createDataFrame([(1, ["x"]), (5, [])], "id long, t array<string>")
+    for s in (retrieval.bm25_product(d, "id", "t", F.col("id") > 4, 5), retrieval.bm25_product(d.where("id = 5"), "id", "t", F.lit(True), 5), retrieval.bm25_product(d.where("id = 9"), "id", "t", F.lit(True), 5)):
+        assert s.count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{}, {"query_block": 5, "cells": 16, "dense": 2, "bound_pairs": 0, "bound_share": 4}], ids=["as it is", "small blocks"])
+def test_bm25_product_repeated_keys(spark, sizes):
+    """Keys that are there twice, alike in length and not, and missing ones."""
+    docs = [*WIDE, (3, ["all", "b3"]), (3, WIDE[3][1][::-1]), (6, ["a6", "all", "half"]), (6, []), (7, ["own7"]), (None, ["all", "half"]), (None, ["all"])]
+    d = spark.createDataFrame(docs, "id long, t array<string>").repartition(3)
+    asked = F.col("id") % 3 == 0
+    seen = lambda s: Counter((r.q, r.id, r["rank"], round(r.score, 6) + 0.0) for r in s.collect())
+    assert seen(retrieval.bm25_product(d, "id", "t", asked, 5, **sizes)) == seen(retrieval.bm25_search(d, "id", "t", asked, 5))
+
+
+def written(node):
+    """The most bytes that a shuffle of an executed plan wrote."""
+    name = node.getClass().getSimpleName()
+    own = node.metrics().apply("shuffleBytesWritten").value() if name == "ShuffleExchangeExec" else 0
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+    children = node.children()
+    return max([own, *map(written, inner), *(written(children.apply(i)) for i in range(children.size()))])
+
+
+@pytest.mark.parametrize("name", ["global_rrf", "hybrid_rrf"])
+def test_no_tokens_shuffled(spark, tmp_path, name):
+    """What is shuffled doesn't grow with the lengths of the texts."""
+    some = "concat_ws(' ', transform(sequence(1, 400), x -> translate(substr(md5(concat(id, '-', x % 97)), 1, 6), '0123456789', 'ghijklmnop')))"
+    spark.range(1000).selectExpr("id as doc_id", f"{some} as text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(50).selectExpr("id as vec_id", "array(float(id % 7), float(id % 5)) as embedding", "int(id % 3) as label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = entry.queries()[name](spark, str(tmp_path))
+    assert df.collect()
+    assert 0 < written(df._jdf.queryExecution().executedPlan()) < 100_000
